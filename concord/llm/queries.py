@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import secrets
+from concord.llm import chat, neardup, quality, secrets, sharding
+from concord.llm.common import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +21,39 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), n("lexed").alias("n_lexed"), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("findings")).alias("spans"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row of ``documents``: four-word shingles, four differing bits."""
+    rows = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, radius=4)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base verdict and final verdict of every document; ``source`` is the host."""
+    measured = written(quality.measure(table(spark, sf_dir, "documents")).drop("text"), "measured")
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", "kept")
+    return quality.with_verdicts(measured).select(*names)
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in shards 0 to 39 of one shuffled sequence; row counts at most one apart."""
+    rows = sharding.shuffled(table(spark, sf_dir, "documents").select("doc_id", "text"), n_shards=40)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted string."""
+    said = "</s>[INST] ok [/INST]"
+    known = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(-1).alias("conv_id"), F.lit(i).alias("turn"), F.lit(r).alias("role"), F.lit(said).alias("text")) for i, r in enumerate(("user", "assistant"))))))
+    out = chat.formatted(known.unionByName(extra)).withColumn("turns", chat.turns(F.col("formatted")))
+    line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    return out.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"), F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan,)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_sharding, op5_simhash, op6_quality_rules, op8_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_quality_rules": quality.SQL, "op8_chat_format": chat.SQL}
