@@ -76,21 +76,30 @@ def variants(fp: Column, radius: int) -> Column:
     return F.array(*keys)
 
 
+def first_met(key: Column, x: Column, y: Column, radius: int) -> Column:
+    """Of the variants that two fingerprints share in a segment, one: the differing bit's, or the first if none differs."""
+    n = radius // 2 + 1
+    place = F.shiftright(key, 40).cast("int")
+    return place.isin([round(64 * i / n) for i in range(n)]) | (F.getbit(x.bitwiseXOR(y), place) == 1)
+
+
 def links(prints: DataFrame, radius: int) -> DataFrame:
     """Components of distinct fingerprints ``(fp)`` linked at ``radius`` or fewer differing bits: (fp, root), linked ones only."""
     if radius < 2:
         raise ValueError("a radius of at least 2 is needed")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
+    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= radius
+    bucket = Window.partitionBy("key")
     index = prints.select("fp", F.explode(variants(F.col("fp"), radius)).alias("key"))
-    low = index.withColumn("b", F.min("fp").over(Window.partitionBy("key"))).select(F.col("fp").alias("a"), "b")
-    first = components(written(low.where("a <> b").where(near).distinct(), "stars"))
-    first = small(first.select(F.col("node").alias("fp"), "root"))
+    ends = index.withColumn("lo", F.min("fp").over(bucket)).withColumn("hi", F.max("fp").over(bucket)).where("lo < hi")
+    ties = [ends.where(f"fp <> {end}").where(near("fp", end)).select(F.col("fp").alias("a"), F.col(end).alias("b")) for end in ("lo", "hi")]
+    first = small(components(written(ties[0].union(ties[1]).distinct(), "stars")).select(F.col("node").alias("fp"), "root"))
     rooted = written(prints.join(first, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
     index = rooted.select("fp", "root", F.explode(variants(F.col("fp"), radius)).alias("key"))
-    mixed = index.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = written(index.join(mixed, "key", "left_semi"), "open")
+    mixed = index.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).where("lo < hi")
+    open_ = written(mixed.drop("lo", "hi"), "open")
     x, y = (open_.select("key", F.col("fp").alias(n), F.col("root").alias(f"r{n}")) for n in "ab")
-    between = x.join(y, (x["key"] == y["key"]) & (F.col("ra") < F.col("rb")) & near).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+    met = (x["key"] == y["key"]) & (F.col("ra") < F.col("rb")) & near("a", "b") & first_met(x["key"], F.col("a"), F.col("b"), radius)
+    between = x.join(y, met).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
     second = components(between)
     joined = rooted.join(small(second), rooted["root"] == second["node"], "left").select("fp", F.coalesce(second["root"], rooted["root"]).alias("root"))
     return written(joined, "linked")
@@ -109,3 +118,120 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     """One row per row of ``df``: doc_id, fp (signed long), component_id (smallest doc_id reachable, itself included)."""
     prints = written(df.select(F.col(doc_id).alias("doc_id"), fingerprints(df, text, width).alias("fp")), "prints")
     return prints.join(classes(prints, radius).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+# -- one document of each group --------------------------------------------------------------------------------------
+
+
+def majority(h: np.ndarray) -> np.ndarray:
+    """Fingerprints of the columns of ``h`` (unsigned, one row per shingle): bits set in over half the rows."""
+    counts = np.zeros((8, h.shape[1], 8), dtype=np.int64)
+    for part in (h[i : i + 255] for i in range(0, len(h), 255)):
+        for bit in range(8):
+            counts[bit] += ((part >> np.uint64(bit)) & _LANES).sum(axis=0, dtype=np.uint64).view(np.uint8).reshape(-1, 8)
+    over = 2 * counts > len(h)
+    weights = np.uint64(1) << (np.arange(8, dtype=np.uint64)[:, None] + 8 * np.arange(8, dtype=np.uint64)[None, :])
+    return np.where(over, weights[:, None, :], np.uint64(0)).sum(axis=(0, 2), dtype=np.uint64)
+
+
+def wide_print(text: str, width: int) -> np.ndarray:
+    """Four words of 64 bits; the first is what the index uses, all four tell near from far."""
+    digest = xxhash.xxh3_128_digest
+    found = shingles(text, width)
+    if not found:
+        return np.zeros(4, dtype=np.uint64)
+    return majority(np.frombuffer(b"".join(digest(s, seed) for s in found for seed in (0, 1)), dtype=np.uint64).reshape(-1, 4))
+
+
+def wide_prints(text: str, width: int) -> Column:
+    def prints(texts: pa.Array) -> pa.Array:
+        rows = np.array([wide_print(x.as_py(), width) for x in texts], dtype=np.uint64).reshape(-1, 4).view(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(rows) + 1, 4, dtype=np.int32)), pa.array(rows.ravel()))
+
+    return F.arrow_udf(prints, "array<bigint>")(text_or_empty(text))
+
+
+def shingle_sets(text: str, width: int) -> Column:
+    """The distinct shingles' hashes of a text, as longs."""
+
+    def sets(texts: pa.Array) -> pa.Array:
+        digest = xxhash.xxh64_intdigest
+        rows = [np.array(list({digest(s, 42) for s in shingles(x.as_py(), width)}), dtype=np.uint64).view(np.int64) for x in texts]
+        return pa.array(rows, type=pa.list_(pa.int64()))
+
+    return F.arrow_udf(sets, "array<bigint>")(F.col(text))
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """Differing bits of two wide prints."""
+    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(1, 4)), F.bit_count(F.get(x, F.lit(0)).bitwiseXOR(F.get(y, F.lit(0)))))
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs ``(a, b)`` of text hashes whose shingle sets are similar; ``texts`` is (h, t) with repeats."""
+    pairs = written(pairs.distinct(), "pairs")
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wanted")
+    once = texts.join(small(wanted), "h", "left_semi").groupBy("h").agg(F.any_value("t").alias("t"))
+    sets = written(once.select("h", shingle_sets("t", width).alias("s")), "sets")
+    x, y = sets.select(F.col("h").alias("a"), F.col("s").alias("x")), sets.select(F.col("h").alias("b"), F.col("s").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    either = F.size("x") + F.size("y") - both
+    return written(pairs.join(x, "a").join(y, "b").where(both >= similarity * either).select("a", "b"), "similar")
+
+
+def text_groups(texts: DataFrame, prints: DataFrame, width: int, radius: int, within: int, similarity: float) -> DataFrame:
+    """(h, root) of all distinct texts: components of links between texts.
+
+    ``prints`` is (h, sig).  As in ``links``, each bucket is first tied to its smallest and then to its largest member;
+    only buckets that still hold different components are joined, and only between those."""
+    rooted = prints.select("h", "sig", F.col("h").alias("root"))
+    edges = None
+    for pick in (F.min, F.max, None):
+        index = rooted.select("h", "root", "sig", F.explode(variants(F.get("sig", F.lit(0)), radius)).alias("key"))
+        if pick:
+            lead = index.withColumn("p", pick(F.struct("h", "root", "sig")).over(Window.partitionBy("key")))
+            found = lead.where((F.col("root") != F.col("p.root")) & (_apart(F.col("sig"), F.col("p.sig")) <= within)).select(F.col("h").alias("a"), F.col("p.h").alias("b"))
+        else:
+            bucket = Window.partitionBy("key")
+            rest = index.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).where("lo < hi").drop("lo", "hi")
+            rest = written(rest, "open")
+            x, y = (rest.select("key", *(F.col(c).alias(f"{c}_{n}") for c in ("h", "root", "sig"))) for n in "xy")
+            near = (F.col("root_x") < F.col("root_y")) & (_apart(F.col("sig_x"), F.col("sig_y")) <= within)
+            near = near & first_met(x["key"], F.get("sig_x", F.lit(0)), F.get("sig_y", F.lit(0)), radius)
+            found = x.join(y, (x["key"] == y["key"]) & near).select(F.col("h_x").alias("a"), F.col("h_y").alias("b"))
+        new = _similar(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, width, similarity)
+        edges = new if edges is None else edges.union(new)
+        joined = small(components(edges))
+        rooted = written(prints.join(joined, prints["h"] == joined["node"], "left").select("h", "sig", F.coalesce("root", "h").alias("root")), "rooted")
+    return rooted.select("h", "root")
+
+
+def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, radius: int = 7, within: int = 56, similarity: float = 0.8) -> DataFrame:
+    """``df`` less near copies: of each group the row with the smallest doc_id stays, with its columns and values.
+
+    Groups are components of links; two texts are linked if the Jaccard similarity of their sets of ``width``-word
+    shingles, over whole texts, is at least ``similarity``.  Candidates share a one-wildcard variant of the 64-bit
+    fingerprint (all pairs within ``radius`` bits do, most within twice that) and differ in at most ``within`` of the 256 bits of
+    the wide print.  Equal texts are always linked.  Null ids come last; of rows that repeat id and text one stays.
+    """
+    base = df.withColumn("__h", F.xxhash64(text_or_empty(text))).withColumn("__id", F.col(doc_id))
+    rows = written(base.select("__id", "__h", wide_prints(text, width).alias("sig")), "prints")
+    texts = rows.groupBy("__h").agg(F.min("__id").alias("first"), F.count("*").alias("copies"), F.count_if(F.col("__id").isNull()).alias("nulls"), F.any_value("sig").alias("sig"))
+    texts = written(texts, "texts")
+    groups = text_groups(base.select(F.col("__h").alias("h"), text_or_empty(text).alias("t")), texts.select(F.col("__h").alias("h"), "sig"), width, radius, within, similarity)
+    known = texts.join(groups, texts["__h"] == groups["h"])
+    order = F.struct(F.col("first").isNull(), "first", "__h")
+    lead = known.groupBy("root").agg(F.min(order).alias("lead"))
+    kept = written(known.join(lead, "root").where(F.col("__h") == F.col("lead.__h")).select("__h", "first", "copies"), "kept")
+    gone = written(texts.join(kept, "__h", "left_anti").select("__h"), "gone")
+    # of a kept text with several rows only those with the smallest id stay
+    many = written(kept.where("copies > 1").select("__h", F.col("first").alias("__first"), F.lit(True).alias("__many")), "many")
+    left = base.join(small(gone), "__h", "left_anti").join(small(many), "__h", "left")
+    left = left.where(F.col("__many").isNull() | F.col("__id").eqNullSafe(F.col("__first")))
+    again = rows.join(small(many), "__h").where(F.col("__id").eqNullSafe(F.col("__first"))).groupBy("__h").count().where("count > 1")
+    again = written(again.select("__h", F.lit(True).alias("__again")), "again")
+    if not again.limit(1).count():
+        return left.select(*df.columns)
+    flagged = left.join(small(again), "__h", "left")
+    once = flagged.where(F.col("__again")).groupBy("__h").agg(F.any_value(F.struct(*df.columns)).alias("__row")).select("__row.*")
+    return flagged.where(F.col("__again").isNull()).select(*df.columns).unionByName(once)
