@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import chat, neardup, quality, secrets, sharding
+from concord.llm import chat, decontam, html, lm, neardup, packing, quality, secrets, sharding, tokenids
 from concord.llm.common import written
 
 
@@ -21,6 +21,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), n("lexed").alias("n_lexed"), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("findings")).alias("spans"))
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document as read back from the coded files; 49,408 ids in the vocabulary, end id 1."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenids.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, by_word=True, vocabulary=49_408)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every row of ``documents``: four-word shingles, four differing bits."""
     rows = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, radius=4)
@@ -34,12 +42,23 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_verdicts(measured).select(*names)
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in its bin of 2,048 words."""
+    return packing.packed(table(spark, sf_dir, "documents"), capacity=2048, per_source=2)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in shards 0 to 39 of one shuffled sequence; row counts at most one apart."""
     rows = sharding.shuffled(table(spark, sf_dir, "documents").select("doc_id", "text"), n_shards=40)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and the benchmark item whose template windows it holds."""
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "n_matched", "n_slots", "n_changed")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation, read back from its formatted string."""
     said = "</s>[INST] ok [/INST]"
@@ -51,8 +70,19 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"), F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base score and model score of every whole document."""
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op3_sharding, op5_simhash, op6_quality_rules, op8_chat_format)}
+    found = (op1_secret_scan, op2_best_fit_packing, op3_sharding, op4_token_ids, op5_simhash, op6_quality_rules, op7_decontamination, op8_chat_format, op9_html_extraction, op10_lm_scoring)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
