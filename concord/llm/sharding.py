@@ -55,13 +55,14 @@ def shuffled(df: DataFrame, n_shards: int, seed: int = 7, text: str = "text", do
     rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), doc_id, "text_crc32"), F.lit(buckets)))
     sizes = written(rows.groupBy("__bucket").agg(F.count("*").cast("int").alias("n")), "buckets")
     before = F.sum("n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))  # one row per bucket
-    sizes = sizes.withColumn("before", F.coalesce(before, F.lit(0)))
+    # the folds run apart from the running sum, which one task makes; places never go to all tasks at once
+    sizes = sizes.withColumn("before", F.coalesce(before, F.lit(0))).repartition("__bucket")
     order = sizes.select("__bucket", "before", F.posexplode(permutation(F.col("n"), F.col("__bucket"), seed)).alias("__rank", "place"))
     order = order.select("__bucket", "__rank", (F.col("before") + F.col("place")).alias("__at"))
     ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__bucket").orderBy(doc_id, "text_crc32", "size")) - 1)
     at, shard = F.col("__at"), F.col("shard")
     # shard s holds the places from s*total/n up to (s+1)*total/n, rounded down
-    placed = ranked.join(order, ["__bucket", "__rank"]).withColumn("shard", F.expr(f"cast(((__at + 1) * {n_shards} - 1) div {max(1, total)} as int)"))
+    placed = ranked.join(order.hint("merge"), ["__bucket", "__rank"]).withColumn("shard", F.expr(f"cast(((__at + 1) * {n_shards} - 1) div {max(1, total)} as int)"))
     return placed.withColumn("slot", at - F.expr(f"(cast(shard as bigint) * {total}) div {n_shards}")).drop("__bucket", "__rank", "__at").withColumn("shard", shard)
 
 
