@@ -1,11 +1,467 @@
-"""Names of the registered concordance queries."""
+"""The registered concordance queries, each over the whole stand-in tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from concord.functions import canon, chance
+from concord.functions import vectors as V
+from concord.operators import audit, cohort, counts, embed, fmdelta, group, panels, retrieval, summary
+from concord.operators.group import rounded
+from concord.plans import oracle
+from concord.sources import fixtures as fx
+from concord.sources.tables import symbol_map, table
+
+FOUND: dict = {}
+
+
+def query(f):
+    """Register a query; its doubles are rounded where it ends, so results do not hang on the order of summation."""
+
+    def final(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = f(spark, sf_dir)
+        return df.withColumns({n: rounded(F.col(n)) for n, kind in df.dtypes if kind == "double"})
+
+    FOUND[f.__name__] = final
+    return f
+
+
+def _rep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.represented(fx.instances(spark, sf_dir))
+
+
+# -- sources and cleaning ---------------------------------------------------------------------------------------------
+
+
+@query
+def scan_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.pair_list(spark, sf_dir).select("treated_cell_id", "control_cell_id", "control_rank", "n_controls_used", "dataset_side")
+
+
+@query
+def normalize_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dirty = table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"])
+    text = F.when(F.col("c_custkey") % 5 == 0, F.lit(None)).when(F.col("c_custkey") % 5 == 1, F.lit("   ")).otherwise(F.concat(F.lit("  "), "c_mktsegment", F.lit(" ")))
+    return dirty.select("c_custkey", canon.normalized(text).alias("clean"))
+
+
+@query
+def side_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.instances(spark, sf_dir).select("instance_id", canon.side_of_class("perturbation_type").alias("dataset_side"))
+
+
+@query
+def strict_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = fx.delta_meta(spark, sf_dir).selectExpr("concat(' ', row_id) AS row_id", "CAST(n_controls_used AS STRING) AS n_controls_used")
+    return meta.select(canon.strict_bigint(F.trim("row_id")).alias("row_id"), canon.strict_bigint("n_controls_used").alias("n_controls_used"))
+
+
+@query
+def double_or_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part", ["p_partkey", "p_brand"])
+    text = F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.regexp_replace("p_brand", "Brand#", ""))
+    return part.select("p_partkey", canon.double_or_zero(text).alias("value"))
+
+
+@query
+def canonical_target_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dirty = fx.instances(spark, sf_dir).select("instance_id", F.concat(F.lit(" g9|"), F.lower("perturbation_gene"), F.lit("|G9 | a1")).alias("raw"))
+    return dirty.select("instance_id", canon.target_set("raw").alias("perturbation_gene"))
+
+
+# -- cohorts ----------------------------------------------------------------------------------------------------------
+
+
+@query
+def membership_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.membership(fx.instances(spark, sf_dir)).select("instance_id", "dataset", "cell_line", "perturbation_type", "perturbation_gene", "anchor_gene")
+
+
+@query
+def row_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.row_membership(fx.instances(spark, sf_dir)).select("instance_id", "dataset", "cell_line", "anchor_gene", "perturbation_type")
+
+
+@query
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.coverage(cohort.membership(fx.instances(spark, sf_dir)))
+
+
+@query
+def lawful_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.lawful(coverage(spark, sf_dir))
+
+
+@query
+def data_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.inventory(fx.instances(spark, sf_dir))
+
+
+@query
+def representation_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.registry(_rep(spark, sf_dir))
+
+
+@query
+def split_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.split_half(fx.instances(spark, sf_dir)).select("instance_id", *cohort.UNIT1, "rn", "side")
+
+
+@query
+def subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.subsample(fx.instances(spark, sf_dir), 3).select("instance_id", *cohort.UNIT1, "rn")
+
+
+@query
+def t1_cross_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.matched_units(fx.instances(spark, sf_dir))
+
+
+@query
+def t1_cross_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.alignment_proof(t1_cross_match(spark, sf_dir))
+
+
+# -- group concordance ------------------------------------------------------------------------------------------------
+
+
+@query
+def centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = V.moments(_rep(spark, sf_dir), ["dataset", "cell_line", "perturbation_type", "perturbation_gene", "representation"])
+    long = got.select("dataset", "cell_line", "perturbation_type", "perturbation_gene", "representation", "n", F.posexplode("mean").alias("dim", "mean"))
+    return long.withColumn("mean", F.col("mean")).withColumn("n", F.col("n").cast("bigint"))
+
+
+@query
+def cosine_pcc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group.task2_wide(_rep(spark, sf_dir)).select(*cohort.UNIT2, "representation", "cosine_centroid", "pcc_centroid")
+
+
+@query
+def e_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group.task2_wide(_rep(spark, sf_dir)).select(*cohort.UNIT2, "representation", "n_a", "n_b", "underpowered_for_e_distance", "e_distance")
+
+
+@query
+def t1_group_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group.task1_long(_rep(spark, sf_dir))
+
+
+@query
+def t2_group_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group.task2_long(_rep(spark, sf_dir))
+
+
+@query
+def t2_group_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group.task2_leaderboard(group.task2_wide(_rep(spark, sf_dir)))
+
+
+# -- retrieval --------------------------------------------------------------------------------------------------------
+
+RANKED = ["gallery_size", "n_positive_keys", "rank_true", *(f"{m}_{k}" for k in ("raw", "corrected") for m in retrieval.NAMES)]
+
+
+@query
+def loo_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = retrieval.loo_centroids(_rep(spark, sf_dir).where("representation = 'Pathway'"))
+    return got.select("instance_id", F.posexplode("loo").alias("dim", "mean")).withColumn("mean", F.col("mean"))
+
+
+@query
+def t1_retrieval_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = retrieval.task1_internal(_rep(spark, sf_dir))
+    return got.select("dataset", "perturbation_type", "representation", "query_instance_id", "cell_line", "perturbation_gene", *RANKED)
+
+
+@query
+def t1_cross_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = retrieval.task1_cross(_rep(spark, sf_dir))
+    return got.select("perturbation_type", "representation", "query_instance_id", "cell_line", "perturbation_gene", *RANKED)
+
+
+def _task2(spark: SparkSession, sf_dir: str, direction: str) -> DataFrame:
+    got = retrieval.task2(_rep(spark, sf_dir), direction)
+    return got.select("dataset", "cell_line", "direction", "representation", "query_instance_id", "anchor_gene", "perturbation_gene", *RANKED)
+
+
+@query
+def c2g_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _task2(spark, sf_dir, "C2G")
+
+
+@query
+def g2c_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _task2(spark, sf_dir, "G2C")
+
+
+@query
+def chance_expectation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = spark.range(1, 41).select(F.col("id").alias("gallery_size"), F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))).alias("n_positive_keys")).where("n_positive_keys <= gallery_size")
+    got = chance.expectation_columns(sizes)
+    return got.select("gallery_size", "n_positive_keys", *(F.col(f"e_{m}").alias(f"e_{m}") for m in retrieval.NAMES))
+
+
+T1_SLICE = ["dataset", "perturbation_type", "representation"]
+
+
+@query
+def t1_retrieval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rep = _rep(spark, sf_dir)
+    totals = rep.groupBy(*T1_SLICE).agg(F.count("*").alias("n_total"))
+    return summary.task1_summary(retrieval.task1_internal(rep), totals, T1_SLICE)
+
+
+@query
+def t1_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.leaderboard_long(retrieval.task1_internal(_rep(spark, sf_dir)), T1_SLICE)
+
+
+def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return c2g_per_query(spark, sf_dir).unionByName(g2c_per_query(spark, sf_dir))
+
+
+@query
+def t2_retrieval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.task2_summary_long(_both(spark, sf_dir))
+
+
+@query
+def t2_retrieval_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.task2_leaderboard(_both(spark, sf_dir))
+
+
+# -- synthesis --------------------------------------------------------------------------------------------------------
+
+
+@query
+def t2_benchmark_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.task2_benchmark(t2_group_leaderboard(spark, sf_dir), t2_retrieval_leaderboard(spark, sf_dir))
+
+
+def _task1_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = group.task1_long(_rep(spark, sf_dir)).groupBy("representation", F.concat(F.lit("mean_"), "metric_name").alias("metric_name")).agg(F.avg("metric_value").alias("metric_value"))
+    ranked = t1_leaderboard(spark, sf_dir).groupBy("representation", "metric_name").agg(F.avg("metric_value").alias("metric_value"))
+    return grouped.withColumn("analysis_family", F.lit("group")).unionByName(ranked.withColumn("analysis_family", F.lit("retrieval")))
+
+
+@query
+def axis_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.axis_inputs(_task1_benchmark(spark, sf_dir), t2_benchmark_summary(spark, sf_dir))
+
+
+@query
+def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.scorecard(axis_inputs(spark, sf_dir))
+
+
+@query
+def input_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages that may enter the synthesis: all their assertions pass on the tables at hand."""
+    stages = spark.createDataFrame([("task1", "S1", "r1"), ("task2", "S3", "r1"), ("task2", "S4", "r1")], "task string, stage_name string, run_id string")
+    paths = {"stage_dir": F.concat_ws("/", F.lit("runs"), "run_id", "stage_name"), "manifest_path": F.concat_ws("/", F.lit("runs"), "run_id", "stage_name", F.lit("manifest.json")), "audit_assertions_path": F.concat_ws("/", F.lit("runs"), "run_id", "stage_name", F.lit("audit_assertions.json"))}
+    checks = audit.row_ids(fx.delta_meta(spark, sf_dir)).select(F.lit("task1").alias("task"), F.lit("S1").alias("stage_name"), F.lit("r1").alias("run_id"), F.col("contiguous").alias("pass"))
+    missing = fmdelta.missing_keys(fmdelta.clean_spine(fx.delta_meta(spark, sf_dir)), fmdelta.clean_pairs(fx.pair_list(spark, sf_dir))).agg((F.count("*") == 0).alias("pass"))
+    checks = checks.unionByName(missing.select(F.lit("task2").alias("task"), F.lit("S3").alias("stage_name"), F.lit("r1").alias("run_id"), "pass"))
+    return summary.passed_inputs(stages.withColumns(paths), checks)
+
+
+# -- panels -----------------------------------------------------------------------------------------------------------
+
+
+@query
+def panel_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.composition(fx.instances(spark, sf_dir), ["dataset", "cell_line", "perturbation_type"])
+
+
+@query
+def panel_scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    internal = group.long(group.task1_internal(_rep(spark, sf_dir)))
+    return panels.shared_scoreboard(internal, ["dataset_or_direction", "cell_line", "perturbation_type", "perturbation_gene"])
+
+
+@query
+def panel_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.paired(t2_group_long(spark, sf_dir), list(cohort.UNIT2), ["dataset", "cell_line"])
+
+
+@query
+def panel_degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rep = _rep(spark, sf_dir)
+    return panels.degradation(group.long(group.task1_internal(rep)), group.long(group.task1_cross(rep)))
+
+
+@query
+def panel_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.enrichment(t2_group_long(spark, sf_dir), "anchor_gene", ["representation", "metric_name"])
+
+
+@query
+def panel_fm_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    board = t2_retrieval_summary(spark, sf_dir).select("dataset", "cell_line", "direction", "representation", "metric_name", "metric_value")
+    return panels.local_models(board)
+
+
+# -- deltas -----------------------------------------------------------------------------------------------------------
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmdelta.clean_pairs(fx.pair_list(spark, sf_dir))
+
+
+def _spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmdelta.clean_spine(fx.delta_meta(spark, sf_dir))
+
+
+def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmdelta.deltas(_spine(spark, sf_dir), _pairs(spark, sf_dir), fx.cells(spark, sf_dir))
+
+
+@query
+def pair_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmdelta.groups(_pairs(spark, sf_dir)).select("dataset_side", "treated_cell_id", F.array_join("controls", ",").alias("controls"), "n_controls")
+
+
+@query
+def pair_contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over pairs of which some have been taken away, so that there is something to find."""
+    return fmdelta.contract_violations(_pairs(spark, sf_dir).where("NOT (control_rank = 2 AND CAST(treated_cell_id AS BIGINT) % 3 = 0)"))
+
+
+@query
+def missing_pair_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmdelta.missing_keys(_spine(spark, sf_dir), _pairs(spark, sf_dir)).select("row_id", "dataset_side", "treated_cell_id")
+
+
+@query
+def required_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmdelta.required_ids(_spine(spark, sf_dir), _pairs(spark, sf_dir))
+
+
+@query
+def required_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmdelta.presence(required_ids(spark, sf_dir), fx.cells(spark, sf_dir))
+
+
+@query
+def control_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = fmdelta.control_means(_pairs(spark, sf_dir), fx.cells(spark, sf_dir)).where("controls_ok")
+    long = got.select("dataset_side", "treated_cell_id", "n_controls", F.posexplode("control_mean").alias("dim", "mean"))
+    return long.withColumn("mean", F.col("mean"))
+
+
+@query
+def fm_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _deltas(spark, sf_dir)
+    d = F.col("delta")
+    return got.select("row_id", "treated_cell_id", "dataset_side", "n_controls_used", "valid_mask", "invalid_reason", V.total(d).alias("delta_sum"), F.sqrt(V.dot(d, d)).alias("delta_norm"), F.lit("stub").alias("model_name"), F.lit(619).alias("seed"))
+
+
+@query
+def invalid_reason_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmdelta.reason_counts(_deltas(spark, sf_dir))
+
+
+@query
+def row_id_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.row_ids(_spine(spark, sf_dir))
+
+
+@query
+def audit_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assertions as rows, each computed from the tables."""
+    spine, pairs = _spine(spark, sf_dir), _pairs(spark, sf_dir)
+    delta = _deltas(spark, sf_dir)
+    ids = audit.row_ids(spine).select(F.lit("row_id_contiguous").alias("name"), F.col("contiguous").alias("pass"), F.lit(0).cast("bigint").alias("n_bad"))
+    zero = lambda df, name: df.agg(F.count("*").alias("n_bad")).select(F.lit(name).alias("name"), (F.col("n_bad") == 0).alias("pass"), "n_bad")
+    sound = delta.where((F.col("valid_mask") & ~V.finite("delta")) | (~F.col("valid_mask") & F.col("delta").isNotNull()))
+    kept = spine.join(delta.select("row_id"), "row_id", "left_anti")
+    return summary.stacked([ids, zero(fmdelta.contract_violations(pairs), "pair_group_contract"), zero(fmdelta.missing_keys(spine, pairs), "delta_rows_have_pair_keys"), zero(sound, "delta_finite_or_null"), zero(kept, "rows_preserved")])
+
+
+# -- counts -----------------------------------------------------------------------------------------------------------
+
+
+def _genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source columns in order, several to a target: the brand without its last digit."""
+    brands = table(spark, sf_dir, "part", ["p_brand"]).distinct()
+    n = F.regexp_replace("p_brand", "Brand#", "").cast("bigint")
+    return brands.select(n.alias("src_pos"), F.col("p_brand").alias("gene_symbol"), F.expr("left(p_brand, 7)").alias("target"))
+
+
+def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference order with a gene that occurs twice."""
+    rows = [(i, f"Brand#{g}") for i, g in enumerate((3, 1, 2, 5, 1))]
+    return spark.createDataFrame(rows, "pos bigint, gene string")
+
+
+@query
+def gene_map_ensembl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    genes = table(spark, sf_dir, "part", ["p_brand"]).select(F.col("p_brand").alias("gene_symbol"))
+    return counts.mapped(genes, symbol_map(fx.gene_map(spark, sf_dir)))
+
+
+@query
+def gene_align_lastwins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.align_last_wins(fx.counts(spark, sf_dir), _genes(spark, sf_dir), _reference(spark, sf_dir))
+
+
+@query
+def gene_align_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.align_sum(fx.counts(spark, sf_dir), _genes(spark, sf_dir), _reference(spark, sf_dir))
+
+
+def _mapped_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.counts(spark, sf_dir).join(gene_map_ensembl(spark, sf_dir).select("gene_symbol"), "gene_symbol", "left_semi")
+
+
+@query
+def libsize_log2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = counts.log_normalised(_mapped_counts(spark, sf_dir))
+    return got.select("cell_id", "gene_symbol", rounded(F.col("x")).alias("x"))
+
+
+@query
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.tokens(libsize_log2(spark, sf_dir))
+
+
+@query
+def token_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = counts.cell_stats(_mapped_counts(spark, sf_dir))
+    return counts.runnable(counts.positive_tokens(stats, "a4"), 4)
+
+
+@query
+def zero_row_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.nonzero_cells(fx.counts(spark, sf_dir), gene_map_ensembl(spark, sf_dir)).select("cell_id", "n_genes")
+
+
+@query
+def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.duplicates(table(spark, sf_dir, "orders", ["o_custkey"]), "o_custkey")
+
+
+@query
+def chunk_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = fx.cells(spark, sf_dir).select("dataset_side", F.col("cell_id").cast("bigint").alias("cell_id"))
+    return counts.chunks(cells, "cell_id", 64)
+
+
+# -- embedders: not expressible in SQL ----------------------------------------------------------------------------------
+
+
+@query
+def embed_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stub embedder over all cells with vectors: memory errors above 16 rows, two cells that always fail."""
+    cells = fx.cells(spark, sf_dir).where("vec IS NOT NULL")
+    return embed.embedded(cells, lambda: embed.StubEmbedder(bad=frozenset({"5", "10"})))
+
 
 def queries() -> dict:
-    return {}
+    return dict(FOUND)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.statements()
