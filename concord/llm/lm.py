@@ -178,6 +178,22 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("t").mapInArrow(_count, "w binary, n bigint, g int").groupBy("w").agg(F.sum("n").alias("n"), F.max("g").alias("g"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """Up to ``most`` words, most frequent first: all whose count reaches a step of a fixed ladder (four to a doubling).
+
+    The step comes from the number of words on each, so only the words themselves reach the driver, not each task's."""
+    step = F.floor(4 * F.log2("n")).cast("int")
+    held, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["s"]):
+        held += r["words"]
+        if held > most:
+            break
+        least = r["s"]
+    if least is None:
+        return []
+    return sorted(((bytes(r["w"]), r["n"]) for r in counts.where(step >= least).select("w", "n").collect()), key=lambda x: (-x[1], x[0]))
+
+
 def train(docs: DataFrame, words, seed: int = 11, rounds: int = 1) -> Model:
     """Parameters after ``rounds`` passes over ``docs.t``; ``words`` is a broadcast Words.  Only averages reach the driver."""
     model = Model.fresh(words.value.noise, seed)
@@ -237,7 +253,7 @@ def scores(df: DataFrame, text: str = "text", doc_id: str = "doc_id", dictionary
     training = docs.where(~F.col("held_out"))
     counts = written(count_words(training), "counts")
     ends = training.count()
-    top = [(bytes(r["w"]), r["n"]) for r in counts.orderBy(F.desc("n"), "w").limit(dictionary).collect()]
+    top = most_frequent(counts, dictionary)
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = totals[0] + ends, totals[1] + (ends > 0)
     hot = [w for w, _ in top[:HOT]]
