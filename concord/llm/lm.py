@@ -109,7 +109,7 @@ class Model:
         out.c[:], out.b[:] = 1, np.log(noise)
         return out
 
-    def train(self, streams: Iterator[np.ndarray], noise: np.ndarray, seed: int, batch: int = 2048, k: int = 32, rate: float = 0.15) -> int:
+    def train(self, streams: Iterator[np.ndarray], noise: np.ndarray, seed: int, batch: int = 512, k: int = 32, rate: float = 0.3) -> int:
         """One pass of noise-contrastive estimation with Adagrad over class sequences; returns the tokens seen."""
         rng, log_noise = np.random.default_rng(seed), np.log(k * noise).astype(np.float32)
         cumulative = np.cumsum(noise)
