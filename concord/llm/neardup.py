@@ -76,11 +76,17 @@ def variants(fp: Column, radius: int) -> Column:
     return F.array(*keys)
 
 
-def first_met(key: Column, x: Column, y: Column, radius: int) -> Column:
-    """Of the variants that two fingerprints share in a segment, one: the differing bit's, or the first if none differs."""
+def met_once(key: Column, x: Column, y: Column, radius: int) -> Column:
+    """Of all variants that two fingerprints share, one: in the first segment that differs by at most a bit, the one
+    without the differing bit, or the segment's first if none differs."""
     n = radius // 2 + 1
-    place = F.shiftright(key, 40).cast("int")
-    return place.isin([round(64 * i / n) for i in range(n)]) | (F.getbit(x.bitwiseXOR(y), place) == 1)
+    cuts = [round(64 * i / n) for i in range(n + 1)]
+    apart, place = x.bitwiseXOR(y), F.shiftright(key, 40).cast("int")
+    here = place.isin(cuts[:-1]) | (F.getbit(apart, place) == 1)
+    for a, b in zip(cuts, cuts[1:-1], strict=False):
+        earlier = F.shiftrightunsigned(apart, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+        here = here & ((place < b) | (F.bit_count(earlier) > 1))
+    return here
 
 
 def links(prints: DataFrame, radius: int) -> DataFrame:
@@ -98,7 +104,7 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     mixed = index.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).where("lo < hi")
     open_ = written(mixed.drop("lo", "hi"), "open")
     x, y = (open_.select("key", F.col("fp").alias(n), F.col("root").alias(f"r{n}")) for n in "ab")
-    met = (x["key"] == y["key"]) & (F.col("ra") < F.col("rb")) & near("a", "b") & first_met(x["key"], F.col("a"), F.col("b"), radius)
+    met = (x["key"] == y["key"]) & (F.col("ra") < F.col("rb")) & near("a", "b") & met_once(x["key"], F.col("a"), F.col("b"), radius)
     between = x.join(y, met).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
     second = components(between)
     joined = rooted.join(small(second), rooted["root"] == second["node"], "left").select("fp", F.coalesce(second["root"], rooted["root"]).alias("root"))
@@ -146,6 +152,7 @@ def wide_print(text: str, width: int) -> np.ndarray:
 def wide_prints(text: str, width: int) -> Column:
     def prints(texts: pa.Array) -> pa.Array:
         rows = np.array([wide_print(x.as_py(), width) for x in texts], dtype=np.uint64).reshape(-1, 4).view(np.int64)
+        pa.default_memory_pool().release_unused()
         return pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(rows) + 1, 4, dtype=np.int32)), pa.array(rows.ravel()))
 
     return F.arrow_udf(prints, "array<bigint>")(text_or_empty(text))
@@ -162,9 +169,9 @@ def shingle_sets(text: str, width: int) -> Column:
     return F.arrow_udf(sets, "array<bigint>")(F.col(text))
 
 
-def _apart(x: Column, y: Column) -> Column:
-    """Differing bits of two wide prints."""
-    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(1, 4)), F.bit_count(F.get(x, F.lit(0)).bitwiseXOR(F.get(y, F.lit(0)))))
+def _apart(x: list[Column], y: list[Column]) -> Column:
+    """Differing bits of two wide prints given as four words each."""
+    return sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(x[1:], y[1:], strict=True)), F.bit_count(x[0].bitwiseXOR(y[0])))
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -179,34 +186,35 @@ def _similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return written(pairs.join(x, "a").join(y, "b").where(both >= similarity * either).select("a", "b"), "similar")
 
 
+WIDE = ("w0", "w1", "w2", "w3")
+
+
 def text_groups(texts: DataFrame, prints: DataFrame, width: int, radius: int, within: int, similarity: float) -> DataFrame:
     """(h, root) of all distinct texts: components of links between texts.
 
-    ``prints`` is (h, sig).  As in ``links``, each bucket is first tied to its smallest and then to its largest member;
-    only buckets that still hold different components are joined, and only between those."""
-    rooted = prints.select("h", "sig", F.col("h").alias("root"))
-    edges = None
-    for pick in (F.min, F.max, None):
-        index = rooted.select("h", "root", "sig", F.explode(variants(F.get("sig", F.lit(0)), radius)).alias("key"))
-        if pick:
-            lead = index.withColumn("p", pick(F.struct("h", "root", "sig")).over(Window.partitionBy("key")))
-            found = lead.where((F.col("root") != F.col("p.root")) & (_apart(F.col("sig"), F.col("p.sig")) <= within)).select(F.col("h").alias("a"), F.col("p.h").alias("b"))
-        else:
-            bucket = Window.partitionBy("key")
-            rest = index.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).where("lo < hi").drop("lo", "hi")
-            rest = written(rest, "open")
-            x, y = (rest.select("key", *(F.col(c).alias(f"{c}_{n}") for c in ("h", "root", "sig"))) for n in "xy")
-            near = (F.col("root_x") < F.col("root_y")) & (_apart(F.col("sig_x"), F.col("sig_y")) <= within)
-            near = near & first_met(x["key"], F.get("sig_x", F.lit(0)), F.get("sig_y", F.lit(0)), radius)
-            found = x.join(y, (x["key"] == y["key"]) & near).select(F.col("h_x").alias("a"), F.col("h_y").alias("b"))
-        new = _similar(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, width, similarity)
-        edges = new if edges is None else edges.union(new)
-        joined = small(components(edges))
-        rooted = written(prints.join(joined, prints["h"] == joined["node"], "left").select("h", "sig", F.coalesce("root", "h").alias("root")), "rooted")
-    return rooted.select("h", "root")
-
-
-def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, radius: int = 7, within: int = 56, similarity: float = 0.8) -> DataFrame:
+    ``texts`` is (h, t) with repeats, ``prints`` is (h, w0..w3), one row per text.  As in ``links``, each bucket is first tied to its smallest and its
+    largest member; the join that follows emits pairs of different components only, each pair once."""
+    bucket = Window.partitionBy("key")
+    index = prints.select("h", "w0", F.explode(variants(F.col("w0"), radius)).alias("key"))
+    member = F.struct("h", "w0")
+    ends = index.withColumn("lo", F.min(member).over(bucket)).withColumn("hi", F.max(member).over(bucket)).where("lo.h < hi.h")
+    tied = [ends.where(f"h <> {e}.h").where(F.bit_count(F.col("w0").bitwiseXOR(F.col(f"{e}.w0"))) <= within // 3).select(F.least("h", f"{e}.h").alias("a"), F.greatest("h", f"{e}.h").alias("b")) for e in ("lo", "hi")]
+    pairs = written(tied[0].union(tied[1]).distinct(), "ties")
+    x, y = (prints.select(F.col("h").alias(n), *(F.col(w).alias(f"{n}{w}") for w in WIDE)) for n in "ab")
+    close = _apart([F.col(f"a{w}") for w in WIDE], [F.col(f"b{w}") for w in WIDE]) <= within
+    first = _similar(pairs.join(x, "a").join(y, "b").where(close).select("a", "b"), texts, width, similarity)
+    linked = small(components(first))
+    rooted = written(prints.join(linked, prints["h"] == linked["node"], "left").select("h", *WIDE, F.coalesce("root", "h").alias("root")), "rooted")
+    index = rooted.select("h", "root", *WIDE, F.explode(variants(F.col("w0"), radius)).alias("key"))
+    x, y = (index.select("key", *(F.col(c).alias(f"{n}{c}") for c in ("h", "root", *WIDE))) for n in "ab")
+    near = _apart([F.col(f"a{w}") for w in WIDE], [F.col(f"b{w}") for w in WIDE]) <= within
+    met = (x["key"] == y["key"]) & (F.col("aroot") < F.col("broot")) & near & met_once(x["key"], F.col("aw0"), F.col("bw0"), radius)
+    second = _similar(x.join(y, met).select(F.least("ah", "bh").alias("a"), F.greatest("ah", "bh").alias("b")), texts, width, similarity)
+    linked = small(components(first.union(second)))
+    return written(rooted.join(linked, rooted["h"] == linked["node"], "left").select("h", F.coalesce(linked["root"], rooted["h"]).alias("root")), "grouped")
+
+
+def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, radius: int = 7, within: int = 52, similarity: float = 0.8) -> DataFrame:
     """``df`` less near copies: of each group the row with the smallest doc_id stays, with its columns and values.
 
     Groups are components of links; two texts are linked if the Jaccard similarity of their sets of ``width``-word
@@ -218,7 +226,7 @@ def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width
     rows = written(base.select("__id", "__h", wide_prints(text, width).alias("sig")), "prints")
     texts = rows.groupBy("__h").agg(F.min("__id").alias("first"), F.count("*").alias("copies"), F.count_if(F.col("__id").isNull()).alias("nulls"), F.any_value("sig").alias("sig"))
     texts = written(texts, "texts")
-    groups = text_groups(base.select(F.col("__h").alias("h"), text_or_empty(text).alias("t")), texts.select(F.col("__h").alias("h"), "sig"), width, radius, within, similarity)
+    groups = text_groups(base.select(F.col("__h").alias("h"), text_or_empty(text).alias("t")), texts.select(F.col("__h").alias("h"), *(F.get("sig", F.lit(i)).alias(w) for i, w in enumerate(WIDE))), width, radius, within, similarity)
     known = texts.join(groups, texts["__h"] == groups["h"])
     order = F.struct(F.col("first").isNull(), "first", "__h")
     lead = known.groupBy("root").agg(F.min(order).alias("lead"))
