@@ -12,7 +12,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: A table is broadcast only after a count has shown that it has no more rows than this.
 BROADCAST_ROWS = 200_000
@@ -50,6 +49,14 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def least_of(df: DataFrame, key: str, *aggregates: Column) -> DataFrame:
+    """``key`` and the aggregates of each key, combined in every task before the shuffle, ready to be joined back.
+
+    The key is computed anew, so that the join shuffles both of its sides by itself; only such joins does Spark split
+    where one key holds a large part of the rows."""
+    return df.groupBy(key).agg(*aggregates).withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an edge table ``(a, b)`` of longs, by alternating large and small stars.
 
@@ -60,14 +67,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         flipped = e.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        near = e.union(flipped) if large else e
-        low = near.withColumn("m", F.least("a", F.min("b").over(Window.partitionBy("a"))))
-        if large:
-            out = low.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        else:
-            pairs = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
-            out = low.select(F.inline(pairs))
-        return out.where("a <> b").distinct()
+        low = least_of(e.union(flipped) if large else e, "a", F.least("a", F.min("b")).alias("m"))
+        far = (flipped if large else e).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return (far if large else far.union(low.select("a", F.col("m").alias("b")))).where("a <> b").distinct()
 
     down = lambda e: e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = written(down(edges.where("a <> b")).distinct(), "edges")

@@ -24,9 +24,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from concord.llm.common import components, small, text_or_empty, written
+from concord.llm.common import components, least_of, small, text_or_empty, written
 
 _LANES = np.uint64(0x0101010101010101)
 
@@ -94,15 +93,14 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     if radius < 2:
         raise ValueError("a radius of at least 2 is needed")
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= radius
-    bucket = Window.partitionBy("key")
     index = prints.select("fp", F.explode(variants(F.col("fp"), radius)).alias("key"))
-    ends = index.withColumn("lo", F.min("fp").over(bucket)).withColumn("hi", F.max("fp").over(bucket)).where("lo < hi")
+    ends = index.join(least_of(index, "key", F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi"), "key")
     ties = [ends.where(f"fp <> {end}").where(near("fp", end)).select(F.col("fp").alias("a"), F.col(end).alias("b")) for end in ("lo", "hi")]
     first = small(components(written(ties[0].union(ties[1]).distinct(), "stars")).select(F.col("node").alias("fp"), "root"))
     rooted = written(prints.join(first, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
     index = rooted.select("fp", "root", F.explode(variants(F.col("fp"), radius)).alias("key"))
-    mixed = index.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).where("lo < hi")
-    open_ = written(mixed.drop("lo", "hi"), "open")
+    mixed = least_of(index, "key", F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    open_ = written(index.join(mixed, "key", "left_semi"), "open")
     x, y = (open_.select("key", F.col("fp").alias(n), F.col("root").alias(f"r{n}")) for n in "ab")
     met = (x["key"] == y["key"]) & (F.col("ra") < F.col("rb")) & near("a", "b") & met_once(x["key"], F.col("a"), F.col("b"), radius)
     between = x.join(y, met).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
@@ -194,10 +192,9 @@ def text_groups(texts: DataFrame, prints: DataFrame, width: int, radius: int, wi
 
     ``texts`` is (h, t) with repeats, ``prints`` is (h, w0..w3), one row per text.  As in ``links``, each bucket is first tied to its smallest and its
     largest member; the join that follows emits pairs of different components only, each pair once."""
-    bucket = Window.partitionBy("key")
     index = prints.select("h", "w0", F.explode(variants(F.col("w0"), radius)).alias("key"))
     member = F.struct("h", "w0")
-    ends = index.withColumn("lo", F.min(member).over(bucket)).withColumn("hi", F.max(member).over(bucket)).where("lo.h < hi.h")
+    ends = index.join(least_of(index, "key", F.min(member).alias("lo"), F.max(member).alias("hi")).where("lo.h < hi.h"), "key")
     tied = [ends.where(f"h <> {e}.h").where(F.bit_count(F.col("w0").bitwiseXOR(F.col(f"{e}.w0"))) <= within // 3).select(F.least("h", f"{e}.h").alias("a"), F.greatest("h", f"{e}.h").alias("b")) for e in ("lo", "hi")]
     pairs = written(tied[0].union(tied[1]).distinct(), "ties")
     x, y = (prints.select(F.col("h").alias(n), *(F.col(w).alias(f"{n}{w}") for w in WIDE)) for n in "ab")
