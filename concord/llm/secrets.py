@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -60,32 +61,50 @@ def strength(value: str) -> float:
     return min(1.0, bits / 40 + 0.15 * (mixed - 1)) * spaced
 
 
+def literals(pieces: list) -> list[tuple[int, int]]:
+    """The spans of the literals that an expression is made of, in order, each once.
+
+    A piece is a span, or the pieces of an earlier name; shared ones are walked once, so doubling chains stay linear."""
+    spans: dict[tuple[int, int], None] = {}
+    walked, todo = set(), [pieces]
+    while todo:
+        piece = todo.pop()
+        if isinstance(piece, tuple):
+            spans[piece] = None
+        elif id(piece) not in walked:
+            walked.add(id(piece))
+            todo += reversed(piece)
+    return list(spans)
+
+
 def lexed(text: str, threshold: float = 0.45) -> list[tuple[int, int, str, float]]:
     """(start, end, target name, score) of every literal that reaches a sensitive name."""
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+    known: dict[str, list] = {}
     found: dict[tuple[int, int], tuple[str, float]] = {}
     for m in _TARGET.finditer(text):
-        name, at, value, spans = m[1], m.end(), "", []
+        name, at, pieces = m[1], m.end(), []
         while o := _OPERAND.match(text, at):
             kind = o.lastindex
             ref = o[kind].rstrip(".") if kind >= 4 else None
             if ref is not None and ref in known:
-                value, spans = value + known[ref][0], spans + known[ref][1]
+                pieces.append(known[ref])
             elif kind == 4:
                 break
             else:
-                value, spans = value + o[kind], [*spans, o.span(kind)]
+                pieces.append(o.span(kind))
             at = o.end()
             if not (p := _PLUS.match(text, at)):
                 break
             at = p.end()
-        if not spans:
+        if not pieces:
             continue
-        known[name] = value, spans
-        if (s := sensitivity(name)) and (score := s * strength(value)) >= threshold:
-            for span in spans:
-                if span[1] > span[0]:
-                    found.setdefault(span, (name, round(score, 6)))
+        known[name] = pieces
+        if s := sensitivity(name):
+            spans = literals(pieces)
+            if (score := s * strength("".join(text[a:b] for a, b in spans))) >= threshold:
+                for span in spans:
+                    if span[1] > span[0]:
+                        found.setdefault(span, (name, round(score, 6)))
     return [(a, b, *v) for (a, b), v in found.items()]
 
 
@@ -94,7 +113,15 @@ def findings(text: str, threshold: float = 0.45) -> list[dict]:
     base = [("assign", m.start(), m.end(), m[1], 1.0) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     base += [("access", m.start(), m.end(), None, 1.0) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     base += [("hex", m.start(), m.end(), None, 1.0) for m in HEX.finditer(text)]
-    more = [("lexed", a, b, n, s) for a, b, n, s in lexed(text, threshold) if not any(a < e and x < b for _, x, e, _, _ in base)] if "=" in text or ":" in text else []
+    starts, ends = [], []  # of what base spans cover, without overlaps
+    for _, a, b, _, _ in sorted(base, key=lambda x: x[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    touched = lambda a, b: (i := bisect_right(ends, a)) < len(ends) and starts[i] < b
+    more = [("lexed", a, b, n, s) for a, b, n, s in lexed(text, threshold) if not touched(a, b)] if "=" in text or ":" in text else []
     return [dict(zip(("kind", "start", "end", "name", "score"), x, strict=True)) for x in sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))]
 
 

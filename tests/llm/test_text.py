@@ -61,6 +61,13 @@ def test_lexed(text, want):
     assert [text[f["start"] : f["end"]] for f in secrets.findings(text) if f["kind"] == "lexed"] == want
 
 
+def test_doubling_chains_and_many_spans():
+    doubled = "a = 'x9f2Kq81ZmPw'\n" + "a = a + a\n" * 200 + "db_password = a\n"
+    assert [(x["kind"], doubled[x["start"] : x["end"]]) for x in secrets.findings(doubled)] == [("lexed", "x9f2Kq81ZmPw")]
+    many = "".join(f"token = 'abc{i:06d}XyZ'\nmy_pass = 'Qq7{i:06d}zX'\n" for i in range(5000))
+    assert len(secrets.findings(many)) == 10000
+
+
 def test_secret_edges(spark):
     got = secrets.scan_secrets(odd(spark)).collect()
     assert len(got) == 6 and all(r["findings"] == [] for r in got)
