@@ -2,12 +2,12 @@
 
 Texts become sequences of lower-cased words in which numbers, units after numbers and names (capitalised words inside a
 sentence) are typed placeholders.  Windows of ``width`` template words of every document are hash-joined to those of
-the benchmark.  A document that holds enough of an item's windows is then looked at again with its slot values: each
-slot value of the item must meet one value throughout the document, whichever it is, so a re-parameterised question is
-caught while texts that merely share a form are not.
+the benchmark.  A document that holds enough of an item's windows is then looked at again with places and slot values:
+each slot value of the item must meet one value throughout an occurrence, whichever it is, so a re-parameterised
+question is caught, however many copies a document holds, while texts that merely share a form are not.
 
-A pair counts when the document has at least ``coverage`` of the item's distinct windows, or ``run`` windows, and at
-least ``consistent`` of the item's slots agree.  Windows with fewer than three literal words are not used; an item
+A pair counts when one occurrence, or the document as a whole, has at least ``coverage`` of the item's distinct windows,
+or ``run`` windows, and at least ``consistent`` of the item's slots agree.  Windows with fewer than three literal words are not used; an item
 shorter than a window is one window by itself and must hold three literal words too.
 
 Edge cases: null or empty texts hold no window; a row is known by doc_id and text together, so null ids work and rows
@@ -26,6 +26,8 @@ from concord.llm.common import small, text_or_empty, written
 NUM, UNIT, NAME = "\u0002", "\u0003", "\u0004"
 UNITS = "percent|km|kilometers|kilometres|miles|m|meters|metres|cm|mm|feet|ft|inches|kg|kilograms|grams|g|mg|pounds|lb|liters|litres|ml|l|hours|hour|h|minutes|minute|min|seconds|second|s|ms|days|day|weeks|week|months|month|years|year|dollars|cents|euros|usd|eur|mph|kmh|volts|watts|kw|degrees|gb|mb|kb|tb"
 LITERALS = 3
+#: The band that stands for a whole document.
+WHOLE = -(1 << 31)
 
 
 def annotated(text: Column) -> Column:
@@ -58,36 +60,57 @@ def hashed(df: DataFrame, key: list[str], width: int) -> DataFrame:
 
 
 def detailed(df: DataFrame, key: list[str], width: int) -> DataFrame:
-    """``key``, at, h, template words and annotated words of each window."""
+    """``key``, n (words of the text), at, h, template words and annotated words of each window."""
     lines = df.select(*key, annotated(F.col("t")).alias("a")).select(*key, words(F.col("a")).alias("v"), words(template(F.col("a"))).alias("w"))
     window = lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("w", i + 1, width)).alias("h"), F.slice("w", i + 1, width).alias("w"), F.slice("v", i + 1, width).alias("v"))
-    return lines.select(*key, F.inline(F.transform(starts(F.size("w"), width), window)))
+    return lines.select(*key, F.size("w").alias("n"), F.inline(F.transform(starts(F.size("w"), width), window)))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, coverage: float = 0.5, run: int = 9, consistent: float = 0.8) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, coverage: float = 0.5, run: int = 9, consistent: float = 0.8, slack: int = 8) -> DataFrame:
     """One row per pair of document and item: doc_id, text_hash, item_id, n_windows, n_matched, n_slots, n_changed."""
-    slots = lambda w: F.size(F.filter(w, lambda x: x.rlike("^[\u0002-\u0004]")))
-    items = detailed(benchmark.select("item_id", text_or_empty("text").alias("t")), ["item_id"], width).where(F.size("w") - slots("w") >= LITERALS)
-    items = written(items.withColumnRenamed("w", "bw").withColumnRenamed("v", "bv"), "items")
+    literals = lambda w: F.size(F.filter(w, lambda x: x > "\u0005"))
+    items = detailed(benchmark.select("item_id", text_or_empty("text").alias("t")), ["item_id"], width).where(literals("w") >= LITERALS)
+    items = written(items.withColumnsRenamed({"at": "bat", "w": "bw", "v": "bv", "n": "bn"}), "items")
     index = written(items.select("item_id", "h").distinct(), "index")
     sizes = index.groupBy("item_id").agg(F.count("*").alias("n_windows"))
     base = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("t")).withColumn("text_hash", F.xxhash64("t"))
     hits = hashed(base, ["doc_id", "text_hash"], width).join(small(index), "h")
-    pairs = hits.groupBy("doc_id", "text_hash", "item_id").agg(F.count_distinct("h").alias("n_matched")).join(small(written(sizes, "sizes")), "item_id")
-    pairs = written(pairs.where((F.col("n_matched") >= coverage * F.col("n_windows")) | (F.col("n_matched") >= run)), "pairs")
-    # again, with values, for documents that passed
+    pairs = hits.groupBy("doc_id", "text_hash", "item_id").agg(F.count_distinct("h").alias("n")).join(small(written(sizes, "sizes")), "item_id")
+    enough = (F.col("n") >= coverage * F.col("n_windows")) | (F.col("n") >= run)
+    pairs = written(pairs.where(enough).drop("n").withColumn("pair", F.monotonically_increasing_id()), "pairs")
+    # again, with places and values, for documents that passed
     some = small(written(pairs.select("doc_id", "text_hash").distinct(), "some"))
     seen = base.join(some.withColumnsRenamed({"doc_id": "__id", "text_hash": "__h"}), (F.col("text_hash") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     seen = detailed(seen.dropDuplicates(["doc_id", "text_hash"]), ["doc_id", "text_hash"], width)
     met = seen.join(small(items), "h").where(F.col("w") == F.col("bw"))
-    slot = F.filter(F.arrays_zip("bw", "bv", "v"), lambda x: x["bw"].rlike("^[\u0002-\u0004]"))
-    filled = met.select("doc_id", "text_hash", "item_id", F.inline(slot))
-    each = filled.groupBy("doc_id", "text_hash", "item_id", "bw", "bv").agg(F.count_distinct("v").alias("n"), F.min("v").alias("v"))
-    of = each.groupBy("doc_id", "text_hash", "item_id").agg(F.count("*").alias("n_slots"), F.count_if(F.expr("n = 1")).alias("n_same"), F.count_if(F.expr("n > 1 or v <> bv")).alias("n_changed"))
-    of = small(written(of.withColumnsRenamed({"doc_id": "__id", "text_hash": "__h", "item_id": "__item"}), "slots"))
-    on = pairs["doc_id"].eqNullSafe(of["__id"]) & (pairs["text_hash"] == of["__h"]) & (pairs["item_id"] == of["__item"])
-    out = pairs.join(of, on, "left").where((F.coalesce("n_slots", F.lit(0)) == 0) | (F.col("n_same") >= consistent * F.col("n_slots")))
-    return out.select("doc_id", "text_hash", "item_id", "n_windows", "n_matched", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
+    of = small(pairs.withColumnsRenamed({"doc_id": "__id", "text_hash": "__h", "item_id": "__item"}))
+    met = met.join(of, met["doc_id"].eqNullSafe(of["__id"]) & (met["text_hash"] == of["__h"]) & (met["item_id"] == of["__item"]))
+    judged = occurrences(met, slack).join(small(pairs), "pair").where(enough)
+    judged = judged.where((F.col("n_slots") == 0) | (F.col("n_same") >= consistent * F.col("n_slots")))
+    names = ("doc_id", "text_hash", "item_id", "n_windows", "n", "n_slots", "n_changed")
+    best = judged.groupBy("pair").agg(F.max_by(F.struct(*names), F.struct(F.col("band") == WHOLE, "n", -F.col("n_changed"), "band")).alias("x"))
+    return best.select("x.*").withColumnRenamed("n", "n_matched")
+
+
+def occurrences(met: DataFrame, slack: int) -> DataFrame:
+    """pair, band, n, n_slots, n_same, n_changed: matched windows and slots of each whole document and of each band in it.
+
+    An occurrence lies on a diagonal, the place in the document less that in the item, up to insertions of ``slack`` words
+    (a quarter of the item at most, so that copies side by side are never in one band).  Bands are two such steps wide and
+    overlap by one.  Where an item's slot is met more than once in a band, the diagonal with most windows counts."""
+    step = F.greatest(F.lit(1), F.least(F.lit(slack), F.floor(F.col("bn") / 4))).cast("int")
+    slots = F.filter(F.transform(F.arrays_zip("bv", "v"), lambda x, i: F.struct((F.col("bat") + i).alias("p"), x["bv"].alias("bv"), x["v"].alias("v"))), lambda x: x["bv"] < "\u0005")
+    lines = met.select("pair", step.alias("step"), (F.col("at") - F.col("bat")).alias("off"), "h", slots.alias("slots"))
+    lines = lines.groupBy("pair", "step", "off").agg(F.collect_set("h").alias("ids"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
+    first = F.floor(F.col("off") / F.col("step")).cast("int")
+    lines = written(lines.select("pair", "off", "ids", "slots", F.explode(F.array(first, first - 1, F.lit(WHOLE))).alias("band")), "lines")
+    windows = lines.select("pair", "band", F.explode("ids").alias("id")).groupBy("pair", "band").agg(F.count_distinct("id").alias("n"))
+    filled = lines.select("pair", "band", "off", F.size("ids").alias("support"), F.inline("slots"))
+    # the whole document is judged by all that its slots meet
+    once = filled.groupBy("pair", "band", "p", F.when(F.col("band") == WHOLE, F.col("off")).alias("of")).agg(F.max_by(F.struct("bv", "v"), F.struct("support", -F.col("off"))).alias("x"))
+    each = once.select("pair", "band", "x.*").groupBy("pair", "band", "bv").agg(F.count_distinct("v").alias("n"), F.min("v").alias("v"))
+    counts = each.groupBy("pair", "band").agg(F.count("*").alias("n_slots"), F.count_if(F.expr("n = 1")).alias("n_same"), F.count_if(F.expr("n > 1 or v <> bv")).alias("n_changed"))
+    return windows.join(counts, ["pair", "band"], "left").fillna(0, ["n_slots", "n_same", "n_changed"])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
