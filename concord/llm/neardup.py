@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from concord.llm.common import components, least_of, small, text_or_empty, written
 
 _LANES = np.uint64(0x0101010101010101)
+#: MinHash: bands of so many rows; a pair at Jaccard 0.8 shares no band once in 300,000 times.
+BANDS, BAND_ROWS = 32, 5
+_ODD = np.random.default_rng(5).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str, width: int) -> list[bytes]:
@@ -139,19 +142,35 @@ def majority(h: np.ndarray) -> np.ndarray:
 
 
 def wide_print(text: str, width: int) -> np.ndarray:
-    """Four words of 64 bits; the first is what the index uses, all four tell near from far."""
+    """Four words of 64 bits over the distinct shingles; the first is what the index uses, all four tell near from far."""
+    return majority(_digests(text, width))
+
+
+def _digests(text: str, width: int) -> np.ndarray:
     digest = xxhash.xxh3_128_digest
-    found = shingles(text, width)
-    if not found:
-        return np.zeros(4, dtype=np.uint64)
-    return majority(np.frombuffer(b"".join(digest(s, seed) for s in found for seed in (0, 1)), dtype=np.uint64).reshape(-1, 4))
+    return np.frombuffer(b"".join(digest(s, seed) for s in dict.fromkeys(shingles(text, width)) for seed in (0, 1)), dtype=np.uint64).reshape(-1, 4)
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """One key per band of minima over the hashes ``h`` of distinct shingles; none for none."""
+    if not len(h):
+        return h
+    least = np.full(len(_ODD), ~np.uint64(0))
+    for at in range(0, len(h), 512):
+        x = h[at : at + 512, None] * _ODD
+        np.minimum(least, (x ^ (x >> np.uint64(32))).min(0), out=least)
+    rows = np.column_stack([np.arange(BANDS, dtype=np.uint64), least.reshape(BANDS, BAND_ROWS)])
+    return np.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in rows], dtype=np.uint64)
 
 
 def wide_prints(text: str, width: int) -> Column:
+    """The four words of the wide print and after them the band keys."""
+
     def prints(texts: pa.Array) -> pa.Array:
-        rows = np.array([wide_print(x.as_py(), width) for x in texts], dtype=np.uint64).reshape(-1, 4).view(np.int64)
+        found = (_digests(x.as_py(), width) for x in texts)
+        rows = [np.concatenate([majority(h), band_keys(h[:, 0])]).view(np.int64) for h in found]
         pa.default_memory_pool().release_unused()
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(rows) + 1, 4, dtype=np.int32)), pa.array(rows.ravel()))
+        return pa.array(rows, pa.list_(pa.int64()))
 
     return F.arrow_udf(prints, "array<bigint>")(text_or_empty(text))
 
@@ -190,7 +209,7 @@ WIDE = ("w0", "w1", "w2", "w3")
 def text_groups(texts: DataFrame, prints: DataFrame, width: int, radius: int, within: int, similarity: float) -> DataFrame:
     """(h, root) of all distinct texts: components of links between texts.
 
-    ``texts`` is (h, t) with repeats, ``prints`` is (h, w0..w3), one row per text.  As in ``links``, each bucket is first tied to its smallest and its
+    ``texts`` is (h, t) with repeats, ``prints`` is (h, w0..w3, bands), one row per text.  As in ``links``, each bucket is first tied to its smallest and its
     largest member; the join that follows emits pairs of different components only, each pair once."""
     index = prints.select("h", "w0", F.explode(variants(F.col("w0"), radius)).alias("key"))
     member = F.struct("h", "w0")
@@ -199,14 +218,23 @@ def text_groups(texts: DataFrame, prints: DataFrame, width: int, radius: int, wi
     pairs = written(tied[0].union(tied[1]).distinct(), "ties")
     x, y = (prints.select(F.col("h").alias(n), *(F.col(w).alias(f"{n}{w}") for w in WIDE)) for n in "ab")
     close = _apart([F.col(f"a{w}") for w in WIDE], [F.col(f"b{w}") for w in WIDE]) <= within
-    first = _similar(pairs.join(x, "a").join(y, "b").where(close).select("a", "b"), texts, width, similarity)
+    banded = prints.select("h", F.explode("bands").alias("key"))
+    ends = banded.join(least_of(banded, "key", F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi"), "key")
+    sharing = [ends.where(f"h <> {e}").select(F.least("h", e).alias("a"), F.greatest("h", e).alias("b")) for e in ("lo", "hi")]
+    first = _similar(pairs.join(x, "a").join(y, "b").where(close).select("a", "b").union(sharing[0]).union(sharing[1]), texts, width, similarity)
     linked = small(components(first))
-    rooted = written(prints.join(linked, prints["h"] == linked["node"], "left").select("h", *WIDE, F.coalesce("root", "h").alias("root")), "rooted")
+    rooted = written(prints.join(linked, prints["h"] == linked["node"], "left").select("h", *WIDE, "bands", F.coalesce("root", "h").alias("root")), "rooted")
     index = rooted.select("h", "root", *WIDE, F.explode(variants(F.col("w0"), radius)).alias("key"))
     x, y = (index.select("key", *(F.col(c).alias(f"{n}{c}") for c in ("h", "root", *WIDE))) for n in "ab")
     near = _apart([F.col(f"a{w}") for w in WIDE], [F.col(f"b{w}") for w in WIDE]) <= within
     met = (x["key"] == y["key"]) & (F.col("aroot") < F.col("broot")) & near & met_once(x["key"], F.col("aw0"), F.col("bw0"), radius)
-    second = _similar(x.join(y, met).select(F.least("ah", "bh").alias("a"), F.greatest("ah", "bh").alias("b")), texts, width, similarity)
+    near = x.join(y, met).select(F.least("ah", "bh").alias("a"), F.greatest("ah", "bh").alias("b"))
+    banded = rooted.select("h", "root", F.explode("bands").alias("key"))
+    mixed = least_of(banded, "key", F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    open_ = written(banded.join(mixed, "key", "left_semi"), "open")
+    x, y = (open_.select("key", F.col("h").alias(n), F.col("root").alias(f"r{n}")) for n in "ab")
+    sharing = x.join(y, (x["key"] == y["key"]) & (F.col("ra") < F.col("rb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = _similar(near.union(sharing), texts, width, similarity)
     linked = small(components(first.union(second)))
     return written(rooted.join(linked, rooted["h"] == linked["node"], "left").select("h", F.coalesce(linked["root"], rooted["h"]).alias("root")), "grouped")
 
@@ -217,13 +245,13 @@ def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width
     Groups are components of links; two texts are linked if the Jaccard similarity of their sets of ``width``-word
     shingles, over whole texts, is at least ``similarity``.  Candidates share a one-wildcard variant of the 64-bit
     fingerprint (all pairs within ``radius`` bits do, most within twice that) and differ in at most ``within`` of the 256 bits of
-    the wide print.  Equal texts are always linked.  Null ids come last; of rows that repeat id and text one stays.
+    the wide print, or share one of 32 MinHash bands of five rows.  Equal texts are always linked.  Null ids come last; of rows that repeat id and text one stays.
     """
     base = df.withColumn("__h", F.xxhash64(text_or_empty(text))).withColumn("__id", F.col(doc_id))
     rows = written(base.select("__id", "__h", wide_prints(text, width).alias("sig")), "prints")
     texts = rows.groupBy("__h").agg(F.min("__id").alias("first"), F.count("*").alias("copies"), F.count_if(F.col("__id").isNull()).alias("nulls"), F.any_value("sig").alias("sig"))
     texts = written(texts, "texts")
-    groups = text_groups(base.select(F.col("__h").alias("h"), text_or_empty(text).alias("t")), texts.select(F.col("__h").alias("h"), *(F.get("sig", F.lit(i)).alias(w) for i, w in enumerate(WIDE))), width, radius, within, similarity)
+    groups = text_groups(base.select(F.col("__h").alias("h"), text_or_empty(text).alias("t")), texts.select(F.col("__h").alias("h"), *(F.get("sig", F.lit(i)).alias(w) for i, w in enumerate(WIDE)), F.slice("sig", 5, BANDS).alias("bands")), width, radius, within, similarity)
     known = texts.join(groups, texts["__h"] == groups["h"])
     order = F.struct(F.col("first").isNull(), "first", "__h")
     lead = known.groupBy("root").agg(F.min(order).alias("lead"))
