@@ -41,12 +41,13 @@ def cosine(x: str | Column, y: str | Column) -> Column:
 
 
 def pearson(x: str | Column, y: str | Column) -> Column:
-    """Over components; null if a vector is constant."""
+    """Over components; null if a vector is constant, that is if its variance is below what rounding leaves of its mean square."""
     n = F.size(_c(x))
     mx, my = total(x) / n, total(y) / n
+    sx, sy = dot(x, x) / n, dot(y, y) / n
     cov = dot(x, y) / n - mx * my
-    vx, vy = dot(x, x) / n - mx * mx, dot(y, y) / n - my * my
-    return F.when((vx > 1e-300) & (vy > 1e-300), cov / F.sqrt(vx * vy))
+    vx, vy = sx - mx * mx, sy - my * my
+    return F.when((vx > 1e-12 * sx) & (vy > 1e-12 * sy), cov / F.sqrt(vx * vy))
 
 
 def distance2(x: str | Column, y: str | Column) -> Column:

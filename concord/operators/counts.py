@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -90,9 +91,17 @@ def nonzero_cells(counts: DataFrame, genes: DataFrame) -> DataFrame:
 
 
 def chunks(cells: DataFrame, key: str, size: int, group: str = "dataset_side") -> DataFrame:
-    """``chunk``: consecutive runs of ``size`` cells per group in key order."""
-    rn = F.row_number().over(Window.partitionBy(group).orderBy(key))
-    return cells.withColumn("chunk", F.floor((rn - 1) / size).cast("bigint"))
+    """``chunk``: consecutive runs of ``size`` cells per group in key order.
+
+    Cells are laid out by ranges, numbered within each range, and moved by the number of cells in the ranges before, so no
+    task has a whole group.  The layout is kept, as counts and numbers must see the same ranges."""
+    ranged = cells.repartitionByRange(group, key).withColumn("__range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    held = ranged.groupBy(group, "__range").agg(F.count("*").alias("n"))  # one row per range and group
+    before = F.sum("n").over(Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = held.select(F.col(group).alias("__group"), F.col("__range").alias("__of"), F.coalesce(before, F.lit(0)).alias("__before"))
+    numbered = ranged.withColumn("__number", F.row_number().over(Window.partitionBy("__range", group).orderBy(key)) - 1)
+    met = numbered.join(F.broadcast(offsets), (F.col("__range") == F.col("__of")) & F.col(group).eqNullSafe(F.col("__group")))
+    return met.withColumn("chunk", F.floor((F.col("__number") + F.col("__before")) / size).cast("bigint")).select(*cells.columns, "chunk")
 
 
 def duplicates(df: DataFrame, key: str, limit: int | None = None) -> DataFrame:

@@ -20,9 +20,14 @@ NAMES = ("mrr", "hit1", "hit3", "hit5")
 BROADCAST_VALUES = 5_000_000
 
 
+def prepared(df: DataFrame, vector: str, kind: str) -> DataFrame:
+    """``df`` with its vectors as ``similarity`` takes them: for cosine of length one, null for a zero vector."""
+    return df.withColumn(vector, V.unit(vector)) if kind == "cosine" else df
+
+
 def similarity(q: Column, g: Column, kind: str) -> Column:
-    """Rounded to nine digits, so that ties do not hang on the order of summation; null for a zero vector."""
-    value = V.cosine(q, g) if kind == "cosine" else -F.sqrt(V.distance2(q, g))
+    """Of prepared vectors, rounded to nine digits, so that ties do not hang on the order of summation; null for a zero vector."""
+    value = V.dot(q, g) if kind == "cosine" else -F.sqrt(V.distance2(q, g))
     return F.round(value, 9)
 
 
@@ -38,6 +43,7 @@ def per_query(queries: DataFrame, gallery: DataFrame, slice_: list[str], positiv
     queries: query_instance_id, ``slice_`` columns, vec and whatever else is carried.  gallery: ``slice_``, key, mean.
     positives: query_instance_id, representation, key, mean, the positive as this query must see it (left-one-out if need be)."""
     ids = ["query_instance_id", "representation"]
+    queries, gallery, positives = prepared(queries, "vec", kind), prepared(gallery, "mean", kind), prepared(positives, "mean", kind)
     own = queries.select(*ids, "vec").join(positives, ids).withColumn("sim", similarity(F.col("vec"), F.col("mean"), kind))
     first = F.min(F.when(F.col("sim").isNotNull(), F.struct((-F.col("sim")).alias("low"), "key")))
     best = own.groupBy(*ids).agg(first.alias("best"), F.collect_set("key").alias("own_keys"), F.count("*").alias("n_positive_keys"))

@@ -104,7 +104,6 @@ VIEWS = {
         FROM spine s LEFT JOIN means m USING (dataset_side, treated_cell_id) LEFT JOIN cell c ON c.dataset_side = s.dataset_side AND c.cell_id = s.treated_cell_id""",
     "needed": """SELECT dataset_side, treated_cell_id AS cell_id FROM pairs SEMI JOIN spine USING (dataset_side, treated_cell_id)
         UNION SELECT dataset_side, control_cell_id FROM pairs SEMI JOIN spine USING (dataset_side, treated_cell_id)""",
-    "kept_pairs": "SELECT * FROM pairs WHERE NOT (control_rank = 2 AND CAST(treated_cell_id AS BIGINT) % 3 = 0)",
     # counts
     "cnts": "SELECT CAST(l_orderkey AS VARCHAR) AS cell_id, p_brand AS gene_symbol, sum(CAST(l_quantity AS DOUBLE)) AS cnt FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL",
     "gmap": """SELECT DISTINCT p_brand AS gene_symbol, CASE WHEN CAST(replace(p_brand, 'Brand#', '') AS INT) % 7 = 0 THEN 'ENSMUSG' ELSE 'ENSG' END || replace(p_brand, 'Brand#', '') AS ensembl_id
@@ -142,8 +141,8 @@ SQL = {
     "t1_group_long": "SELECT * FROM t1l",
     "t2_group_long": "SELECT * FROM t2l",
     "t2_group_leaderboard": "SELECT * FROM t2_board",
-    "loo_centroid": """SELECT instance_id, CAST(dim AS INTEGER) AS dim, ((g.m * g.n - l.v) / (g.n - 1)) AS mean FROM inst i JOIN long l USING (instance_id) JOIN gal g USING (representation, dim)
-        WHERE representation = 'Pathway' AND g.p = 't1' AND g.slice = to_json([i.dataset, i.perturbation_type, i.cell_line]) AND g.key = i.perturbation_gene""",
+    "loo_centroid": """SELECT instance_id, representation, CAST(dim AS INTEGER) AS dim, ((g.m * g.n - l.v) / (g.n - 1)) AS mean FROM inst i JOIN long l USING (instance_id) JOIN gal g USING (representation, dim)
+        WHERE g.p = 't1' AND g.slice = to_json([i.dataset, i.perturbation_type, i.cell_line]) AND g.key = i.perturbation_gene""",
     "t1_retrieval_per_query": f"SELECT dataset, perturbation_type, representation, query_instance_id, cell_line, perturbation_gene, {RANK_COLUMNS} FROM t1q",
     "t1_cross_retrieval": f"SELECT perturbation_type, representation, query_instance_id, cell_line, perturbation_gene, {RANK_COLUMNS} FROM scored JOIN inst ON query_instance_id = instance_id WHERE p = 'cross'",
     "c2g_per_query": f"SELECT dataset, cell_line, direction, representation, query_instance_id, anchor_gene, perturbation_gene, {RANK_COLUMNS} FROM t2q WHERE direction = 'C2G'",
@@ -180,7 +179,7 @@ SQL = {
     "panel_fm_local": """WITH b AS (SELECT direction, representation, metric_name, metric_value FROM t2_sum WHERE dataset = 'scPerturb' AND cell_line = 'K562')
         SELECT b.*, g.metric_value AS baseline_value FROM b LEFT JOIN (SELECT * FROM b WHERE representation = 'Gene') g USING (direction, metric_name)""",
     "pair_groups": "SELECT dataset_side, treated_cell_id, string_agg(control_cell_id, ',' ORDER BY control_rank, control_cell_id) AS controls, count(*) AS n_controls FROM pairs GROUP BY ALL",
-    "pair_contract_violations": """SELECT dataset_side, treated_cell_id, count(*) AS n_controls, count(DISTINCT n_controls_used) AS n_stated, max(n_controls_used) AS stated FROM kept_pairs
+    "pair_contract_violations": """SELECT dataset_side, treated_cell_id, count(*) AS n_controls, count(DISTINCT n_controls_used) AS n_stated, max(n_controls_used) AS stated FROM pairs
         GROUP BY dataset_side, treated_cell_id HAVING count(DISTINCT n_controls_used) <> 1 OR count(*) <> max(n_controls_used)""",
     "missing_pair_keys": "SELECT row_id, dataset_side, treated_cell_id FROM spine ANTI JOIN pairs USING (dataset_side, treated_cell_id)",
     "required_ids": "SELECT * FROM needed",

@@ -165,8 +165,8 @@ RANKED = ["gallery_size", "n_positive_keys", "rank_true", *(f"{m}_{k}" for k in
 
 @query
 def loo_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = retrieval.loo_centroids(_rep(spark, sf_dir).where("representation = 'Pathway'"))
-    return got.select("instance_id", F.posexplode("loo").alias("dim", "mean")).withColumn("mean", F.col("mean"))
+    got = retrieval.loo_centroids(_rep(spark, sf_dir))
+    return got.select("instance_id", "representation", F.posexplode("loo").alias("dim", "mean")).withColumn("mean", F.col("mean"))
 
 
 @query
@@ -325,8 +325,7 @@ def pair_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pair_contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over pairs of which some have been taken away, so that there is something to find."""
-    return fmdelta.contract_violations(_pairs(spark, sf_dir).where("NOT (control_rank = 2 AND CAST(treated_cell_id AS BIGINT) % 3 = 0)"))
+    return fmdelta.contract_violations(_pairs(spark, sf_dir))
 
 
 @query

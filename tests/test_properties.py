@@ -35,6 +35,27 @@ def test_degenerate_vectors_give_null(spark):
     assert got[0]["c"] is None and got[0]["p"] is None and got[1]["p"] is None and got[1]["c"] is not None
 
 
+def test_constant_vectors_have_no_correlation(spark):
+    rng = np.random.default_rng(3)
+    rows = [([c] * 64, rng.normal(size=64).tolist()) for c in (0.1, 1e-9, 7.3e8, 0.0)] + [(rng.normal(1000, 1, 64).tolist(), rng.normal(size=64).tolist())]
+    got = [r["p"] for r in spark.createDataFrame(rows, "x array<double>, y array<double>").select(V.pearson("x", "y").alias("p")).collect()]
+    assert got[:4] == [None] * 4 and got[4] == pytest.approx(np.corrcoef(*rows[4])[0, 1], abs=1e-6)
+
+
+def test_planted_contract_violations(spark):
+    rows = [("CRISPR", "a", f"c{i}", i, 2) for i in (1, 2)] + [("DRUG", "b", "c1", 1, 2)] + [("DRUG", "d", f"c{i}", i, i) for i in (1, 2)]
+    pairs = spark.createDataFrame(rows, "dataset_side string, treated_cell_id string, control_cell_id string, control_rank long, n_controls_used long")
+    assert sorted(r["treated_cell_id"] for r in fmdelta.contract_violations(pairs).collect()) == ["b", "d"]
+
+
+def test_chunks_by_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["A", "B", None]), i) for i in rng.sample(range(10_000), 500)]
+    got = counts.chunks(spark.createDataFrame(rows, "dataset_side string, cell_id long").repartition(7), "cell_id", 16).collect()
+    want = {(side, c): i // 16 for side in ("A", "B", None) for i, c in enumerate(sorted(c for s, c in rows if s == side))}
+    assert {(r["dataset_side"], r["cell_id"]): r["chunk"] for r in got} == want and len(got) == 500
+
+
 def test_underpowered(spark):
     df = spark.createDataFrame([("A", [1.0, 2.0]), ("B", [1.0, 3.0]), ("B", [2.0, 3.0])], "side string, vec array<double>").withColumns({"u": F.lit("u"), "representation": F.lit("r")})
     got = group.concordance(df, ["u"]).first()
