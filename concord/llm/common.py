@@ -1,8 +1,9 @@
 """What the corpus operators share: scratch tables, checked broadcasts, connected components.
 
 Scratch tables are ordinary Parquet tables in the folder named by ``spark.checkpoint.dir``, so every
-executor can read them again after another executor is lost.  Only where the setting is absent (tests,
-notebooks) is a temporary folder of this machine used.
+executor can read them again after another executor is lost.  Only where the setting is absent and the master
+is local (tests, notebooks) is a temporary folder of this machine used; a cluster must name a shared folder.
+A table that nothing reads any more is deleted at once by ``discard``.
 """
 
 from __future__ import annotations
@@ -13,17 +14,19 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table is broadcast only after a count has shown that it has no more rows than this.
-BROADCAST_ROWS = 200_000
+#: A table is broadcast only after it was measured to have no more rows and no more bytes (as JSON) than these.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share; one of our own only where a local session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = tempfile.mkdtemp(prefix="concord-")
@@ -38,11 +41,23 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count proves it has at most ``rows`` rows; else ``df`` itself.
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again; what was computed from them must have been written."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            spark = table.sparkSession
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
-    ``df`` should be a written table or the like, as the count runs it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is measured to have at most ``rows`` rows of ``size`` bytes in all; else ``df`` itself.
+
+    ``df`` should be a written table or the like, as the measuring runs it."""
+    if df.count() > rows:
+        return df
+    return F.broadcast(df) if (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= size else df
 
 
 def text_or_empty(column: str | Column) -> Column:
@@ -76,7 +91,8 @@ def components(edges: DataFrame) -> DataFrame:
     digest = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = digest(now)
     while before[0]:
-        now = written(star(down(star(now, True)), False), "edges")
+        last, now = now, written(star(down(star(now, True)), False), "edges")
+        discard(last)
         after = digest(now)
         if after == before:
             break

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm import chat, decontam, html, lm, neardup, packing, quality, secrets, sharding, tokenids
-from concord.llm.common import written
+from concord.llm.common import shared_dir, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,8 +50,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents`` in shards 0 to 39 of one shuffled sequence; row counts at most one apart."""
-    rows = sharding.shuffled(table(spark, sf_dir, "documents").select("doc_id", "text"), n_shards=40)
+    """All ``documents`` written in shards 0 to 39 of one shuffled sequence and read back; row counts at most one apart."""
+    docs, path = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    sharding.write_shards(docs, path, n_shards=40)
+    rows = sharding.read_shards(docs, path)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

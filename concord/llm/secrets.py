@@ -3,7 +3,12 @@
 Source and configuration syntax is read as statements ``name = expression`` (``=``, ``:``, ``:=``, ``=>``), where an
 expression is a literal, a name assigned earlier in the text, ``${name}``, or a ``+`` chain of these.  Constants are
 propagated, so ``part = "x9f2..."; db_password = part`` reports the literal of ``part``.  A literal is a finding when
-the sensitivity of the target name times the strength of the value reaches ``threshold``.
+the sensitivity of the target name times the strength of the value reaches ``threshold`` and it is not wholly inside a
+base span; one that sticks out of a base span is a finding beside it, so masking leaves no tail.
+
+A name keeps a summary of its value (length, kinds and counts of characters) and its literals as a shared list, so a
+chain of names costs time in proportion to the text; an operand that an expression holds twice counts once.  Inside an
+unquoted value further names are read too (``env: DB_PWD=...``), each with what stands up to the next ``=``, ``&`` or ``:``.
 
 Edge cases: a null text is the empty text and has no findings (an empty array, never null); the whole text is read
 whatever its length; repeated rows each get their own findings; an input column ``findings`` is replaced; every other
@@ -39,8 +44,13 @@ WEIGHTS = {
 }
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|undefined|change_?me|todo|your[_-].*|example.*|placeholder.*|<.*>|\{\{.*\}\}|%\w+%)$")
 _TARGET = re.compile(r"""(?<![\w.-])([A-Za-z_][\w.-]*+)["']?[ \t]*+(?::=|=>|[=:](?![=:/]))[ \t]*+""", re.A)
-_OPERAND = re.compile(r""""((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|\$\{(\w+)\}|([^\s"'`,;(){}\[\]<>+]+(?:\+[^\s"'`,;(){}\[\]<>+]+)*)""", re.A)
+_QUOTED = r"""\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|\$\{(\w+)\}|"""
+_OPERAND = re.compile(_QUOTED + r"""([^\s"'`,;(){}\[\]<>+]+(?:\+[^\s"'`,;(){}\[\]<>+]+)*)""", re.A)
+#: Within an unquoted value that was read already.
+_INNER = re.compile(_QUOTED + r"""([^\s"'`,;(){}\[\]<>+=&:]+)""", re.A)
 _PLUS = re.compile(r"[ \t]*\+[ \t]*(?=[\"'`$\w])")
+_PLAIN = re.compile(r"[A-Za-z]?[a-z]*[.,;:!?]*|[0-9]+[.,;:!?]*", re.A)
+_KINDS = tuple(map(re.compile, ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]")))
 _NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", re.A)
 
 
@@ -50,85 +60,117 @@ def sensitivity(name: str) -> float:
     return min(1.0, sum(WEIGHTS.get(w, 0.0) for w in dict.fromkeys(words)))
 
 
+class Value:
+    """What an expression is made of: counts of characters by code point modulo 128, kinds of characters, its literals.
+
+    ``literals`` holds spans and other values; ``told`` marks those whose literals were reported already."""
+
+    __slots__ = ("counts", "kinds", "literals", "told", "weak")
+
+    def __init__(self):
+        self.counts: Counter = Counter()
+        self.kinds, self.weak, self.told = 0, True, False
+        self.literals: list = []
+
+    def add(self, text: str, span: tuple[int, int]) -> None:
+        literal = text[span[0] : span[1]]
+        self.counts.update(ord(c) & 127 for c in literal)
+        self.kinds |= sum(bool(p.search(literal)) << i for i, p in enumerate(_KINDS))
+        words = literal.split()
+        # a sentence, and what stands for a value, tell nothing
+        prose = len(words) > 1 and 2 * sum(bool(_PLAIN.fullmatch(w)) for w in words) >= len(words)
+        self.weak &= prose or bool(_PLACEHOLDER.match(literal))
+        self.literals.append(span)
+
+    def take(self, other: Value) -> None:
+        self.counts.update(other.counts)
+        self.kinds |= other.kinds
+        self.weak &= other.weak
+        self.literals.append(other)
+        if (n := self.counts.total()) > 1 << 20:  # far above what any strength asks for: only the shares matter now
+            self.counts = Counter({c: max(1, (k << 16) // n) for c, k in self.counts.items()})
+
+    def strength(self) -> float:
+        """0 to 1: how much the value looks like a credential; grows with its entropy in bits."""
+        n = self.counts.total()
+        if n < 6 or self.weak:
+            return 0.0
+        bits = -sum(c * math.log2(c / n) for c in self.counts.values())
+        return min(1.0, bits / 40 + 0.15 * (self.kinds.bit_count() - 1))
+
+    def report(self) -> list[tuple[int, int]]:
+        """Spans of all literals that no earlier call has given, in order."""
+        out, todo = [], [self]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, tuple):
+                out.append(x)
+            elif not x.told:
+                x.told = True
+                todo += reversed(x.literals)
+        return out
+
+
 def strength(value: str) -> float:
-    """0 to 1: how much the value looks like a credential; grows with its entropy in bits."""
-    if len(value) < 6 or _PLACEHOLDER.match(value):
-        return 0.0
-    n = len(value)
-    bits = -sum(c * math.log2(c / n) for c in Counter(value).values())
-    mixed = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))
-    spaced = 0.3 if re.search(r"\s", value) else 1.0
-    return min(1.0, bits / 40 + 0.15 * (mixed - 1)) * spaced
-
-
-def literals(pieces: list) -> list[tuple[int, int]]:
-    """The spans of the literals that an expression is made of, in order, each once.
-
-    A piece is a span, or the pieces of an earlier name; shared ones are walked once, so doubling chains stay linear."""
-    spans: dict[tuple[int, int], None] = {}
-    walked, todo = set(), [pieces]
-    while todo:
-        piece = todo.pop()
-        if isinstance(piece, tuple):
-            spans[piece] = None
-        elif id(piece) not in walked:
-            walked.add(id(piece))
-            todo += reversed(piece)
-    return list(spans)
+    """Strength of a single literal."""
+    v = Value()
+    v.add(value, (0, len(value)))
+    return v.strength()
 
 
 def lexed(text: str, threshold: float = 0.45) -> list[tuple[int, int, str, float]]:
-    """(start, end, target name, score) of every literal that reaches a sensitive name."""
-    known: dict[str, list] = {}
-    found: dict[tuple[int, int], tuple[str, float]] = {}
+    """(start, end, target name, score) of every literal that reaches a sensitive name; each literal once."""
+    known: dict[str, Value] = {}
+    found: list[tuple[int, int, str, float]] = []
+    read = 0  # end of the last unquoted value
     for m in _TARGET.finditer(text):
-        name, at, pieces = m[1], m.end(), []
-        while o := _OPERAND.match(text, at):
+        name, at, value, held = m[1], m.end(), Value(), set()
+        while o := (_INNER if at < read else _OPERAND).match(text, at):
             kind = o.lastindex
             ref = o[kind].rstrip(".") if kind >= 4 else None
             if ref is not None and ref in known:
-                pieces.append(known[ref])
+                if id(known[ref]) not in held:
+                    held.add(id(known[ref]))
+                    value.take(known[ref])
             elif kind == 4:
                 break
             else:
-                pieces.append(o.span(kind))
+                value.add(text, o.span(kind))
             at = o.end()
+            if kind == 5:
+                read = max(read, at)
             if not (p := _PLUS.match(text, at)):
                 break
             at = p.end()
-        if not pieces:
+        if not value.literals:
             continue
-        known[name] = pieces
-        if s := sensitivity(name):
-            spans = literals(pieces)
-            if (score := s * strength("".join(text[a:b] for a, b in spans))) >= threshold:
-                for span in spans:
-                    if span[1] > span[0]:
-                        found.setdefault(span, (name, round(score, 6)))
-    return [(a, b, *v) for (a, b), v in found.items()]
-
-
-def findings(text: str, threshold: float = 0.45) -> list[dict]:
-    """All findings of a text by start, then kind; base ones always stay, lexed ones are those that touch none of them."""
+        known[name] = value
+        if (s := sensitivity(name)) and (score := s * value.strength()) >= threshold:
+            found += [(a, b, name, round(score, 6)) for a, b in value.report() if b > a]
+    return found
+
+
+def findings(text: str, threshold: float = 0.45) -> list[tuple]:
+    """All findings of a text by start, then kind: (kind, start, end, name, score).  Base ones always stay, lexed ones
+    are those that are not wholly inside a base one."""
     base = [("assign", m.start(), m.end(), m[1], 1.0) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     base += [("access", m.start(), m.end(), None, 1.0) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     base += [("hex", m.start(), m.end(), None, 1.0) for m in HEX.finditer(text)]
-    starts, ends = [], []  # of what base spans cover, without overlaps
+    starts, ends = [], []  # base spans by start, with the farthest end so far
     for _, a, b, _, _ in sorted(base, key=lambda x: x[1]):
-        if ends and a <= ends[-1]:
-            ends[-1] = max(ends[-1], b)
-        else:
-            starts.append(a)
-            ends.append(b)
-    touched = lambda a, b: (i := bisect_right(ends, a)) < len(ends) and starts[i] < b
-    more = [("lexed", a, b, n, s) for a, b, n, s in lexed(text, threshold) if not touched(a, b)] if "=" in text or ":" in text else []
-    return [dict(zip(("kind", "start", "end", "name", "score"), x, strict=True)) for x in sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))]
+        starts.append(a)
+        ends.append(max(b, ends[-1]) if ends else b)
+    inside = lambda a, b: (i := bisect_right(starts, a)) > 0 and ends[i - 1] >= b
+    more = [("lexed", a, b, n, s) for a, b, n, s in lexed(text, threshold) if not inside(a, b)] if "=" in text or ":" in text else []
+    return sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
 def _scan(threshold: float):
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("name", pa.string()), ("score", pa.float64())]))
+    names = ("kind", "start", "end", "name", "score")
+
     def scan(texts: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("name", pa.string()), ("score", pa.float64())]))
-        return pa.array([findings(x.as_py() or "", threshold) for x in texts], type=kind)
+        return pa.array([[dict(zip(names, f, strict=True)) for f in findings(x.as_py() or "", threshold)] for x in texts], type=kind)
 
     return F.arrow_udf(scan, FINDING)
 
@@ -138,22 +180,31 @@ def scan_secrets(df: DataFrame, text: str = "text", threshold: float = 0.45) ->
     return df.withColumn("findings", _scan(threshold)(text_or_empty(text)))
 
 
-def _masked(texts: pa.Array, found: pa.Array) -> pa.Array:
-    out = []
-    for text, spans in zip(texts, found, strict=True):
-        text, done, parts = text.as_py(), 0, []
-        for s in spans.as_py() or ():
-            if s["end"] > done:
-                parts += [text[done : max(done, s["start"])], f"[{s['kind']}]" if s["start"] >= done else ""]
-                done = s["end"]
-        out.append(text if text is None else "".join([*parts, text[done:]]))
-    return pa.array(out, type=pa.string())
+def masked(text: str, found: list[tuple]) -> str:
+    """``text`` with ``[kind]`` in place of each finding; overlapping ones become one mark, that of the first."""
+    done, parts = 0, []
+    for kind, a, b, *_ in found:
+        if b > done:
+            parts += [text[done : max(done, a)], f"[{kind}]" if a >= done else ""]
+            done = b
+    return "".join([*parts, text[done:]])
 
 
 def redact_secrets(df: DataFrame, text: str = "text", threshold: float = 0.45) -> DataFrame:
-    """``df`` with each finding in ``text`` replaced by ``[kind]``; overlapping findings become one mark, a null text stays null."""
-    out = scan_secrets(df, text, threshold)
-    return out.withColumn(text, F.when(F.size("findings") > 0, F.arrow_udf(_masked, "string")(text, "findings")).otherwise(F.col(text))).drop("findings")
+    """``df`` with each finding in ``text`` masked, found and replaced in one pass; a null text stays null.
+
+    Only texts with findings come back from the pass, the others stay as they are."""
+
+    def scan(texts: pa.Array) -> pa.Array:
+        out = []
+        for x in texts:
+            found = findings(t, threshold) if (t := x.as_py()) else ()
+            out.append(masked(t, found) if found else None)
+        del texts
+        pa.default_memory_pool().release_unused()
+        return pa.array(out, type=pa.string())
+
+    return df.withColumn(text, F.coalesce(F.arrow_udf(scan, "string")(text), F.col(text)))
 
 
 def joined(of: Column) -> Column:

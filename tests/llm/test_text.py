@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -41,8 +42,7 @@ PIECES = st.sampled_from(["token", "= ", "api_key", "APIKEY", ":", '"', "abc", "
 @settings(max_examples=300, deadline=None)
 @given(st.lists(PIECES, max_size=14).map("".join))
 def test_base_spans(text):
-    got = [f for f in secrets.findings(text) if f["kind"] != "lexed"]
-    assert ",".join(f"{f['kind']}:{f['start']}:{f['end']}" for f in got) == brute_base(text)
+    assert ",".join(f"{kind}:{a}:{b}" for kind, a, b, *_ in secrets.findings(text) if kind != "lexed") == brute_base(text)
 
 
 @pytest.mark.parametrize(
@@ -55,19 +55,37 @@ def test_base_spans(text):
         ('colour = "x9f2Kq81zzTopQ7"', []),
         ("note: the session went on for a while", []),
         ("pwd = ${unknown}", []),
+        ('password = "hunter2!$ecretTail#99x"', ["hunter2!$ecretTail#99x"]),
+        ('db_password: "Zx8 qPw!!LongTail$$Key77"', ["Zx8 qPw!!LongTail$$Key77"]),
+        ('pass_help: "Please enter 8 characters, or more!"', []),
+        ("env: DB_PWD=Xyz123!longsecret", ["Xyz123!longsecret"]),
     ],
 )
 def test_lexed(text, want):
-    assert [text[f["start"] : f["end"]] for f in secrets.findings(text) if f["kind"] == "lexed"] == want
+    assert [text[a:b] for kind, a, b, *_ in secrets.findings(text) if kind == "lexed"] == want
 
 
 def test_doubling_chains_and_many_spans():
     doubled = "a = 'x9f2Kq81ZmPw'\n" + "a = a + a\n" * 200 + "db_password = a\n"
-    assert [(x["kind"], doubled[x["start"] : x["end"]]) for x in secrets.findings(doubled)] == [("lexed", "x9f2Kq81ZmPw")]
+    assert [(kind, doubled[a:b]) for kind, a, b, *_ in secrets.findings(doubled)] == [("lexed", "x9f2Kq81ZmPw")]
     many = "".join(f"token = 'abc{i:06d}XyZ'\nmy_pass = 'Qq7{i:06d}zX'\n" for i in range(5000))
     assert len(secrets.findings(many)) == 10000
 
 
+def test_time_grows_with_the_text():
+    chain = "my_pass0 = 'Qq7zX!'\n" + "".join(f"my_pass{i} = my_pass{i - 1} + 'x'\n" for i in range(1, 20_000))
+    crossed = "p0 = 'Qq7zX!'\np1 = 'aB3'\n" + "".join(f"p{i} = p{i - 1} + p{i - 2}\n" for i in range(2, 20_000)) + "pwd = p19999\n"
+    for text, least in ((chain, 19_000), (crossed, 2), ("token=" * 50_000, 0), ("pwd:" * 50_000, 0), ("a=1&pwd=" * 50_000, 0), ("pwd='" * 50_000, 0)):
+        began = time.perf_counter()
+        assert len(secrets.findings(text)) >= least
+        assert time.perf_counter() - began < 3
+
+
+def test_masking_leaves_no_tail():
+    text = 'x password = "hunter2!$ecretTail#99x" y'
+    assert secrets.masked(text, secrets.findings(text)) == 'x [assign]" y'
+
+
 def test_secret_edges(spark):
     got = secrets.scan_secrets(odd(spark)).collect()
     assert len(got) == 6 and all(r["findings"] == [] for r in got)
@@ -180,3 +198,29 @@ def test_written_shards(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     sharding.write_shards(docs, str(tmp_path / "s"), 5)
     assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().count() == 5
+    back = sharding.read_shards(docs, str(tmp_path / "s"))
+    check_shards(back.collect(), 5)
+    assert sorted(map(str, back.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    for file in (tmp_path / "s").rglob("*.parquet"):
+        slots = [r["slot"] for r in spark.read.parquet(str(file)).select("slot").collect()]
+        assert slots == sorted(slots)
+    df = odd(spark)
+    sharding.write_shards(df, str(tmp_path / "o"), 3)
+    check_shards(sharding.read_shards(df, str(tmp_path / "o")).collect(), 3)
+    sharding.write_shards(df.limit(0), str(tmp_path / "none"), 3)
+    assert sharding.read_shards(df, str(tmp_path / "none")).count() == 0
+
+
+def plain_permutation(spark, n, bucket, seed):
+    """Fisher-Yates on a list, with the same draws."""
+    draws = {r["i"]: r["j"] for r in spark.range(1, n).select(F.col("id").cast("int").alias("i"), F.pmod(F.xxhash64(F.lit(seed), F.lit(bucket).cast("bigint"), F.col("id").cast("int")), F.col("id") + 1).alias("j")).collect()}
+    out = list(range(n))
+    for i in range(n - 1, 0, -1):
+        out[i], out[draws[i]] = out[draws[i]], out[i]
+    return out
+
+
+def test_permutation_is_fisher_yates(spark):
+    for n in (1, 2, 47, 48, 49, 97, 500):
+        got = spark.range(1).select(sharding.permutation(F.lit(n), F.lit(7).cast("bigint"), 3).alias("p")).first()["p"]
+        assert got == plain_permutation(spark, n, 7, 3)
