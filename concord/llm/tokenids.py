@@ -10,8 +10,8 @@ File format.  A data set is two Parquet tables: ``blocks`` (part, block, first,
 A payload is a header of six little-endian 32-bit numbers (magic, ids, lanes, stride, checkpoints, CRC-32), for each
 checkpoint the 64-bit number of stream words before it and the states of all lanes, then the stream of 32-bit words.
 
-Words are tokenised once each where that changes nothing: this vocabulary's rules drop white space and never look
-across it, so the ids of a text are those of its words.  Other tokenizers are run over whole texts (``by_word=False``).
+Words are tokenised once each where that changes nothing (``by_word``): rules that drop white space and never look
+across it, with ids of their own for ends of words, so the ids of a text are those of its words.  Other tokenizers are run over whole texts (``by_word=False``).
 
 Edge cases: a null or empty text has the end id alone; null ids come first; equal ids stand next to each other in any
 order; a document is never cut, so one longer than a chunk is a block by itself; an empty table gives empty tables.
@@ -22,6 +22,9 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import cache
+from itertools import islice
+from unicodedata import normalize
 from zlib import crc32
 
 import numpy as np
@@ -30,12 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from concord.llm.common import shared_dir, text_or_empty, written
+from concord.llm.common import discard, shared_dir, text_or_empty, written
 
 #: Frequencies sum to 2**BITS; states stay in [2**31, 2**63) and move 32 bits at a time.
 BITS, LOW = 20, 1 << 31
-LANES, STRIDE, CHUNK = 1024, 256, 1 << 19
+LANES, STRIDE, CHUNK = 2048, 128, 1 << 19
 MAGIC = 0x534E4152
+CHUNK_COLUMNS = ["part", "block", "first", "doc_ids", "lengths", "ids", "counts"]
 
 # -- coder ---------------------------------------------------------------------------------------------------------
 
@@ -127,8 +131,11 @@ def decode(payload: bytes, table: Table, checkpoint: int = 0) -> np.ndarray:
 
 _loaded: dict[str, object] = {}
 _known: dict[str, dict[bytes, bytes]] = {}
-#: Words whose ids a Python worker remembers, about 180 bytes each.
-KNOWN = 1_400_000
+_over: dict[str, list[bytes]] = {}
+#: Words whose ids a Python worker remembers, about 210 bytes each.
+KNOWN = 1_000_000
+#: Marks that end a word and are a token run of their own after a letter.
+MARKS = b".,;:!?"
 
 
 def tokenizer(path: str):
@@ -139,25 +146,90 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
+@cache
+def _last(coder) -> np.ndarray:
+    """Of each id, whether it ends a word."""
+    vocabulary = coder.get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[i for token, i in vocabulary.items() if token.endswith(coder.model.end_of_word_suffix)]] = True
+    return out
+
+
+@cache
+def _lean(coder):
+    """The tokenizer less what leaves words of small ASCII letters as they are."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    out = Tokenizer(coder.model)
+    out.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    return out
+
+
+def _letters(word: bytes) -> bool:
+    """Whether a word is of letters alone, and still is once normalised and lower-cased."""
+    text = word.decode("utf-8", "surrogatepass")
+    return text.isalpha() and normalize("NFC", text).lower().isalpha()
+
+
+def _learn(fresh: list[bytes], known: dict[bytes, bytes], coder) -> None:
+    """Put the ids of new words into ``known``.
+
+    Words of letters alone go to the tokenizer as one text, in which each is a word of the tokenizer's too and ends with
+    an id that ends words; marks after such a word are coded apart.  All others are coded one by one."""
+    run = lambda some: coder.encode_batch_fast(some, add_special_tokens=False)
+    plain: dict[bytes, None] = {}
+    stems: dict[bytes, None] = {}
+    marked, single = [], []
+    for w in fresh:
+        stem = w.rstrip(MARKS)
+        if stem.isalpha():
+            kind = plain
+        elif _letters(stem):
+            kind = stems
+        else:
+            single.append(w)
+            continue
+        if len(stem) == len(w):
+            kind[w] = None
+        else:
+            marked.append((w, stem))
+            if stem not in known:
+                kind[stem] = None
+    for words, by in ((plain, _lean(coder)), (stems, coder)):
+        if not words:
+            continue
+        ids = np.array(by.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(_last(coder)[ids]) + 1)).tolist()
+        ids = ids.tobytes()
+        if len(ends) == len(words):
+            known.update(zip(words, (ids[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+        else:
+            single += words
+    single += {w[len(stem) :] for w, stem in marked}.difference(known)
+    known.update(zip(single, (np.array(e.ids, "<u4").tobytes() for e in run([w.decode("utf-8", "surrogatepass") for w in single])), strict=True))
+    for w, stem in marked:
+        known[w] = known[stem] + known[w[len(stem) :]]
+
+
 def ids_of(texts: list[str], path: str, by_word: bool) -> list[np.ndarray]:
     """Ids of each text as 32-bit numbers."""
     coder = tokenizer(path)
-    run = lambda some: [np.array(e.ids, "<u4") for e in coder.encode_batch_fast(some, add_special_tokens=False)]
     if not by_word:
-        return run(texts)
+        return [np.array(e.ids, "<u4") for e in coder.encode_batch_fast(texts, add_special_tokens=False)]
     known = _known.setdefault(path, {})
     split = []
     for t in texts:
         raw = t.encode("utf-8", "surrogatepass")
         # a special token's string counts only as it is written, so such texts keep their case
         split.append(raw.split() if b"<|" in raw else raw.lower().split())
-    fresh = list(set().union(*split).difference(known))
-    known.update(zip(fresh, (x.tobytes() for x in run([w.decode("utf-8", "surrogatepass") for w in fresh])), strict=True))
-    out = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
     if len(known) > KNOWN:  # full: what came first, mostly the frequent words, stays
-        for w in fresh:
+        for w in _over.pop(path, ()):
             del known[w]
-    return out
+    before = len(known)
+    _learn(list(set().union(*split).difference(known)), known, coder)
+    if len(known) > KNOWN:
+        _over[path] = list(islice(reversed(known), len(known) - before))
+    return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
 
 
 def _chunks(path: str, end_id: int, by_word: bool, chunk: int):
@@ -171,11 +243,16 @@ def _chunks(path: str, end_id: int, by_word: bool, chunk: int):
         docs: list = []
         held: list[np.ndarray] = []
         number = first = size = 0
+        total = np.zeros(0, np.int64)
 
         def out() -> pa.RecordBatch:
-            lengths = [len(x) for x in held]
-            cols = [pa.array([part]), pa.array([number]), pa.array([first]), pa.array([docs], pa.list_(id_type)), pa.array([lengths], pa.list_(pa.int64())), pa.array([np.concatenate(held).astype("<u4").tobytes()], pa.large_binary()).cast(pa.binary())]
-            return pa.record_batch(cols, names=["part", "block", "first", "doc_ids", "lengths", "ids"])
+            nonlocal total
+            lengths, ids = [len(x) for x in held], np.concatenate(held).astype("<u4")
+            more = np.bincount(ids)
+            total, more = (total, more) if len(total) >= len(more) else (more, total)
+            total[: len(more)] += more
+            cols = [pa.array([part]), pa.array([number]), pa.array([first]), pa.array([docs], pa.list_(id_type)), pa.array([lengths], pa.list_(pa.int64())), pa.array([ids.tobytes()], pa.binary()), pa.nulls(1, pa.binary())]
+            return pa.record_batch(cols, names=CHUNK_COLUMNS)
 
         for batch in batches:
             id_type = batch.column("doc_id").type
@@ -191,19 +268,21 @@ def _chunks(path: str, end_id: int, by_word: bool, chunk: int):
                         docs, held, size = [], [], 0
         if held:
             yield out()
+        if len(total):  # how often each id occurs in this task, as a row of its own
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.binary())
+            yield pa.record_batch([*(pa.nulls(1, k) for k in kinds), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=CHUNK_COLUMNS)
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _bincount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token, n of every count row."""
     for batch in batches:
-        for x in batch.column("ids"):
-            more = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
-            total, more = (total, more) if len(total) >= len(more) else (more, total)
-            total[: len(more)] += more
-    seen = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(seen), pa.array(total[seen])], names=["token", "n"])
+        for x in batch.column("counts"):
+            total = np.frombuffer(x.as_buffer(), "<i8")
+            seen = np.flatnonzero(total)
+            yield pa.record_batch([pa.array(seen), pa.array(total[seen])], names=["token", "n"])
 
 
 def _blocks(freq):
@@ -227,14 +306,15 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, end_id: int, by_wor
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
     shape = f"part bigint, block bigint, first bigint, doc_ids array<{kind}>, lengths array<bigint>"
-    chunks = written(ordered.mapInArrow(_chunks(tokenizer_path, end_id, by_word, chunk), f"{shape}, ids binary"), "chunks", compression="zstd")
-    counted = chunks.select("ids").mapInArrow(_bincount, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    chunks = written(ordered.mapInArrow(_chunks(tokenizer_path, end_id, by_word, chunk), f"{shape}, ids binary, counts binary"), "chunks", compression="zstd")
+    counted = chunks.where("counts is not null").select("counts").mapInArrow(_counts, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(vocabulary, np.int64)
     for r in counted:
         counts[r["token"]] = r["n"]
     freq = quantised(counts)
     shared = spark.sparkContext.broadcast(freq)
-    chunks.mapInArrow(_blocks(shared), f"{shape}, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    chunks.where("counts is null").drop("counts").mapInArrow(_blocks(shared), f"{shape}, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    discard(chunks)
     seen = np.flatnonzero(freq)
     rows = [(int(t), int(freq[t])) for t in seen]
     spark.createDataFrame(rows, "token bigint, freq bigint").coalesce(1).write.parquet(f"{path}/freqs")
