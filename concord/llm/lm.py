@@ -1,38 +1,47 @@
 """Language-model scores from a log-bilinear model trained with noise-contrastive estimation in numpy.
 
-Words are runs without white space of ASCII, A-Z lower-cased; every text ends with one end token.  The model predicts
-classes: the end token, the most frequent words each by itself, and classes of all other words by their last three
-bytes.  A class is predicted from the two classes before it by q = c1*r[w1] + c2*r[w2], s(w) = q.t[w] + b[w].  Within a
-class of words the share is (c+1)/(N_class+V_class+1), with one place left for words never seen, so the model's
-probabilities over words sum to one.  At scoring the softmax over classes is normalised exactly, by batched matrix
-products over the contexts that occur.
-
-Training visits every training text: each task runs noise-contrastive estimation over its texts from common starting
-values, and the tasks' parameters are averaged by tokens seen.  Counts are taken over all training texts by a shuffle.
-Only the ``dictionary`` most frequent words (a documented bound) go to the tasks; the counts of all others reach their
+Words are runs without white space of ASCII, A-Z lower-cased; every text ends with one end token.  The model has two
+levels.  The first predicts a class: the end token, the ``HOT`` most frequent words each by itself, and groups of all
+other words by their last three bytes.  The second predicts a word within its group: each word of the dictionary has a
+vector and a bias of its own, the group's other words share one, and among these the share is (c+1)/(N+V+1), with one
+place left for words never seen.  Both are predicted from the classes of the two words before: q = c1*r[w1] + c2*r[w2],
+s(x) = q.v[x] + bias[x].  Scoring normalises both levels exactly, by batched matrix products: the first over the
+contexts that occur, the second over the group's words; so the model's probabilities over words sum to one.
+
+What is learned grows with the input: counts are taken over all training texts, the dictionary has twice the square
+root of the number of training tokens (up to ``MOST`` words, a bound for the tasks' memory), and every training text is
+trained on.  Training texts are dealt by hash over units of about ``UNIT`` tokens.  Each unit is trained in an order of
+its own hashes from common starting values, and the units' parameters are averaged: classes by tokens seen, words by
+visits.  So scores do not depend on how the input is partitioned.  Counts of words outside the dictionary reach their
 documents by a join, so nothing depends on the vocabulary fitting in memory.
 
 Edge cases: a null or empty text is one end token; a null doc_id belongs to the training part; without training texts
-base_score is zero and the model uniform over classes; repeated rows are scored each; an empty table gives an empty
-table; other columns of the input are not used.
+base_score is zero and the model uniform over groups; repeated rows are scored each; an empty table gives an empty
+table; other columns of the input are not used; a text of any length is trained and scored in parts of bounded size.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby, pairwise
+from math import isqrt
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import text_or_empty, written
+from concord.llm.common import discard, text_or_empty, written
 
-HOT, GROUPS, DIM = 511, 256, 16
+HOT, GROUPS, DIM = 511, 256, 12
 CLASSES = 1 + HOT + GROUPS
 FLUSH = 400_000
+#: Tokens of a training unit; words of the dictionary at most; step of the training.
+UNIT, MOST, RATE = 2_000_000, 200_000, 0.1
 
 
 def held_out(doc_id: str) -> Column:
@@ -63,114 +72,183 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Words:
-    """The frequent words as tasks know them: rank, class and log10(c+1); sizes of the word classes."""
+    """The dictionary as tasks know it: index of each word, its class, slot and log10(c+1); sizes of what is left over.
+
+    Indices go by frequency, the end token's comes last.  Words after the first ``HOT`` have a slot; slots lie group by
+    group, and each group's last slot stands for all its words outside the dictionary."""
 
     def __init__(self, top: list[tuple[bytes, int]], ends: int, sizes: dict[int, tuple[int, int]]):
-        self.rank = {w: i for i, (w, _) in enumerate(top)}
+        """sizes: by group, tokens and words of the corpus outside the first ``HOT``."""
+        self.index = {w: i for i, (w, _) in enumerate(top)}
+        d = len(top)
         count = np.array([c for _, c in top] + [ends], dtype=np.float64)
         self.cls = np.array([1 + i if i < HOT else group_of(w) for i, (w, _) in enumerate(top)] + [0], dtype=np.int32)
-        self.log_count = np.log10(count + 1)
-        self.known = count > 0
-        self.log_size = np.zeros(CLASSES)
-        seen = np.zeros(CLASSES)
-        for g, (n, v) in sizes.items():
-            self.log_size[g], seen[g] = np.log10(n + v + 1), n
-        seen[0], seen[1 : 1 + min(HOT, len(top))] = ends, count[: min(HOT, len(top))]
+        self.log_count, self.known = np.log10(count + 1), count > 0
+        total, number = (np.array([sizes.get(g, (0, 0))[k] for g in range(CLASSES)], dtype=np.float64) for k in (0, 1))
+        own = np.arange(min(HOT, d), d)
+        rest = total - np.bincount(self.cls[own], count[own], CLASSES)
+        self.log_rest = np.log10(rest + number - np.bincount(self.cls[own], minlength=CLASSES) + 1)
+        groups = np.arange(1 + HOT, CLASSES)
+        # dictionary words of each group by index, then the group's rest
+        order = np.lexsort((np.concatenate([own, np.full(GROUPS, d + 1)]), np.concatenate([self.cls[own], groups])))
+        at = np.empty(len(order), np.int32)
+        at[order] = np.arange(len(order))
+        self.slot = np.full(d + 1, -1, np.int32)
+        self.slot[own] = at[: len(own)]
+        self.rest = np.full(CLASSES, -1, np.int32)
+        self.rest[1 + HOT :] = at[len(own) :]
+        self.first = np.concatenate([[0], self.rest[1 + HOT : -1] + 1])  # of each group's slots
+        mass = np.concatenate([count[own], np.maximum(rest[groups], 0)])[order] + 1
+        self.shares = (mass / np.repeat(np.add.reduceat(mass, self.first), np.diff([*self.first, len(mass)]))).astype(np.float64)
+        self.cumulative = np.cumsum(self.shares)  # each group's sums to one, so group g's runs from g to g + 1
+        seen = total.copy()
+        seen[0], seen[1 : 1 + min(HOT, d)] = ends, count[: min(HOT, d)]
         self.noise = (seen + 0.5) / (seen + 0.5).sum()
 
-    def classes(self, text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Ranks (the last is that of the end token, -1 not in the dictionary), classes, words not in the dictionary."""
+    def coded(self, text: str) -> tuple[np.ndarray, list[bytes]]:
+        """Indices of the words and of the end, for a word outside the dictionary its group less than zero; those words."""
         words = split(text)
-        get = self.rank.get
-        ranks = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        ranks = np.append(ranks, len(self.cls) - 1)
-        cls = self.cls[ranks]
-        other = np.flatnonzero(ranks < 0)
+        get = self.index.get
+        out = np.fromiter((get(w, -1) for w in words), dtype=np.int32, count=len(words))
+        other = np.flatnonzero(out < 0)
         rare = [words[i] for i in other]
-        cls[other] = [group_of(w) for w in rare]
-        return ranks, cls, rare
-
-
-class Model:
-    """r, t: class vectors as context and as target; c: weights of the two places; b: biases."""
+        out[other] = [-group_of(w) for w in rare]
+        return np.append(out, np.int32(len(self.cls) - 1)), rare
 
-    SHAPES = (("r", (CLASSES, DIM)), ("t", (CLASSES, DIM)), ("c", (2, DIM)), ("b", (CLASSES,)))
+    def placed(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class and slot (-1: none) of coded words."""
+        inside, known = ids >= 0, np.maximum(ids, 0)
+        cls = np.where(inside, self.cls[known], -ids)
+        return cls, np.where(inside, self.slot[known], self.rest[cls])
 
-    def __init__(self, flat: np.ndarray):
-        self.flat, at = flat.astype(np.float32), 0
-        for name, shape in self.SHAPES:
-            n = int(np.prod(shape))
-            setattr(self, name, self.flat[at : at + n].reshape(shape))
-            at += n
 
-    @classmethod
-    def fresh(cls, noise: np.ndarray, seed: int) -> Model:
-        out = cls(np.random.default_rng(seed).normal(0, 0.1, sum(int(np.prod(s)) for _, s in cls.SHAPES)))
-        out.c[:], out.b[:] = 1, np.log(noise)
-        return out
-
-    def train(self, streams: Iterator[np.ndarray], noise: np.ndarray, seed: int, batch: int = 512, k: int = 32, rate: float = 0.3) -> int:
-        """One pass of noise-contrastive estimation with Adagrad over class sequences; returns the tokens seen."""
-        rng, log_noise = np.random.default_rng(seed), np.log(k * noise).astype(np.float32)
-        cumulative = np.cumsum(noise)
-        cumulative[-1] = 1.0
-        past = Model(np.full_like(self.flat, 1e-2))
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+class Model:
+    """One row of ``classes`` for each class: r, its vector as context, t, its vector as target, and its bias; of ``slots``
+    for each slot: u, its vector, and its bias; c: weights of the two places before."""
+
+    def __init__(self, words: Words, seed: int):
+        self.classes = np.random.default_rng(seed).normal(0, 0.1, (CLASSES, 2 * DIM + 1)).astype(np.float32)
+        self.classes[:, -1] = np.log(words.noise)
+        self.slots = np.zeros((len(words.shares), DIM + 1), np.float32)
+        self.slots[:, -1] = np.log(words.shares)
+        self.c = np.ones((2, DIM), np.float32)
+
+    @property
+    def r(self) -> np.ndarray:
+        return self.classes[:, :DIM]
+
+    @property
+    def t(self) -> np.ndarray:
+        return self.classes[:, DIM:-1]
+
+    @property
+    def b(self) -> np.ndarray:
+        return self.classes[:, -1]
+
+    def dense(self) -> np.ndarray:
+        """The parameters of the first level."""
+        return np.concatenate([self.classes.ravel(), self.c.ravel()])
+
+    def put(self, dense: np.ndarray, slots: np.ndarray) -> None:
+        self.classes.ravel()[:], self.c.ravel()[:] = dense[: self.classes.size], dense[self.classes.size :]
+        self.slots[:] = slots
+
+    def queries(self, e: np.ndarray) -> np.ndarray:
+        """What each place of a sequence of context vectors predicts from; the first two lack their contexts."""
+        q = np.zeros(e.shape, np.float32)
+        q[2:] = e[1:-1] * self.c[0] + e[:-2] * self.c[1]
+        return q
+
+    def train(self, docs: Iterator[np.ndarray], words: Words, seed: int, batch: int = 2048, k: int = 32, own: int = 1, rate: float = RATE) -> tuple[int, np.ndarray]:
+        """One pass of noise-contrastive estimation with Adagrad over coded texts: tokens seen, visits of each slot."""
+        rng = np.random.default_rng(seed)
+        log_noise, log_share = np.log(k * words.noise).astype(np.float32), np.log(own * words.shares).astype(np.float32)
+        drawn_from = np.cumsum(words.noise)
+        drawn_from[-1] = 1.0
+        past = {x: np.ones_like(getattr(self, x)) for x in ("classes", "slots", "c")}
+        visits = np.zeros(len(self.slots), np.int64)
         total = 0
-        for w1, w2, w in contexts(streams, batch):
-            total += len(w)
-            x1, x2 = self.r[w1], self.r[w2]
-            q = x1 * self.c[0] + x2 * self.c[1]
-            drawn = np.searchsorted(cumulative, rng.random(k), side="right")
-            up = sigmoid(np.einsum("ij,ij->i", q, self.t[w]) + self.b[w] - log_noise[w]) - 1
-            down = sigmoid(q @ self.t[drawn].T + self.b[drawn] - log_noise[drawn])
-            grad = Model(np.zeros_like(self.flat))
-            dq = up[:, None] * self.t[w] + down @ self.t[drawn]
-            np.add.at(grad.t, w, up[:, None] * q)
-            np.add.at(grad.t, drawn, down.T @ q)
-            grad.b += np.bincount(w, up, CLASSES).astype(np.float32)
-            np.add.at(grad.b, drawn, down.sum(0))
-            np.add.at(grad.r, w1, dq * self.c[0])
-            np.add.at(grad.r, w2, dq * self.c[1])
-            grad.c += np.stack([(dq * x1).sum(0), (dq * x2).sum(0)])
-            grad.flat /= len(w)
-            past.flat += grad.flat**2
-            self.flat -= rate * grad.flat / np.sqrt(past.flat)
-        return total
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of each target after each class, at the first and at the second place before it (bias in the first)."""
-        return (self.r * self.c[0]) @ self.t.T + self.b, (self.r * self.c[1]) @ self.t.T
-
-
-def contexts(streams: Iterator[np.ndarray], batch: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(class before, class before that, class) of every token, in batches; texts begin after end tokens."""
-    held: list[np.ndarray] = []
-    n = 0
-    for cls in streams:
-        held.append(np.concatenate([np.zeros(2, np.int32), cls]))
-        n += len(cls)
-        if n >= batch * 16:
-            yield from _cut(held, batch)
-            held, n = [], 0
-    if held:
-        yield from _cut(held, batch)
 
-
-def _cut(held: list[np.ndarray], batch: int) -> Iterator[tuple[np.ndarray, ...]]:
-    flat = np.concatenate(held)
-    begins = np.cumsum([0, *(len(x) for x in held[:-1])])
-    real = np.ones(len(flat), bool)
-    real[begins] = real[begins + 1] = False
-    at = np.flatnonzero(real)
-    for part in np.array_split(at, max(1, round(len(at) / batch))):
-        yield flat[part - 1], flat[part - 2], flat[part]
+        def step(name: str, rows, grad: np.ndarray) -> None:
+            x, p = getattr(self, name), past[name]
+            seen = p[rows] + grad * grad
+            p[rows] = seen
+            np.sqrt(seen, out=seen)
+            x[rows] -= rate * grad / seen
+
+        for ids, real in batches(docs, batch, len(words.cls) - 1):
+            cls, slot = words.placed(ids)
+            total += int(real.sum())
+            mine = self.classes[cls]
+            e, t = mine[:, :DIM], mine[:, DIM:-1]
+            q = self.queries(e)
+            up = (sigmoid(np.einsum("ij,ij->i", q, t) + mine[:, -1] - log_noise[cls]) - 1) * real
+            drawn = np.searchsorted(drawn_from, rng.random(k), side="right")
+            other = self.classes[drawn]
+            down = sigmoid(q @ other[:, DIM:-1].T + (other[:, -1] - log_noise[drawn])) * real[:, None]
+            dq = up[:, None] * t + down @ other[:, DIM:-1]
+            at = np.flatnonzero((slot >= 0) & (real > 0))
+            group = cls[at] - 1 - HOT
+            noise = np.minimum(np.searchsorted(words.cumulative, (group[:, None] + rng.random((len(at), own))).ravel()), len(self.slots) - 1)
+            rows = np.concatenate([slot[at], noise])
+            theirs, asked = self.slots[rows], q[np.concatenate([at, np.repeat(at, own)])]
+            err = sigmoid(np.einsum("ij,ij->i", asked, theirs[:, :-1]) + theirs[:, -1] - log_share[rows])
+            err[: len(at)] -= 1
+            pull = err[:, None] * theirs[:, :-1]
+            dq[at] += pull[: len(at)] + pull[len(at) :].reshape(len(at), own, DIM).sum(1)
+            # gradients: a place is the context of the two after it
+            grad = np.zeros(mine.shape, np.float32)
+            grad[:-1, :DIM] = dq[1:] * self.c[0]
+            grad[:-2, :DIM] += dq[2:] * self.c[1]
+            grad[:, DIM:-1] = up[:, None] * q
+            grad[:, -1] = up
+            met, sums = summed(cls, grad)
+            step("c", slice(None), np.stack([np.einsum("ij,ij->j", dq[1:], e[:-1]), np.einsum("ij,ij->j", dq[2:], e[:-2])]))
+            step("classes", met, sums)
+            grad = np.zeros(other.shape, np.float32)
+            grad[:, DIM:-1], grad[:, -1] = down.T @ q, down.sum(0)
+            step("classes", *summed(drawn, grad))
+            if len(at):
+                grad = np.empty(theirs.shape, np.float32)
+                np.multiply(err[:, None], asked, out=grad[:, :-1])
+                grad[:, -1] = err
+                met, sums = summed(rows, grad)
+                step("slots", met, sums)
+                visits[met] += 1
+        return total, visits
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows and the sum of the values of each."""
+    order = np.argsort(rows, kind="stable")
+    ordered = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[first], np.add.reduceat(values[order], first, axis=0)
+
+
+def batches(docs: Iterator[np.ndarray], size: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Coded texts laid end to end, each after two end tokens that are no targets, in pieces of about ``size``; 1 where real."""
+    held, n = [], 0
+    for ids in docs:
+        for begin in range(0, len(ids), 8 * size):  # a long text goes in parts that keep the words before them
+            part = ids[max(0, begin - 2) : begin + 8 * size]
+            lead = part[:2] if begin > 1 else np.full(2, end, np.int32)
+            held.append((lead, part[2:] if begin > 1 else part))
+            n += len(held[-1][1])
+            if n >= size:
+                yield _laid(held)
+                held, n = [], 0
+    if held:
+        yield _laid(held)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: str = "t") -> Iterator[str]:
-    for batch in batches:
-        for text in batch.column(column):
-            yield text.as_py()
+def _laid(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.concatenate([x for pair in held for x in pair])
+    return ids, np.concatenate([np.full(len(x), i, np.float32) for pair in held for i, x in enumerate(pair)])
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -194,78 +272,182 @@ def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r["w"]), r["n"]) for r in counts.where(step >= least).select("w", "n").collect()), key=lambda x: (-x[1], x[0]))
 
 
-def train(docs: DataFrame, words, seed: int = 11, rounds: int = 1) -> Model:
-    """Parameters after ``rounds`` passes over ``docs.t``; ``words`` is a broadcast Words.  Only averages reach the driver."""
-    model = Model.fresh(words.value.noise, seed)
-    for i in range(rounds):
-        start = model.flat
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """Rows of some columns; arrays of numbers as numpy arrays."""
+    for batch in batches:
+        cols = [batch.column(c) for c in columns]
+        for i in range(batch.num_rows):
+            yield tuple(c[i].values.to_numpy() if pa.types.is_list(c.type) else c[i].as_py() for c in cols)
+
+
+def code(docs: DataFrame, words) -> DataFrame:
+    """doc_id, held_out, key, ids and rest of each row of ``docs``: coded words, and the words outside the dictionary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = words.value
+        for batch in batches:
+            texts = batch.column("t")
+            for at in range(0, batch.num_rows, 512):
+                found = [known.coded(x.as_py()) for x in texts.slice(at, 512)]
+                cols = [batch.column(c).slice(at, 512) for c in ("doc_id", "held_out", "key")]
+                yield pa.record_batch([*cols, pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([r for _, r in found], pa.list_(pa.binary()))], names=["doc_id", "held_out", "key", "ids", "rest"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    keyed = docs.withColumn("key", F.xxhash64("doc_id", "t"))
+    return keyed.mapInArrow(run, f"doc_id {kind}, held_out boolean, key bigint, ids array<int>, rest array<binary>")
 
-        def fit(batches: Iterator[pa.RecordBatch], start: np.ndarray = start, i: int = i) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
 
-            own, known = Model(start.copy()), words.value
-            seen = own.train((known.classes(x)[1] for x in _texts(batches)), known.noise, seed + 1000 * i + TaskContext.get().partitionId())
-            if seen:
-                yield pa.record_batch([pa.array([seen]), pa.array([own.flat], pa.list_(pa.float32()))], names=["n", "p"])
+def train(coded: DataFrame, words, tokens: int, seed: int = 11, rounds: int = 1) -> Model:
+    """The model after ``rounds`` passes over the training texts of ``coded``; ``words`` is a broadcast Words.
 
-        fitted = docs.select("t").mapInArrow(fit, "n bigint, p array<float>").select("n", F.posexplode("p").alias("i", "x"))
-        mean = fitted.groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"), F.count("*").alias("tasks"))
-        got = mean.orderBy("i").collect()  # as many rows as the model has parameters, a constant
-        if got:
-            model = Model(np.array([r["x"] for r in got]))
+    Only averages reach the driver: of the classes from a root of the units, of the slots one row for each."""
+    known = words.value
+    model = Model(known, seed)
+    units = max(1, -(-tokens // UNIT))
+    dealt = coded.where("not held_out").select(F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(units)).alias("unit"), "key", "ids")
+    dealt = dealt.repartitionByRange(units, "unit").sortWithinPartitions("unit", "key")
+    for i in range(rounds):
+        start = model.dense(), model.slots.copy()
+
+        def fit(batches: Iterator[pa.RecordBatch], start: tuple = start, i: int = i) -> Iterator[pa.RecordBatch]:
+            for unit, texts in groupby(_rows(batches, "unit", "ids"), key=lambda x: x[0]):
+                own = Model(words.value, seed)
+                own.put(*start)
+                seen, visits = own.train((ids for _, ids in texts), words.value, seed + 1_000_003 * i + unit)
+                met = np.flatnonzero(visits)
+                # the classes in a row without a slot, then the slots that were met
+                rows = [own.dense(), *own.slots[met]]
+                slots = pa.array([None, *met.tolist()], pa.int32())
+                yield pa.record_batch([pa.array(np.full(len(rows), unit)), slots, pa.array([seen, *visits[met].tolist()], pa.int64()), pa.array(rows, pa.list_(pa.float32()))], names=["unit", "slot", "n", "p"])
+
+        fitted = written(dealt.mapInArrow(fit, "unit bigint, slot int, n bigint, p array<float>"), "fitted")
+        some = F.pmod("unit", F.lit(isqrt(units) + 1)).alias("some")
+        mean = fitted.where("slot is null").groupBy(some).agg(Summarizer.mean(array_to_vector("p"), F.col("n").cast("double")).alias("p"), F.sum("n").alias("n")).collect()
+        if mean:
+            dense = sum(r["p"].toArray() * r["n"] for r in mean) / sum(r["n"] for r in mean)
+            each = [(F.sum(F.get("p", F.lit(d)).cast("double") * F.col("n")) / F.sum("n")).alias(f"p{d}") for d in range(DIM + 1)]
+            slots = fitted.where("slot is not null").groupBy("slot").agg(*each).collect()
+            if slots:
+                start[1][[r["slot"] for r in slots]] = [r[1:] for r in slots]
+            model.put(dense, start[1])
+        discard(fitted)
     return model
 
 
-def _scorer(words, flat: np.ndarray):
+class Scorer:
+    """log10 probabilities of coded words; remembers the first level's normalisers by pair of classes."""
+
+    def __init__(self, model: Model, words: Words):
+        self.model, self.words = model, words
+        self.one, self.two = (model.r * model.c[0]) @ model.t.T + model.b, (model.r * model.c[1]) @ model.t.T
+        self.log_z = np.full((CLASSES, CLASSES), np.nan, np.float32)
+
+    def log_classes(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
+        """Natural log probabilities of all classes after each context."""
+        s = self.one[w1] + self.two[w2]
+        return s - self._log_sum(s)[:, None]
+
+    @staticmethod
+    def _log_sum(s: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            total = np.exp(s).sum(1)
+        if np.isfinite(total).all() and total.all():
+            return np.log(total)
+        top = s.max(1, keepdims=True)
+        return np.log(np.exp(s - top).sum(1)) + top[:, 0]
+
+    def log_slots(self, group: int, q: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Natural log probability of a slot of a group from each query."""
+        a, b = self.words.first[group - 1 - HOT], self.words.rest[group] + 1
+        s = q @ self.model.slots[a:b, :-1].T + self.model.slots[a:b, -1]
+        return s[np.arange(len(s)), slot - a] - self._log_sum(s)
+
+    def tokens(self, ids: np.ndarray) -> np.ndarray:
+        """Of a sequence, log10 probabilities from the third place on; for words outside the dictionary all but log10(c+1)."""
+        cls, slot = self.words.placed(ids)
+        w1, w2, w = cls[1:-1], cls[:-2], cls[2:]
+        pairs = w1.astype(np.int64) * CLASSES + w2
+        fresh = np.unique(pairs[np.isnan(self.log_z[w1, w2])])
+        for some in np.array_split(fresh, max(1, len(fresh) // 2048)):
+            self.log_z[some // CLASSES, some % CLASSES] = self._log_sum(self.one[some // CLASSES] + self.two[some % CLASSES]) if len(some) else 0
+        out = (self.one[w1, w] + self.two[w2, w] - self.log_z[w1, w2]).astype(np.float64)
+        q = self.model.queries(self.model.r[cls])
+        order = np.argsort(w, kind="stable")
+        bounds = np.searchsorted(w[order], np.arange(1 + HOT, CLASSES + 1))
+        for group, (a, b) in enumerate(pairwise(bounds.tolist()), 1 + HOT):
+            for at in range(a, b, 2048):
+                here = order[at : min(b, at + 2048)]
+                out[here] += self.log_slots(group, q[2 + here], slot[2 + here])
+        out /= np.log(10)
+        rare = ids[2:] < 0
+        out[rare] -= self.words.log_rest[w[rare]]
+        return out
+
+
+def _scorer(words, model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (one, two) = words.value, Model(flat).tables()
-        log_z = np.full((CLASSES, CLASSES), np.nan, np.float32)
+        known = words.value
+        scorer, end = Scorer(model.value, known), len(known.cls) - 1
         for batch in batches:
-            texts = batch.column("t")
-            for at in range(0, len(texts), 512):
-                part = [known.classes(x.as_py()) for x in texts[at : at + 512]]
-                ranks, cls = np.concatenate([p[0] for p in part]), np.concatenate([p[1] for p in part])
-                begins = np.cumsum([0, *(len(p[0]) for p in part[:-1])])
-                w1 = np.concatenate([[0], cls[:-1]])
-                w2 = np.concatenate([[0, 0], cls[:-2]])[: len(cls)]
-                w1[begins] = w2[begins] = 0
-                w2[(begins + 1)[begins + 1 < len(cls)]] = 0
-                fresh = np.unique((w1 * CLASSES + w2)[np.isnan(log_z[w1, w2])])
-                for some in np.array_split(fresh, max(1, len(fresh) // 2048)):
-                    s = one[some // CLASSES] + two[some % CLASSES]
-                    top = s.max(1, keepdims=True, initial=-np.inf)
-                    log_z[some // CLASSES, some % CLASSES] = np.log(np.exp(s - top).sum(1)) + top[:, 0]
-                of_class = (one[w1, cls] + two[w2, cls] - log_z[w1, w2]) / np.log(10)
-                here = ranks >= 0
-                log_count = np.where(here, known.log_count[ranks], 0.0)
-                of_word = np.where(cls > HOT, log_count - known.log_size[cls], 0.0)
-                add = lambda x: np.add.reduceat(x, begins)
-                cols = {"n_tokens": add(np.ones(len(ranks), np.int64)), "n_known": add((here & known.known[ranks]).astype(np.int64)), "log_count": add(log_count), "model": add(of_class.astype(np.float64) + of_word)}
-                rest = pa.array([p[2] for p in part], pa.list_(pa.binary()))
-                yield pa.record_batch([*(batch.column(c).slice(at, 512) for c in ("doc_id", "held_out")), *(pa.array(x) for x in cols.values()), rest], names=["doc_id", "held_out", *cols, "rest"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [x for (x,) in _rows([part], "ids")]
+                log_count = [float(known.log_count[x[x >= 0]].sum()) for x in texts]
+                n_known = [int(known.known[x[x >= 0]].sum()) for x in texts]
+                sums = np.zeros(len(texts))
+                held, n = [], 0
+                for i, x in enumerate(texts):
+                    for begin in range(0, len(x), PIECE):
+                        lead = x[begin - 2 : begin] if begin else np.full(2, end, np.int32)
+                        held.append((i, np.concatenate([lead, x[begin : begin + PIECE]])))
+                        n += len(held[-1][1])
+                        if n >= PIECE:
+                            _add(sums, held, scorer)
+                            held, n = [], 0
+                _add(sums, held, scorer)
+                cols = {"n_tokens": [len(x) for x in texts], "n_known": n_known, "log_count": log_count, "model": sums}
+                yield pa.record_batch([*(part.column(c) for c in ("doc_id", "held_out")), *map(pa.array, cols.values()), part.column("rest")], names=["doc_id", "held_out", *cols, "rest"])
 
     return score
 
 
-def scores(df: DataFrame, text: str = "text", doc_id: str = "doc_id", dictionary: int = 50_000, rounds: int = 1, seed: int = 11) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``df``."""
+#: Tokens that are scored at once.
+PIECE = 1 << 17
+
+
+def _add(sums: np.ndarray, held: list[tuple[int, np.ndarray]], scorer: Scorer) -> None:
+    """Add each piece's log10 probabilities to its text's; pieces begin with the two words before them."""
+    if held:
+        got = scorer.tokens(np.concatenate([x for _, x in held]))
+        ends = np.cumsum([len(x) for _, x in held])
+        for (i, x), e in zip(held, ends.tolist(), strict=True):
+            sums[i] += got[e - len(x) : e - 2].sum()
+
+
+def scores(df: DataFrame, text: str = "text", doc_id: str = "doc_id", dictionary: int | None = None, rounds: int = 1, seed: int = 11) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``df``.
+
+    dictionary: how many of the most frequent words have a vector of their own; by default it grows with the input."""
     docs = df.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), text_or_empty(text).alias("t"))
     training = docs.where(~F.col("held_out"))
     counts = written(count_words(training), "counts")
     ends = training.count()
-    top = most_frequent(counts, dictionary)
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = totals[0] + ends, totals[1] + (ends > 0)
+    top = most_frequent(counts, min(2 * isqrt(n), MOST) if dictionary is None else dictionary)
     hot = [w for w, _ in top[:HOT]]
     others = counts.where(~F.col("w").isin(hot)) if hot else counts
     sizes = {r["g"]: (r["n"], r["v"]) for r in others.groupBy("g").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    words = df.sparkSession.sparkContext.broadcast(Words(top, ends, sizes))
-    model = train(training, words, seed, rounds)
+    share = df.sparkSession.sparkContext.broadcast
+    words = share(Words(top, ends, sizes))
+    coded = written(code(docs, words), "coded", compression="zstd")
+    model = share(train(coded, words, n, seed, rounds))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     kind = f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, log_count double, model double, rest array<binary>"
-    first = written(docs.mapInArrow(_scorer(words, model.flat), kind).withColumn("row", F.monotonically_increasing_id()), "scored")
+    first = written(coded.drop("key").mapInArrow(_scorer(words, model), kind).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = first.select("row", F.explode("rest").alias("w")).join(counts.select("w", "n"), "w")
     rare = rare.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("more"), F.count("*").alias("met"))
     both = first.drop("rest").join(rare, "row", "left").withColumns({"more": F.coalesce("more", F.lit(0.0)), "met": F.coalesce("met", F.lit(0))})
     base = F.col("log_count") + F.col("more") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
+    discard(coded)
     return both.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("met")).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), base.alias("base_score"), (F.col("model") + F.col("more")).alias("score"))
