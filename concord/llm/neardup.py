@@ -1,14 +1,16 @@
 """SimHash near-duplicates with deletion-variant signatures.
 
 A fingerprint of 64 bits is cut into the fewest segments of which one must differ by at most one bit: fingerprints
-within ``radius`` bits need ``radius // 2 + 1`` segments (three for 4 or 5 bits).  Two segments differ by at most one
-bit exactly if they agree once some one bit is struck out, so each fingerprint is indexed under its 64 one-wildcard
-variants, and an equality join of variants with a check of the distance finds every link.
+within ``radius`` bits need ``radius // 2 + 1`` segments (three for 4 or 5 bits).  A segment that differs by no bit is
+found under its own value, one that differs by a bit under its variant with that bit struck out.  Each fingerprint is
+indexed under its segments and one-wildcard variants (``variants`` says how many), and an equality join of these with
+a check of the distance finds every link.
 
-Copies share a fingerprint and are joined first, by aggregation.  Before the join, each variant's bucket is tied to
-its smallest fingerprint wherever that lies within the radius: as many rows as the bucket has.  Only buckets that then
-still hold fingerprints of different components go to the join, which emits verified links between components alone.
-So a large group of near copies never becomes all of its pairs, yet every link counts.
+Copies share a fingerprint and are joined first, by aggregation.  Before the join, each bucket is tied to its smallest
+and its largest fingerprint wherever that lies within the radius: as many rows as the bucket has.  Only buckets that
+then still hold fingerprints of different components go to the join, under keys lengthened by a block of the other
+bits (``lengthened``), which emits verified links between components alone.  So a large group of near copies never
+becomes all of its pairs, unrelated fingerprints seldom meet, yet every link counts.
 
 Edge cases: a null or empty text has fingerprint zero and is linked like any other; fewer words than a shingle give
 one shingle, the whole sequence; a null doc_id is carried along and never chosen as a component's id unless the
@@ -17,6 +19,7 @@ component has no other; repeated rows stay repeated; an empty table gives an emp
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import components, least_of, small, text_or_empty, written
+from concord.llm.common import components, discard, least_of, small, text_or_empty, written
 
 _LANES = np.uint64(0x0101010101010101)
 #: MinHash: bands of so many rows; a pair at Jaccard 0.8 shares no band once in 300,000 times.
@@ -43,10 +46,8 @@ def shingles(text: str, width: int) -> list[bytes]:
     return [flat[a : b - 1] for a, b in zip([0, *ends], ends[width - 1 :], strict=False)]
 
 
-def fingerprint(text: str, width: int = 4) -> int:
-    """Unsigned fingerprint: a bit is 1 if it is set in over half of the shingles' XXH64 (seed 42)."""
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, 42) for s in shingles(text, width)], dtype=np.uint64)
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes ``h``; zero for none."""
     if not len(h):
         return 0
     counts = np.zeros((8, 8), dtype=np.int64)  # [bit in byte, byte]
@@ -57,6 +58,16 @@ def fingerprint(text: str, width: int = 4) -> int:
     return sum(1 << (8 * byte + bit) for bit in range(8) for byte in range(8) if over[bit, byte])
 
 
+def hashes(of: Iterable[bytes]) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(s, 42) for s in of], dtype=np.uint64)
+
+
+def fingerprint(text: str, width: int = 4) -> int:
+    """Unsigned fingerprint: a bit is 1 if it is set in over half of the shingles' XXH64 (seed 42)."""
+    return majority(hashes(shingles(text, width)))
+
+
 def fingerprints(df: DataFrame, text: str = "text", width: int = 4) -> Column:
     """Column of fingerprints as signed longs."""
 
@@ -66,50 +77,129 @@ def fingerprints(df: DataFrame, text: str = "text", width: int = 4) -> Column:
     return F.arrow_udf(prints, "bigint")(text_or_empty(text))
 
 
-def variants(fp: Column, radius: int) -> Column:
-    """The 64 one-wildcard keys of a fingerprint: place of the struck bit above, what else the segment holds below."""
+#: Buckets of more fingerprints than this go on under lengthened keys; in smaller ones all are compared.
+SHORT = 256
+
+
+def cuts(radius: int) -> list[int]:
+    """Bounds of the ``radius // 2 + 1`` segments; the last one, where it is not struck out, is three bits shorter."""
     n = radius // 2 + 1
-    cuts = [round(64 * i / n) for i in range(n + 1)]
-    keys = []
-    for a, b in zip(cuts, cuts[1:], strict=False):
+    last = round(64 / n) - 3 * (radius % 2 == 0)
+    return [round((64 - last) * i / (n - 1)) for i in range(n)] + [64]
+
+
+def variants(fp: Column, radius: int) -> Column:
+    """Array of (key, bit): every whole segment, and one-wildcard variants of as many segments as are needed.
+
+    Of ``n`` segments either one agrees in full (its key has no bit), or each differs; then at least ``2n - radius``
+    differ in exactly one bit, so one of any ``radius - n + 1`` segments does: only the first so many are struck out, a
+    bit at a time.  ``bit`` is the value of the struck bit, in which the two fingerprints must differ."""
+    ends = cuts(radius)
+    keys, n = [], len(ends) - 1
+    for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
         segment = F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
-        # a wildcard bit is put to zero; 33 bits at most are left for a segment, 7 above them for the place
-        keys += [segment.bitwiseAND(F.lit(~(1 << (bit - a)) & ((1 << (b - a)) - 1))) + F.lit(bit << 40) for bit in range(a, b)]
+        # 35 bits at most are left for a segment; above them the place of the struck bit, or 64 and the segment
+        keys.append(F.struct((segment + F.lit((64 + i) << 40)).alias("key"), F.lit(None).cast("tinyint").alias("bit")))
+        if i < radius - n + 1:
+            keys += [F.struct((segment.bitwiseAND(F.lit(~(1 << (x - a)) & ((1 << (b - a)) - 1))) + F.lit(x << 40)).alias("key"), F.getbit(fp, F.lit(x)).alias("bit")) for x in range(a, b)]
     return F.array(*keys)
 
 
-def met_once(key: Column, x: Column, y: Column, radius: int) -> Column:
-    """Of all variants that two fingerprints share, one: in the first segment that differs by at most a bit, the one
-    without the differing bit, or the segment's first if none differs."""
-    n = radius // 2 + 1
-    cuts = [round(64 * i / n) for i in range(n + 1)]
-    apart, place = x.bitwiseXOR(y), F.shiftright(key, 40).cast("int")
-    here = place.isin(cuts[:-1]) | (F.getbit(apart, place) == 1)
-    for a, b in zip(cuts, cuts[1:-1], strict=False):
-        earlier = F.shiftrightunsigned(apart, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
-        here = here & ((place < b) | (F.bit_count(earlier) > 1))
-    return here
+def lengthened(fp: Column, key: Column, radius: int) -> Column:
+    """Array of keys, each ``key`` and a block of the bits outside its segment: two fingerprints within ``radius`` bits
+    that share the key share a block too, as fewer bits differ outside than there are blocks."""
+    ends = cuts(radius)
+    place = F.shiftright(key, 40)
+    out = None
+    for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+        # the bits outside: those above the segment moved down onto those below it
+        low = fp.bitwiseAND(F.lit((1 << a) - 1))
+        rest = low if b == 64 else F.shiftleft(F.shiftrightunsigned(fp, b), a).bitwiseOR(low)
+        wide = 64 - (b - a)
+        cases = []
+        for whole in (False, True):  # beside a struck bit that differs one bit less can differ outside
+            blocks = radius + whole
+            at = [round(wide * k / blocks) for k in range(blocks + 1)]
+            parts = [F.shiftrightunsigned(rest, x).bitwiseAND(F.lit((1 << (y - x)) - 1)).bitwiseOR(F.lit(k << 58)) for k, (x, y) in enumerate(zip(at, at[1:], strict=False))]
+            cases.append(F.array(*parts))
+        here = F.when((place >= a) & (place < b), cases[0]).when(place == 64 + i, cases[1])
+        out = here if out is None else F.coalesce(out, here)
+    return out
+
+
+def indexed(prints: DataFrame, radius: int, *carried: str) -> DataFrame:
+    """key, bit, fp and the carried columns: one row per variant of each row's ``fp``."""
+    return prints.select("fp", *carried, F.inline(variants(F.col("fp"), radius)))
+
+
+def mixed(index: DataFrame, of: str, radius: int) -> DataFrame:
+    """key, lo, hi, size: the smallest and the largest ``of`` of each bucket that can hold a link of two different ones.
+
+    A bucket of two, as most chance meetings are, is judged here by the distance of the two."""
+    ends = [F.min("fp").alias("__a"), F.max("fp").alias("__b")]
+    found = least_of(index, "key", F.min(of).alias("lo"), F.max(of).alias("hi"), F.min("bit").alias("zero"), F.max("bit").alias("one"), F.count("*").alias("size"), *ends)
+    near = F.bit_count(F.col("__a").bitwiseXOR(F.col("__b"))) <= radius
+    return found.where(F.expr("lo < hi and coalesce(zero < one, true)") & ((F.col("size") > 2) | near)).select("key", "lo", "hi", "size")
+
+
+def met_once(key: Column, block: Column, apart: Column, radius: int) -> Column:
+    """Of all keys and blocks that two fingerprints share, one: the first whole segment that agrees, or if none does the
+    first of those that differ in one bit, and the first block that agrees."""
+    place, ends = F.shiftright(key, 40), cuts(radius)
+    differ = [F.bit_count(F.shiftrightunsigned(apart, a).bitwiseAND(F.lit((1 << (b - a)) - 1))) for a, b in zip(ends, ends[1:], strict=False)]
+    none = F.lit(True)
+    cases = None
+    for i, d in enumerate(differ):
+        whole = (place == 64 + i) & none
+        cases = whole if cases is None else cases | whole
+        none = none & (d > 0)
+    for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+        first = (place >= a) & (place < b) & none & (F.getbit(apart, place.bitwiseAND(F.lit(63)).cast("int")) == 1)
+        for d in differ[:i]:
+            first = first & (d > 1)
+        cases = cases | first
+    top = F.lit(15 << 58)
+    agree = F.filter(lengthened(apart, key, radius), lambda x: x.bitwiseAND(top) == x)
+    return cases & ((block < 0) | (block.bitwiseAND(top) == F.array_min(agree)))
+
+
+def near_pairs(rooted: DataFrame, radius: int) -> DataFrame:
+    """(a, b, ra, rb): pairs of fingerprints of different roots within ``radius`` bits, of ``rooted`` (fp, root), each once.
+
+    Only rows of mixed buckets go on.  A bucket of more than ``SHORT`` rows is divided by a block of the other bits, so
+    that chance meetings stay few however full buckets are."""
+    index = indexed(rooted, radius, "root")
+    open_ = written(index.drop("bit").join(mixed(index, "root", radius).select("key", "size"), "key"), "open")
+    blocks = F.when(F.col("size") <= SHORT, F.array(F.lit(-1).cast("bigint"))).otherwise(lengthened(F.col("fp"), F.col("key"), radius))
+    longer = open_.select("key", "fp", "root", F.explode(blocks).alias("block"))
+    x, y = (longer.select("key", "block", F.col("fp").alias(n), F.col("root").alias(f"r{n}")) for n in "ab")
+    apart = F.col("a").bitwiseXOR(F.col("b"))
+    met = (x["key"] == y["key"]) & (x["block"] == y["block"]) & (F.col("ra") < F.col("rb")) & (F.bit_count(apart) <= radius)
+    return x.join(y, met & met_once(x["key"], x["block"], apart, radius)).select("a", "b", "ra", "rb")
+
+
+def tied(prints: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links of fingerprints to the smallest and the largest of each bucket; as many rows as the buckets have."""
+    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= radius
+    index = indexed(prints, radius)
+    ends = index.drop("bit").join(mixed(index, "fp", radius), "key")
+    ties = [ends.where(f"fp <> {end}").where(near("fp", end)).select(F.col("fp").alias("a"), F.col(end).alias("b")) for end in ("lo", "hi")]
+    return ties[0].union(ties[1]).distinct()
 
 
 def links(prints: DataFrame, radius: int) -> DataFrame:
-    """Components of distinct fingerprints ``(fp)`` linked at ``radius`` or fewer differing bits: (fp, root), linked ones only."""
+    """Components of distinct fingerprints ``(fp)`` linked at ``radius`` or fewer differing bits: (fp, root) of all."""
     if radius < 2:
         raise ValueError("a radius of at least 2 is needed")
-    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= radius
-    index = prints.select("fp", F.explode(variants(F.col("fp"), radius)).alias("key"))
-    ends = index.join(least_of(index, "key", F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi"), "key")
-    ties = [ends.where(f"fp <> {end}").where(near("fp", end)).select(F.col("fp").alias("a"), F.col(end).alias("b")) for end in ("lo", "hi")]
-    first = small(components(written(ties[0].union(ties[1]).distinct(), "stars")).select(F.col("node").alias("fp"), "root"))
+    stars = written(tied(prints, radius), "stars")
+    first = small(components(stars).select(F.col("node").alias("fp"), "root"))
     rooted = written(prints.join(first, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
-    index = rooted.select("fp", "root", F.explode(variants(F.col("fp"), radius)).alias("key"))
-    mixed = least_of(index, "key", F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    open_ = written(index.join(mixed, "key", "left_semi"), "open")
-    x, y = (open_.select("key", F.col("fp").alias(n), F.col("root").alias(f"r{n}")) for n in "ab")
-    met = (x["key"] == y["key"]) & (F.col("ra") < F.col("rb")) & near("a", "b") & met_once(x["key"], F.col("a"), F.col("b"), radius)
-    between = x.join(y, met).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+    between = written(near_pairs(rooted, radius).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "between")
     second = components(between)
     joined = rooted.join(small(second), rooted["root"] == second["node"], "left").select("fp", F.coalesce(second["root"], rooted["root"]).alias("root"))
-    return written(joined, "linked")
+    out = written(joined, "linked")
+    discard(stars, rooted, between)
+    return out
 
 
 def classes(prints: DataFrame, radius: int) -> DataFrame:
@@ -117,8 +207,11 @@ def classes(prints: DataFrame, radius: int) -> DataFrame:
     each = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
     linked = links(each.select("fp"), radius)
     both = each.join(linked, "fp")
-    ids = both.groupBy("root").agg(F.min("first").alias("component_id"))
-    return written(both.join(ids, "root").select("fp", "root", "component_id", "copies"), "component")
+    # only components of several fingerprints need their ids put together
+    ids = small(written(both.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "ids"))
+    out = written(both.join(ids, "root", "left").select("fp", "root", F.coalesce("component_id", "first").alias("component_id"), "copies"), "component")
+    discard(each, linked, ids)
+    return out
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, radius: int = 4) -> DataFrame:
@@ -130,27 +223,6 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
 # -- one document of each group --------------------------------------------------------------------------------------
 
 
-def majority(h: np.ndarray) -> np.ndarray:
-    """Fingerprints of the columns of ``h`` (unsigned, one row per shingle): bits set in over half the rows."""
-    counts = np.zeros((8, h.shape[1], 8), dtype=np.int64)
-    for part in (h[i : i + 255] for i in range(0, len(h), 255)):
-        for bit in range(8):
-            counts[bit] += ((part >> np.uint64(bit)) & _LANES).sum(axis=0, dtype=np.uint64).view(np.uint8).reshape(-1, 8)
-    over = 2 * counts > len(h)
-    weights = np.uint64(1) << (np.arange(8, dtype=np.uint64)[:, None] + 8 * np.arange(8, dtype=np.uint64)[None, :])
-    return np.where(over, weights[:, None, :], np.uint64(0)).sum(axis=(0, 2), dtype=np.uint64)
-
-
-def wide_print(text: str, width: int) -> np.ndarray:
-    """Four words of 64 bits over the distinct shingles; the first is what the index uses, all four tell near from far."""
-    return majority(_digests(text, width))
-
-
-def _digests(text: str, width: int) -> np.ndarray:
-    digest = xxhash.xxh3_128_digest
-    return np.frombuffer(b"".join(digest(s, seed) for s in dict.fromkeys(shingles(text, width)) for seed in (0, 1)), dtype=np.uint64).reshape(-1, 4)
-
-
 def band_keys(h: np.ndarray) -> np.ndarray:
     """One key per band of minima over the hashes ``h`` of distinct shingles; none for none."""
     if not len(h):
@@ -163,32 +235,35 @@ def band_keys(h: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in rows], dtype=np.uint64)
 
 
-def wide_prints(text: str, width: int) -> Column:
-    """The four words of the wide print and after them the band keys."""
+def signatures(text: str, width: int) -> Column:
+    """The fingerprint over distinct shingles and after it the band keys."""
 
     def prints(texts: pa.Array) -> pa.Array:
-        found = (_digests(x.as_py(), width) for x in texts)
-        rows = [np.concatenate([majority(h), band_keys(h[:, 0])]).view(np.int64) for h in found]
+        found = (hashes(set(shingles(x.as_py(), width))) for x in texts)
+        rows = [np.append(np.uint64(majority(h)), band_keys(h)).view(np.int64) for h in found]
         pa.default_memory_pool().release_unused()
         return pa.array(rows, pa.list_(pa.int64()))
 
     return F.arrow_udf(prints, "array<bigint>")(text_or_empty(text))
 
 
-def shingle_sets(text: str, width: int) -> Column:
-    """The distinct shingles' hashes of a text, as longs."""
+def shingle_sets(texts: DataFrame, width: int, most: int = 250_000) -> DataFrame:
+    """(h, s): the hashes of each text's distinct shingles, of ``texts`` (h, t); about ``most`` leave a task at once."""
 
-    def sets(texts: pa.Array) -> pa.Array:
-        digest = xxhash.xxh64_intdigest
-        rows = [np.array(list({digest(s, 42) for s in shingles(x.as_py(), width)}), dtype=np.uint64).view(np.int64) for x in texts]
-        return pa.array(rows, type=pa.list_(pa.int64()))
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, bodies = batch.column("h"), batch.column("t")
+            begin, held, n = 0, [], 0
+            for i in range(batch.num_rows):
+                held.append(hashes(set(shingles(bodies[i].as_py(), width))).view(np.int64))
+                n += len(held[-1])
+                if n >= most or i + 1 == batch.num_rows:
+                    yield pa.record_batch([keys.slice(begin, len(held)), pa.array(held, pa.list_(pa.int64()))], names=["h", "s"])
+                    begin, held, n = i + 1, [], 0
+            del batch, keys, bodies
+            pa.default_memory_pool().release_unused()
 
-    return F.arrow_udf(sets, "array<bigint>")(F.col(text))
-
-
-def _apart(x: list[Column], y: list[Column]) -> Column:
-    """Differing bits of two wide prints given as four words each."""
-    return sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(x[1:], y[1:], strict=True)), F.bit_count(x[0].bitwiseXOR(y[0])))
+    return texts.select("h", "t").mapInArrow(sets, "h bigint, s array<bigint>")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -196,62 +271,59 @@ def _similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     pairs = written(pairs.distinct(), "pairs")
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wanted")
     once = texts.join(small(wanted), "h", "left_semi").groupBy("h").agg(F.any_value("t").alias("t"))
-    sets = written(once.select("h", shingle_sets("t", width).alias("s")), "sets")
+    sets = written(shingle_sets(once, width), "sets")
     x, y = sets.select(F.col("h").alias("a"), F.col("s").alias("x")), sets.select(F.col("h").alias("b"), F.col("s").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     either = F.size("x") + F.size("y") - both
-    return written(pairs.join(x, "a").join(y, "b").where(both >= similarity * either).select("a", "b"), "similar")
-
-
-WIDE = ("w0", "w1", "w2", "w3")
+    out = written(pairs.join(x, "a").join(y, "b").where(both >= similarity * either).select("a", "b"), "similar")
+    discard(pairs, wanted, sets)
+    return out
 
 
-def text_groups(texts: DataFrame, prints: DataFrame, width: int, radius: int, within: int, similarity: float) -> DataFrame:
+def text_groups(texts: DataFrame, prints: DataFrame, width: int, radius: int, similarity: float) -> DataFrame:
     """(h, root) of all distinct texts: components of links between texts.
 
-    ``texts`` is (h, t) with repeats, ``prints`` is (h, w0..w3, bands), one row per text.  As in ``links``, each bucket is first tied to its smallest and its
-    largest member; the join that follows emits pairs of different components only, each pair once."""
-    index = prints.select("h", "w0", F.explode(variants(F.col("w0"), radius)).alias("key"))
-    member = F.struct("h", "w0")
-    ends = index.join(least_of(index, "key", F.min(member).alias("lo"), F.max(member).alias("hi")).where("lo.h < hi.h"), "key")
-    tied = [ends.where(f"h <> {e}.h").where(F.bit_count(F.col("w0").bitwiseXOR(F.col(f"{e}.w0"))) <= within // 3).select(F.least("h", f"{e}.h").alias("a"), F.greatest("h", f"{e}.h").alias("b")) for e in ("lo", "hi")]
-    pairs = written(tied[0].union(tied[1]).distinct(), "ties")
-    x, y = (prints.select(F.col("h").alias(n), *(F.col(w).alias(f"{n}{w}") for w in WIDE)) for n in "ab")
-    close = _apart([F.col(f"a{w}") for w in WIDE], [F.col(f"b{w}") for w in WIDE]) <= within
+    ``texts`` is (h, t) with repeats, ``prints`` is (h, w0, bands), one row per text.  As in ``links``, each bucket is first
+    tied to its smallest and its largest member; the joins that follow emit pairs of different components only."""
+    near = lambda found: found.select(F.col("a").alias("fp"), "b").join(by_print.withColumnRenamed("h", "a"), "fp").select("a", F.col("b").alias("fp")).join(by_print.withColumnRenamed("h", "b"), "fp").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # texts with one print are tied to the smallest of them, which stands for the print
+    each = prints.select("h", F.col("w0").alias("fp"))
+    by_print = written(each.groupBy("fp").agg(F.min("h").alias("h")), "by_print")
+    alike = each.withColumnRenamed("h", "b").join(by_print, "fp").where("h <> b").select(F.col("h").alias("a"), "b")
+    pairs = alike.union(near(written(tied(by_print.select("fp"), radius), "ties")))
     banded = prints.select("h", F.explode("bands").alias("key"))
     ends = banded.join(least_of(banded, "key", F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi"), "key")
-    sharing = [ends.where(f"h <> {e}").select(F.least("h", e).alias("a"), F.greatest("h", e).alias("b")) for e in ("lo", "hi")]
-    first = _similar(pairs.join(x, "a").join(y, "b").where(close).select("a", "b").union(sharing[0]).union(sharing[1]), texts, width, similarity)
+    for e in ("lo", "hi"):
+        pairs = pairs.union(ends.where(f"h <> {e}").select(F.least("h", e).alias("a"), F.greatest("h", e).alias("b")))
+    first = _similar(pairs, texts, width, similarity)
     linked = small(components(first))
-    rooted = written(prints.join(linked, prints["h"] == linked["node"], "left").select("h", *WIDE, "bands", F.coalesce("root", "h").alias("root")), "rooted")
-    index = rooted.select("h", "root", *WIDE, F.explode(variants(F.col("w0"), radius)).alias("key"))
-    x, y = (index.select("key", *(F.col(c).alias(f"{n}{c}") for c in ("h", "root", *WIDE))) for n in "ab")
-    near = _apart([F.col(f"a{w}") for w in WIDE], [F.col(f"b{w}") for w in WIDE]) <= within
-    met = (x["key"] == y["key"]) & (F.col("aroot") < F.col("broot")) & near & met_once(x["key"], F.col("aw0"), F.col("bw0"), radius)
-    near = x.join(y, met).select(F.least("ah", "bh").alias("a"), F.greatest("ah", "bh").alias("b"))
+    rooted = written(prints.join(linked, prints["h"] == linked["node"], "left").select("h", "w0", "bands", F.coalesce("root", "h").alias("root")), "rooted")
+    lead = rooted.join(by_print, "h").select("fp", "root")
     banded = rooted.select("h", "root", F.explode("bands").alias("key"))
-    mixed = least_of(banded, "key", F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    open_ = written(banded.join(mixed, "key", "left_semi"), "open")
+    several = least_of(banded, "key", F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    open_ = written(banded.join(several, "key", "left_semi"), "open")
     x, y = (open_.select("key", F.col("h").alias(n), F.col("root").alias(f"r{n}")) for n in "ab")
     sharing = x.join(y, (x["key"] == y["key"]) & (F.col("ra") < F.col("rb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = _similar(near.union(sharing), texts, width, similarity)
+    second = _similar(near(near_pairs(lead, radius)).union(sharing), texts, width, similarity)
     linked = small(components(first.union(second)))
-    return written(rooted.join(linked, rooted["h"] == linked["node"], "left").select("h", F.coalesce(linked["root"], rooted["h"]).alias("root")), "grouped")
+    out = written(rooted.join(linked, rooted["h"] == linked["node"], "left").select("h", F.coalesce(linked["root"], rooted["h"]).alias("root")), "grouped")
+    discard(by_print, open_, rooted, first, second)
+    return out
 
 
-def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, radius: int = 7, within: int = 52, similarity: float = 0.8) -> DataFrame:
+def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, radius: int = 4, similarity: float = 0.8) -> DataFrame:
     """``df`` less near copies: of each group the row with the smallest doc_id stays, with its columns and values.
 
     Groups are components of links; two texts are linked if the Jaccard similarity of their sets of ``width``-word
-    shingles, over whole texts, is at least ``similarity``.  Candidates share a one-wildcard variant of the 64-bit
-    fingerprint (all pairs within ``radius`` bits do, most within twice that) and differ in at most ``within`` of the 256 bits of
-    the wide print, or share one of 32 MinHash bands of five rows.  Equal texts are always linked.  Null ids come last; of rows that repeat id and text one stays.
+    shingles, over whole texts, is at least ``similarity``.  Candidates are the links of ``links`` between fingerprints of
+    distinct shingles (within ``radius`` bits), and texts that share one of 32 MinHash bands of five rows, as a similarity
+    of 0.8 does not put fingerprints within so few bits.  Equal texts are always linked.  Null ids come last; of rows that repeat id and text one stays.
     """
     base = df.withColumn("__h", F.xxhash64(text_or_empty(text))).withColumn("__id", F.col(doc_id))
-    rows = written(base.select("__id", "__h", wide_prints(text, width).alias("sig")), "prints")
+    rows = written(base.select("__id", "__h", signatures(text, width).alias("sig")), "prints")
     texts = rows.groupBy("__h").agg(F.min("__id").alias("first"), F.count("*").alias("copies"), F.count_if(F.col("__id").isNull()).alias("nulls"), F.any_value("sig").alias("sig"))
     texts = written(texts, "texts")
-    groups = text_groups(base.select(F.col("__h").alias("h"), text_or_empty(text).alias("t")), texts.select(F.col("__h").alias("h"), *(F.get("sig", F.lit(i)).alias(w) for i, w in enumerate(WIDE)), F.slice("sig", 5, BANDS).alias("bands")), width, radius, within, similarity)
+    groups = text_groups(base.select(F.col("__h").alias("h"), text_or_empty(text).alias("t")), texts.select(F.col("__h").alias("h"), F.get("sig", F.lit(0)).alias("w0"), F.slice("sig", 2, BANDS).alias("bands")), width, radius, similarity)
     known = texts.join(groups, texts["__h"] == groups["h"])
     order = F.struct(F.col("first").isNull(), "first", "__h")
     lead = known.groupBy("root").agg(F.min(order).alias("lead"))
