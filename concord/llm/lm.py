@@ -406,7 +406,7 @@ def _scorer(words, model):
                             held, n = [], 0
                 _add(sums, held, scorer)
                 cols = {"n_tokens": [len(x) for x in texts], "n_known": n_known, "log_count": log_count, "model": sums}
-                yield pa.record_batch([*(part.column(c) for c in ("doc_id", "held_out")), *map(pa.array, cols.values()), part.column("rest")], names=["doc_id", "held_out", *cols, "rest"])
+                yield pa.record_batch([*(part.column(c) for c in ("row", "doc_id", "held_out")), *map(pa.array, cols.values())], names=["row", "doc_id", "held_out", *cols])
 
     return score
 
@@ -440,14 +440,13 @@ def scores(df: DataFrame, text: str = "text", doc_id: str = "doc_id", dictionary
     sizes = {r["g"]: (r["n"], r["v"]) for r in others.groupBy("g").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     share = df.sparkSession.sparkContext.broadcast
     words = share(Words(top, ends, sizes))
-    coded = written(code(docs, words), "coded", compression="zstd")
+    coded = written(code(docs, words).withColumn("row", F.monotonically_increasing_id()), "coded")
     model = share(train(coded, words, n, seed, rounds))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    kind = f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, log_count double, model double, rest array<binary>"
-    first = written(coded.drop("key").mapInArrow(_scorer(words, model), kind).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = first.select("row", F.explode("rest").alias("w")).join(counts.select("w", "n"), "w")
+    kind = f"row bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, log_count double, model double"
+    first = coded.select("row", "doc_id", "held_out", "ids").mapInArrow(_scorer(words, model), kind)
+    rare = coded.select("row", F.explode("rest").alias("w")).join(counts.select("w", "n"), "w")
     rare = rare.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("more"), F.count("*").alias("met"))
-    both = first.drop("rest").join(rare, "row", "left").withColumns({"more": F.coalesce("more", F.lit(0.0)), "met": F.coalesce("met", F.lit(0))})
+    both = first.join(rare, "row", "left").withColumns({"more": F.coalesce("more", F.lit(0.0)), "met": F.coalesce("met", F.lit(0))})
     base = F.col("log_count") + F.col("more") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
-    discard(coded)
     return both.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("met")).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), base.alias("base_score"), (F.col("model") + F.col("more")).alias("score"))
