@@ -8,6 +8,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Embedder(Protocol):
@@ -87,6 +88,18 @@ def embedded(cells: DataFrame, factory: Callable[[], Embedder], batch_size: int
     return cells.mapInPandas(run, "dataset_side string, cell_id string, vec array<double>, error string")
 
 
+def run_counts(done: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Counters of a run per side: chunks in all, with a failure and without one, rows in all and failed.
+
+    done: what ``embedded`` returns; chunks: dataset_side, cell_id, chunk.  A chunk whose cells are missing from ``done`` failed."""
+    met = chunks.join(done.select("dataset_side", "cell_id", F.col("vec").isNotNull().alias("ok")), ["dataset_side", "cell_id"], "left")
+    each = met.groupBy("dataset_side", "chunk").agg(F.count("*").alias("n"), F.count_if(~F.coalesce("ok", F.lit(False))).alias("bad"))
+    return each.groupBy("dataset_side").agg(
+        F.count("*").alias("chunks_total"), F.count_if(F.col("bad") > 0).alias("chunks_failed"), F.count_if(F.col("bad") == 0).alias("chunks_succeeded"),
+        F.sum("n").alias("rows_total"), F.sum("bad").alias("rows_failed"),
+    )
+
+
 class StubEmbedder:
     """A fixed projection of the row's ``vec``; fails by memory above ``most`` rows a batch and on chosen cells."""
 

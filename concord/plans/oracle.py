@@ -130,6 +130,7 @@ SQL = {
     "lawful_units": "SELECT * FROM cover WHERE n_chem_instances > 0 AND n_gen_instances > 0",
     "data_inventory": "SELECT dataset, cell_line, perturbation_type, count(*) AS n_instances, count(DISTINCT perturbation_gene) AS n_units FROM inst GROUP BY ALL",
     "representation_registry": "SELECT dataset, cell_line, representation, count(*) AS n_instances FROM inst CROSS JOIN (SELECT unnest(['Gene', 'Pathway']) AS representation) GROUP BY ALL",
+    "registered_rows": "SELECT instance_id, dataset, cell_line, representation FROM inst CROSS JOIN (SELECT unnest(['Gene', 'Pathway']) AS representation) WHERE dataset = 'LINCS' OR representation = 'Gene'",
     "split_half": "SELECT *, CASE WHEN rn % 2 = 1 THEN 'A' ELSE 'B' END AS side FROM (SELECT * EXCLUDE (rn), CAST(rn AS INTEGER) AS rn FROM split)",
     "subsample": "SELECT * EXCLUDE (rn), CAST(rn AS INTEGER) AS rn FROM split WHERE rn <= 3",
     "t1_cross_match": "SELECT * FROM matched",
@@ -176,6 +177,12 @@ SQL = {
     "panel_enrichment": """WITH v AS (SELECT * FROM t2l WHERE metric_value IS NOT NULL), m AS (SELECT representation, metric_name, avg(metric_value) AS slice_mean FROM v GROUP BY ALL),
         e AS (SELECT representation, metric_name, anchor_gene, count(*) AS support_n, (sum(metric_value) / count(*) - any_value(slice_mean)) AS pair_mean_enrichment FROM v JOIN m USING (representation, metric_name) GROUP BY ALL HAVING count(*) >= 3)
         SELECT *, CAST(row_number() OVER (PARTITION BY representation, metric_name ORDER BY round(pair_mean_enrichment, 9) DESC, anchor_gene) AS INTEGER) AS rank FROM e""",
+    "panel_enrichment_cell_line": """WITH v AS (SELECT * FROM t2l WHERE metric_value IS NOT NULL), m AS (SELECT dataset, representation, metric_name, avg(metric_value) AS slice_mean FROM v GROUP BY ALL),
+        e AS (SELECT dataset, representation, metric_name, cell_line, count(*) AS support_n, (sum(metric_value) / count(*) - any_value(slice_mean)) AS pair_mean_enrichment FROM v JOIN m USING (dataset, representation, metric_name) GROUP BY ALL HAVING count(*) >= 3)
+        SELECT *, CAST(row_number() OVER (PARTITION BY dataset, representation, metric_name ORDER BY round(pair_mean_enrichment, 9) DESC, cell_line) AS INTEGER) AS rank FROM e""",
+    "panel_enrichment_gene": """WITH v AS (SELECT * FROM t1i WHERE metric_value IS NOT NULL), m AS (SELECT representation, metric_name, avg(metric_value) AS slice_mean FROM v GROUP BY ALL),
+        e AS (SELECT representation, metric_name, perturbation_gene, count(*) AS support_n, (sum(metric_value) / count(*) - any_value(slice_mean)) AS pair_mean_enrichment FROM v JOIN m USING (representation, metric_name) GROUP BY ALL HAVING count(*) >= 3)
+        SELECT *, CAST(row_number() OVER (PARTITION BY representation, metric_name ORDER BY round(pair_mean_enrichment, 9) DESC, perturbation_gene) AS INTEGER) AS rank FROM e""",
     "panel_fm_local": """WITH b AS (SELECT direction, representation, metric_name, metric_value FROM t2_sum WHERE dataset = 'scPerturb' AND cell_line = 'K562')
         SELECT b.*, g.metric_value AS baseline_value FROM b LEFT JOIN (SELECT * FROM b WHERE representation = 'Gene') g USING (direction, metric_name)""",
     "pair_groups": "SELECT dataset_side, treated_cell_id, string_agg(control_cell_id, ',' ORDER BY control_rank, control_cell_id) AS controls, count(*) AS n_controls FROM pairs GROUP BY ALL",
@@ -184,6 +191,9 @@ SQL = {
     "missing_pair_keys": "SELECT row_id, dataset_side, treated_cell_id FROM spine ANTI JOIN pairs USING (dataset_side, treated_cell_id)",
     "required_ids": "SELECT * FROM needed",
     "required_presence": """SELECT n.dataset_side, count(*) AS n_required, count(c.cell_id) AS n_present, count(*) - count(c.cell_id) AS n_missing FROM needed n LEFT JOIN cell c ON c.dataset_side = n.dataset_side AND c.cell_id = n.cell_id GROUP BY ALL""",
+    "reindexed_embeddings": """SELECT n.dataset_side, n.cell_id, list_sum(list_transform(c.vec, lambda x: CAST(x AS DOUBLE))) AS total
+        FROM needed n LEFT JOIN cell c ON c.dataset_side = n.dataset_side AND c.cell_id = n.cell_id""",
+    "first_of_duplicates": "SELECT dataset_side, cell_id, list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE))) AS total FROM cell",
     "control_mean": "SELECT dataset_side, treated_cell_id, n_controls, CAST(dim AS INTEGER) AS dim, (mean) AS mean FROM means JOIN control_dim USING (dataset_side, treated_cell_id) WHERE ok",
     "fm_delta": """SELECT row_id, treated_cell_id, dataset_side, n_controls_used, invalid_reason = '' AS valid_mask, invalid_reason, CASE WHEN invalid_reason = '' THEN (s) END AS delta_sum,
         CASE WHEN invalid_reason = '' THEN (nrm) END AS delta_norm, 'stub' AS model_name, 619 AS seed FROM delta LEFT JOIN delta_sums USING (dataset_side, treated_cell_id)""",
@@ -202,6 +212,10 @@ SQL = {
         count(*) FILTER (WHERE cnt <> 0) + CASE WHEN sum(cnt) > 0.0001 THEN 1 ELSE 0 END + CASE WHEN sum(cnt) > 1 THEN 1 ELSE 0 END AS pos_tokens FROM mcnt GROUP BY cell_id) WHERE row_sum > 0 AND pos_tokens >= 4""",
     "zero_row_filter": "SELECT cell_id, count(*) AS n_genes FROM mcnt GROUP BY cell_id HAVING max(cnt) > 0",
     "duplicate_ids": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1",
+    "embed_run_counts": """WITH c AS (SELECT dataset_side, cell_id, (row_number() OVER (PARTITION BY dataset_side ORDER BY CAST(cell_id AS BIGINT)) - 1) // 64 AS chunk FROM cell WHERE vec IS NOT NULL),
+        g AS (SELECT dataset_side, chunk, count(*) AS n, count(*) FILTER (WHERE cell_id IN ('5', '10')) AS bad FROM c GROUP BY ALL)
+        SELECT dataset_side, count(*) AS chunks_total, count(*) FILTER (WHERE bad > 0) AS chunks_failed, count(*) FILTER (WHERE bad = 0) AS chunks_succeeded,
+        CAST(sum(n) AS BIGINT) AS rows_total, CAST(sum(bad) AS BIGINT) AS rows_failed FROM g GROUP BY ALL""",
     "chunk_assign": """SELECT dataset_side, cell_id, (row_number() OVER (PARTITION BY dataset_side ORDER BY cell_id) - 1) // 64 AS chunk FROM (SELECT dataset_side, CAST(cell_id AS BIGINT) AS cell_id FROM cell)""",
 }
 
@@ -215,7 +229,8 @@ DOUBLES = {
     "t2_retrieval_leaderboard": "mean_mrr_corrected mean_hit1_corrected mean_hit3_corrected mean_hit5_corrected", "t2_benchmark_summary": "metric_value", "axis_inputs": "metric_value",
     "scorecard": "task1_axis_value_raw task2_axis_value_raw overall_axis_value_raw", "panel_scoreboard": "mean_value", "panel_paired": "mean_gene mean_pathway mean_difference",
     "panel_degradation": "mean_internal mean_cross mean_change", "panel_enrichment": "pair_mean_enrichment", "panel_fm_local": "metric_value baseline_value", "control_mean": "mean",
-    "fm_delta": "delta_sum delta_norm",
+    "fm_delta": "delta_sum delta_norm", "reindexed_embeddings": "total", "first_of_duplicates": "total",
+    "panel_enrichment_cell_line": "pair_mean_enrichment", "panel_enrichment_gene": "pair_mean_enrichment",
 }
 
 

@@ -103,6 +103,14 @@ def representation_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.registry(_rep(spark, sf_dir))
 
 
+@query
+def registered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances in representations that a registry lists; here it lists Pathway for one dataset only."""
+    rep = _rep(spark, sf_dir)
+    listed = cohort.registry(rep).where("dataset = 'LINCS' OR representation = 'Gene'")
+    return cohort.registered(rep, listed).select("instance_id", "dataset", "cell_line", "representation")
+
+
 @query
 def split_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.split_half(fx.instances(spark, sf_dir)).select("instance_id", *cohort.UNIT1, "rn", "side")
@@ -297,6 +305,16 @@ def panel_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.enrichment(t2_group_long(spark, sf_dir), "anchor_gene", ["representation", "metric_name"])
 
 
+@query
+def panel_enrichment_cell_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.enrichment(t2_group_long(spark, sf_dir), "cell_line", ["dataset", "representation", "metric_name"])
+
+
+@query
+def panel_enrichment_gene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.enrichment(group.long(group.task1_internal(_rep(spark, sf_dir))), "perturbation_gene", ["representation", "metric_name"])
+
+
 @query
 def panel_fm_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     board = t2_retrieval_summary(spark, sf_dir).select("dataset", "cell_line", "direction", "representation", "metric_name", "metric_value")
@@ -343,6 +361,21 @@ def required_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmdelta.presence(required_ids(spark, sf_dir), fx.cells(spark, sf_dir))
 
 
+@query
+def reindexed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = fmdelta.reindexed(required_ids(spark, sf_dir), fx.cells(spark, sf_dir))
+    return got.select("dataset_side", "cell_id", V.total(F.col("vec")).alias("total"))
+
+
+@query
+def first_of_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell twice, the second time with another vector."""
+    cells = fx.cells(spark, sf_dir).withColumn("pos", F.col("cell_id").cast("bigint"))
+    again = cells.withColumns({"vec": F.transform("vec", lambda v: v + 1), "pos": F.col("pos") + 1_000_000_000})
+    got = fmdelta.first_of_duplicates(again.unionByName(cells))
+    return got.select("dataset_side", "cell_id", V.total(F.col("vec")).alias("total"))
+
+
 @query
 def control_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = fmdelta.control_means(_pairs(spark, sf_dir), fx.cells(spark, sf_dir)).where("controls_ok")
@@ -448,7 +481,7 @@ def chunk_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.chunks(cells, "cell_id", 64)
 
 
-# -- embedders: not expressible in SQL ----------------------------------------------------------------------------------
+# -- embedders ------------------------------------------------------------------------------------------------------------
 
 
 @query
@@ -458,6 +491,13 @@ def embed_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.embedded(cells, lambda: embed.StubEmbedder(bad=frozenset({"5", "10"})))
 
 
+@query
+def embed_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = fx.cells(spark, sf_dir).where("vec IS NOT NULL").select("dataset_side", F.col("cell_id").cast("bigint").alias("cell_id"))
+    chunks = counts.chunks(cells, "cell_id", 64).withColumn("cell_id", F.col("cell_id").cast("string"))
+    return embed.run_counts(embed_stub(spark, sf_dir), chunks)
+
+
 def queries() -> dict:
     return dict(FOUND)
 
