@@ -33,6 +33,8 @@ from concord.llm.common import components, discard, least_of, small, text_or_emp
 _LANES = np.uint64(0x0101010101010101)
 #: MinHash: bands of so many rows; a pair at Jaccard 0.8 shares no band once in 300,000 times.
 BANDS, BAND_ROWS = 32, 5
+#: How often the bound of ``hopeful`` is drawn before texts that share a band are compared.
+BOUND_ROUNDS = 3
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -266,12 +268,17 @@ def shingle_sets(texts: DataFrame, width: int, most: int = 250_000) -> DataFrame
     return texts.select("h", "t").mapInArrow(sets, "h bigint, s array<bigint>")
 
 
+def sets_of(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """The written shingle sets (h, s) of the texts whose hashes ``wanted`` (h) holds; ``texts`` is (h, t) with repeats."""
+    once = texts.join(small(wanted), "h", "left_semi").groupBy("h").agg(F.any_value("t").alias("t"))
+    return written(shingle_sets(once, width), "sets")
+
+
 def _similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those of the pairs ``(a, b)`` of text hashes whose shingle sets are similar; ``texts`` is (h, t) with repeats."""
     pairs = written(pairs.distinct(), "pairs")
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wanted")
-    once = texts.join(small(wanted), "h", "left_semi").groupBy("h").agg(F.any_value("t").alias("t"))
-    sets = written(shingle_sets(once, width), "sets")
+    sets = sets_of(wanted, texts, width)
     x, y = sets.select(F.col("h").alias("a"), F.col("s").alias("x")), sets.select(F.col("h").alias("b"), F.col("s").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     either = F.size("x") + F.size("y") - both
@@ -280,11 +287,45 @@ def _similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return out
 
 
+def _of_several(banded: DataFrame) -> DataFrame:
+    """Rows of ``banded`` (key, h, root) in buckets that hold several roots."""
+    several = least_of(banded, "key", F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    return banded.join(several, "key", "left_semi")
+
+
+def hopeful(banded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``banded`` (key, h, root) less rows that cannot be similar to any text of their bucket, and buckets left with one root.
+
+    ``own`` shingles of a text are in no other text of ``banded``.  What it shares with a partner is at most the rest; both
+    together hold its own shingles and the whole partner, which has at least ``similarity`` of its size, and no fewer than
+    the smallest set of the bucket.  Texts left out lose no link, so the bound may be drawn again over those that stay."""
+    there = written(banded.select("h").distinct(), "there")
+    single = sets.join(small(there), "h", "left_semi").select("h", F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("h").alias("h")).where("n = 1")
+    own = single.groupBy("h").agg(F.count("*").alias("own"))
+    sizes = written(sets.select("h", F.size("s").alias("size")).join(own, "h", "left").select("h", "size", F.coalesce("own", F.lit(0)).alias("own")), "sizes")
+    rows = banded.join(small(sizes), "h")
+    met = rows.join(least_of(rows, "key", F.min("size").alias("fewest")), "key")
+    least = similarity * (F.greatest(similarity * F.col("size"), "fewest") + F.col("own"))
+    out = written(_of_several(met.where(F.col("size") - F.col("own") + 1e-6 >= least).select("key", "h", "root")), "hopeful")
+    discard(there, sizes)
+    return out
+
+
+def sharing_once(banded: DataFrame) -> DataFrame:
+    """(a, b): pairs of different roots that share a key of ``banded`` (key, h, root), each met under the first such key only."""
+    keys = written(banded.groupBy("h").agg(F.sort_array(F.collect_set("key")).alias("keys")), "keys")  # at most BANDS to a text
+    rows = banded.join(small(keys), "h")
+    x, y = (rows.select("key", F.col("h").alias(n), F.col("root").alias(f"r{n}"), F.col("keys").alias(f"k{n}")) for n in "ab")
+    met = (x["key"] == y["key"]) & (F.col("ra") < F.col("rb")) & (F.get(F.array_intersect("ka", "kb"), F.lit(0)) == x["key"])
+    return x.join(y, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def text_groups(texts: DataFrame, prints: DataFrame, width: int, radius: int, similarity: float) -> DataFrame:
     """(h, root) of all distinct texts: components of links between texts.
 
     ``texts`` is (h, t) with repeats, ``prints`` is (h, w0, bands), one row per text.  As in ``links``, each bucket is first
-    tied to its smallest and its largest member; the joins that follow emit pairs of different components only."""
+    tied to its smallest and its largest member; the joins that follow emit pairs of different components only, and of
+    texts that share a band only those that ``hopeful`` leaves."""
     near = lambda found: found.select(F.col("a").alias("fp"), "b").join(by_print.withColumnRenamed("h", "a"), "fp").select("a", F.col("b").alias("fp")).join(by_print.withColumnRenamed("h", "b"), "fp").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # texts with one print are tied to the smallest of them, which stands for the print
     each = prints.select("h", F.col("w0").alias("fp"))
@@ -300,10 +341,13 @@ def text_groups(texts: DataFrame, prints: DataFrame, width: int, radius: int, si
     rooted = written(prints.join(linked, prints["h"] == linked["node"], "left").select("h", "w0", "bands", F.coalesce("root", "h").alias("root")), "rooted")
     lead = rooted.join(by_print, "h").select("fp", "root")
     banded = rooted.select("h", "root", F.explode("bands").alias("key"))
-    several = least_of(banded, "key", F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    open_ = written(banded.join(several, "key", "left_semi"), "open")
-    x, y = (open_.select("key", F.col("h").alias(n), F.col("root").alias(f"r{n}")) for n in "ab")
-    sharing = x.join(y, (x["key"] == y["key"]) & (F.col("ra") < F.col("rb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    open_ = written(_of_several(banded), "open")
+    sets = sets_of(written(open_.select("h").distinct(), "wanted"), texts, width)
+    for _ in range(BOUND_ROUNDS):
+        last, open_ = open_, hopeful(open_, sets, similarity)
+        discard(last)
+    discard(sets)
+    sharing = sharing_once(open_)
     second = _similar(near(near_pairs(lead, radius)).union(sharing), texts, width, similarity)
     linked = small(components(first.union(second)))
     out = written(rooted.join(linked, rooted["h"] == linked["node"], "left").select("h", F.coalesce(linked["root"], rooted["h"]).alias("root")), "grouped")

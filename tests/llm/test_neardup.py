@@ -23,3 +23,32 @@ def test_no_pair_above_the_threshold_is_lost(spark):
     kept = {r["doc_id"] for r in neardup.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     lost = near & kept
     assert len(near) > 50 and kept | near == set(range(120)) and not lost, f"{len(lost)} of {len(near)} pairs lost"
+
+
+def test_bound_drops_no_link(spark):
+    """A group of near copies around the threshold, all of whose members share one bucket: every pair at 0.8 or more stays."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 120)]
+    texts = []
+    for g in range(120):
+        words = list(base)
+        for i in rng.choice(120, rng.integers(0, 7), replace=False):
+            words[i] = f"n{rng.integers(0, 60)}"
+        texts.append(" ".join(words[: 120 - 8 * (g % 3)]))
+    texts = list(dict.fromkeys(texts)) + ["one two three four five six", "one"]
+    hashed = [set(neardup.hashes(neardup.shingles(t, 5)).view(np.int64).tolist()) for t in texts]
+    near = {(i, j) for i, x in enumerate(hashed) for j, y in enumerate(hashed) if i < j and len(x & y) >= 0.8 * len(x | y)}
+    sets = spark.createDataFrame(list(enumerate(list(x) for x in hashed)), "h long, s array<bigint>")
+    rows = spark.createDataFrame([(7, i, i) for i in range(len(texts))], "key long, h long, root long")
+    for _ in range(3):
+        rows = neardup.hopeful(rows, sets, 0.8)
+    left = {r["h"] for r in rows.collect()}
+    assert near and {i for pair in near for i in pair} <= left
+    assert len(left) < len(texts)
+    assert neardup.hopeful(rows.limit(0), sets, 0.8).count() == 0
+
+
+def test_pairs_are_met_once(spark):
+    rows = [(1, 10, 10), (1, 11, 11), (1, 12, 11), (2, 10, 10), (2, 11, 11), (3, 13, 13)]
+    got = neardup.sharing_once(spark.createDataFrame(rows, "key long, h long, root long")).collect()
+    assert sorted(tuple(r) for r in got) == [(10, 11), (10, 12)]
