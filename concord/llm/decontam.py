@@ -100,7 +100,7 @@ def itemised(benchmark: DataFrame, width: int) -> DataFrame:
     """item, item_id, h, bat, bw, bv, bn: the forms by which each window of each distinct item is found."""
     bench = benchmark.select("item_id", text_or_empty("text").alias("t")).withColumn("item", F.xxhash64("item_id", "t")).dropDuplicates(["item"])
     rows = detailed(bench, ["item", "item_id"], width, list(range(LITERALS, width)))
-    numbers = F.exists("w", number)
+    numbers = F.exists("w", lambda x: (x >= "0") & number(x))  # placeholders are less than "0"
     enough = ~numbers & (F.size(F.filter("w", lambda x: x > "\u0005")) >= LITERALS)
     whole = (F.col("n") >= width) & (F.size("w") == width)
     by_place = Window.partitionBy("item", "at")

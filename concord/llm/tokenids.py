@@ -182,7 +182,7 @@ def _learn(fresh: list[bytes], known: dict[bytes, bytes], coder) -> None:
     marked, single = [], []
     for w in fresh:
         stem = w.rstrip(MARKS)
-        if stem.isalpha():
+        if stem.isalpha() and stem.islower():  # the lean tokenizer does not lower-case what a text that kept its case holds
             kind = plain
         elif _letters(stem):
             kind = stems
