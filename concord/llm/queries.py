@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import chat, decontam, html, lm, neardup, packing, quality, secrets, sharding, tokenids
+from concord.llm import chat, decontam, fim, html, lm, neardup, packing, quality, secrets, sharding, tokenids
 from concord.llm.common import shared_dir, written
 
 
@@ -84,10 +84,17 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(table(spark, sf_dir, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document rearranged for filling in its middle; digests of the output and of the text rebuilt from it."""
+    out = fim.transformed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rebuilt = fim.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(rebuilt, 256).alias("restored_sha256"))
+
+
 def queries() -> dict:
-    found = (op1_secret_scan, op2_best_fit_packing, op3_sharding, op4_token_ids, op5_simhash, op6_quality_rules, op7_decontamination, op8_chat_format, op9_html_extraction, op10_lm_scoring)
+    found = (op1_secret_scan, op2_best_fit_packing, op3_sharding, op4_token_ids, op5_simhash, op6_quality_rules, op7_decontamination, op8_chat_format, op9_html_extraction, op10_lm_scoring, op13_fill_in_middle)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality.SQL, "op8_chat_format": chat.SQL}
+    return {"op6_quality_rules": quality.SQL, "op8_chat_format": chat.SQL, "op13_fill_in_middle": fim.SQL}
