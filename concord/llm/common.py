@@ -72,6 +72,17 @@ def least_of(df: DataFrame, key: str, *aggregates: Column) -> DataFrame:
     return df.groupBy(key).agg(*aggregates).withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
 
 
+def met_in_groups(queries: DataFrame, stored: DataFrame, size: int) -> DataFrame:
+    """Every block of ``queries`` beside every row of ``stored``, by an equi-join on groups of about ``size`` stored rows.
+
+    ``stored`` is a written table with a number ``block`` that differs from row to row.  Its rows move once, to as many
+    tasks as there are groups; blocks of queries are copied to the groups, by broadcast where the copies are measured small."""
+    groups = max(1, -(-stored.count() // size))
+    dealt = stored.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).repartition(groups, "group")
+    each = queries.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return dealt.join(small(each), "group")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an edge table ``(a, b)`` of longs, by alternating large and small stars.
 
