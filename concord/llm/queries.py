@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import chat, decontam, fim, html, lexical, lm, neardup, packing, quality, secrets, sharding, tokenids
+from concord.llm import ann, chat, decontam, fim, html, lexical, lm, neardup, packing, quality, secrets, sharding, tokenids
 from concord.llm.common import shared_dir, written
 
 
@@ -84,6 +84,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(table(spark, sf_dir, "documents"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every 20th row of ``embeddings`` among all other rows."""
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark item."""
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
@@ -97,9 +102,9 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_secret_scan, op2_best_fit_packing, op3_sharding, op4_token_ids, op5_simhash, op6_quality_rules, op7_decontamination, op8_chat_format, op9_html_extraction, op10_lm_scoring, op12_lexical_search, op13_fill_in_middle)
+    found = (op1_secret_scan, op2_best_fit_packing, op3_sharding, op4_token_ids, op5_simhash, op6_quality_rules, op7_decontamination, op8_chat_format, op9_html_extraction, op10_lm_scoring, op11_nearest_neighbours, op12_lexical_search, op13_fill_in_middle)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality.SQL, "op8_chat_format": chat.SQL, "op12_lexical_search": lexical.SQL, "op13_fill_in_middle": fim.SQL}
+    return {"op6_quality_rules": quality.SQL, "op8_chat_format": chat.SQL, "op11_nearest_neighbours": ann.SQL, "op12_lexical_search": lexical.SQL, "op13_fill_in_middle": fim.SQL}
