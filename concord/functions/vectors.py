@@ -25,9 +25,9 @@ def scaled(x: str | Column, by: Column) -> Column:
 
 
 def unit(x: str | Column) -> Column:
-    """The vector divided by its norm; null if that is zero."""
-    norm = F.sqrt(dot(x, x))
-    return F.when(norm > 0, F.transform(_c(x), lambda v: v / norm))
+    """The vector divided by its norm; null if that is zero.  The norm is bound once, as an array of one."""
+    v = _c(x)
+    return F.get(F.transform(F.array(F.sqrt(dot(v, v))), lambda norm: F.when(norm > 0, F.transform(v, lambda e: e / norm))), F.lit(0))
 
 
 def finite(x: str | Column) -> Column:

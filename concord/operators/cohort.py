@@ -41,9 +41,29 @@ def hash_order(instance_id: str = "instance_id", seed: int = GLOBAL_SEED) -> lis
     return [F.md5(F.concat(F.lit(f"{seed}|"), F.col(instance_id).cast("string"))), F.col(instance_id)]
 
 
+#: Rows of a unit that are ranked in one piece, and the caps up to which a unit's first members are found by pieces.
+PIECE, CAP = 100_000, 1000
+
+
 def ranked(inst: DataFrame, unit: tuple[str, ...] = UNIT1, seed: int = GLOBAL_SEED) -> DataFrame:
-    """``rn`` 1.. within the unit in hash order."""
-    return inst.withColumn("rn", F.row_number().over(Window.partitionBy(*unit).orderBy(*hash_order(seed=seed))))
+    """``rn`` 1.. within the unit in hash order, without a window over a whole unit.
+
+    Digests are spread evenly, so their leading bits part a large unit into pieces of about ``PIECE`` rows that stand in
+    hash order; a row's rank is its rank in its piece plus the rows of the pieces before."""
+    sizes = inst.groupBy(*unit).agg(F.ceil(F.log2(F.count("*") / PIECE)).cast("int").alias("__bits")).where("__bits > 0")
+    order = hash_order(seed=seed)
+    lead = F.conv(F.substring(order[0], 1, 8), 16, 10).cast("bigint")
+    large = sizes.select(*unit, F.least("__bits", F.lit(31)).alias("__bits")).alias("__s")
+    base = inst.alias("__i")
+    pieces = base.join(large, [F.col(f"__i.{c}").eqNullSafe(F.col(f"__s.{c}")) for c in unit], "left").select("__i.*", "__s.__bits")
+    pieces = pieces.withColumn("__lead", lead).withColumn("__piece", F.when(F.col("__bits").isNotNull(), F.expr("shiftright(__lead, 32 - __bits)")).otherwise(F.lit(0).cast("bigint")))
+    counts = pieces.where("__bits IS NOT NULL").groupBy(*unit, "__piece").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*unit).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*unit, "__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inner = pieces.withColumn("rn", F.row_number().over(Window.partitionBy(*unit, "__piece").orderBy(*order))).alias("__i")
+    met = inner.join(offsets.alias("__o"), [F.col(f"__i.{c}").eqNullSafe(F.col(f"__o.{c}")) for c in (*unit, "__piece")], "left")
+    rn = (F.col("rn") + F.coalesce("__before", F.lit(0))).cast("bigint")
+    return met.select(*(F.col(f"__i.{c}") for c in inst.columns if c != "rn"), rn.alias("rn"))
 
 
 def split_half(inst: DataFrame, unit: tuple[str, ...] = UNIT1, seed: int = GLOBAL_SEED) -> DataFrame:
@@ -52,8 +72,16 @@ def split_half(inst: DataFrame, unit: tuple[str, ...] = UNIT1, seed: int = GLOBA
 
 
 def subsample(inst: DataFrame, cap: int, unit: tuple[str, ...] = UNIT1, seed: int = GLOBAL_SEED) -> DataFrame:
-    """The first ``cap`` members of each unit in hash order; the sampling operator for capped distances."""
-    return ranked(inst, unit, seed).where(F.col("rn") <= cap)
+    """The first ``cap`` members of each unit in hash order; the sampling operator for capped distances.
+
+    Up to ``CAP``, each unit is dealt over 64 pieces, only the first of every piece go on, and tasks limit both before they
+    send; above that the ranks of ``ranked`` are compared."""
+    if cap > CAP:
+        return ranked(inst, unit, seed).where(F.col("rn") <= cap)
+    order = hash_order(seed=seed)
+    piece = F.pmod(F.xxhash64("instance_id"), F.lit(64))
+    some = inst.withColumn("__piece", piece).withColumn("rn", F.row_number().over(Window.partitionBy(*unit, "__piece").orderBy(*order))).where(F.col("rn") <= cap)
+    return some.drop("__piece").withColumn("rn", F.row_number().over(Window.partitionBy(*unit).orderBy(*order)).cast("bigint")).where(F.col("rn") <= cap)
 
 
 def matched_units(inst: DataFrame, left: str = "LINCS", right: str = "scPerturb") -> DataFrame:

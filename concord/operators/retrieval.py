@@ -1,23 +1,18 @@
 """Centroid retrieval: the rank of a query's true centroid in a gallery, with chance-corrected metrics.
 
 A query never meets the gallery in a sorted window: its best positive is found by an equi-join on the unit, and the
-rank is one more than the number of gallery entries that come before it, counted by a partial aggregation right where
-the gallery is joined."""
+rank is one more than the number of gallery entries that come before it, counted by blocked matrix products."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.functions import chance
 from concord.functions import vectors as V
-from concord.operators import cohort
+from concord.operators import blocked, cohort
 
 NAMES = ("mrr", "hit1", "hit3", "hit5")
-#: A gallery up to this many vector components is offered for broadcast, after its size has been counted.
-BROADCAST_VALUES = 5_000_000
 
 
 def prepared(df: DataFrame, vector: str, kind: str) -> DataFrame:
@@ -31,12 +26,6 @@ def similarity(q: Column, g: Column, kind: str) -> Column:
     return F.round(value, 9)
 
 
-def offered(gallery: DataFrame) -> DataFrame:
-    """The gallery with a broadcast hint if it is small enough, by count."""
-    size = gallery.agg(F.coalesce(F.sum(F.size("mean")), F.lit(0))).first()[0]
-    return F.broadcast(gallery) if size <= BROADCAST_VALUES else gallery
-
-
 def per_query(queries: DataFrame, gallery: DataFrame, slice_: list[str], positives: DataFrame, kind: str = "cosine", correction: str = "difference") -> DataFrame:
     """Ranks and metrics, one row per query that has a positive with a similarity.
 
@@ -48,13 +37,9 @@ def per_query(queries: DataFrame, gallery: DataFrame, slice_: list[str], positiv
     first = F.min(F.when(F.col("sim").isNotNull(), F.struct((-F.col("sim")).alias("low"), "key")))
     best = own.groupBy(*ids).agg(first.alias("best"), F.collect_set("key").alias("own_keys"), F.count("*").alias("n_positive_keys"))
     known = queries.join(best.where("best IS NOT NULL"), ids)
-    g = offered(gallery.select(*slice_, "key", "mean"))
-    met = known.select(*ids, *(c for c in slice_ if c not in ids), "vec", "best", "own_keys").join(g, slice_)
-    sim, to_beat = similarity(F.col("vec"), F.col("mean"), kind), -F.col("best.low")
-    ahead = ~F.array_contains("own_keys", F.col("key")) & ((sim > to_beat) | ((sim == to_beat) & (F.col("key") < F.col("best.key"))))
-    ranks = met.groupBy(*ids).agg(F.count("*").alias("gallery_size"), (F.count_if(ahead) + 1).alias("rank_true"))
-    out = known.drop("vec", "own_keys", "best").join(ranks, ids)
-    return metrics(out, correction)
+    asked = known.select("query_instance_id", *slice_, "vec", (-F.col("best.low")).alias("beat"), F.col("best.key").alias("best_key"), "own_keys")
+    ranks = blocked.counts(asked, gallery.select(*slice_, "key", "mean"), slice_, kind).select(*ids, "gallery_size", (F.col("n_ahead") + 1).alias("rank_true"))
+    return metrics(known.drop("vec", "own_keys", "best").join(ranks, ids), correction)
 
 
 def metrics(df: DataFrame, correction: str = "difference") -> DataFrame:
@@ -117,7 +102,3 @@ def loo_centroids(rep: DataFrame, unit: tuple[str, ...] = cohort.UNIT1) -> DataF
     stats = V.moments(rep, [*unit, "representation"]).where("n >= 2")
     joined = rep.join(stats, [*unit, "representation"])
     return joined.withColumn("loo", F.zip_with("mean", "vec", lambda m, x: (m * F.col("n") - x) / (F.col("n") - 1))).drop("mean", "spread")
-
-
-def union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -148,7 +148,7 @@ SQL = {
     "t1_cross_retrieval": f"SELECT perturbation_type, representation, query_instance_id, cell_line, perturbation_gene, {RANK_COLUMNS} FROM scored JOIN inst ON query_instance_id = instance_id WHERE p = 'cross'",
     "c2g_per_query": f"SELECT dataset, cell_line, direction, representation, query_instance_id, anchor_gene, perturbation_gene, {RANK_COLUMNS} FROM t2q WHERE direction = 'C2G'",
     "g2c_per_query": f"SELECT dataset, cell_line, direction, representation, query_instance_id, anchor_gene, perturbation_gene, {RANK_COLUMNS} FROM t2q WHERE direction = 'G2C'",
-    "chance_expectation": """WITH sizes AS (SELECT g, k FROM (SELECT unnest(range(1, 41)) AS g) CROSS JOIN (SELECT unnest([1, 2]) AS k) WHERE k <= g)
+    "chance_expectation": f"""WITH sizes AS (SELECT g, k FROM (SELECT DISTINCT count(*) AS g FROM ({VIEWS["inst"]}) GROUP BY dataset, cell_line, perturbation_type, perturbation_gene) CROSS JOIN (SELECT unnest([1, 2]) AS k) WHERE k <= g)
         SELECT g AS gallery_size, CAST(k AS BIGINT) AS n_positive_keys, (e_mrr) AS e_mrr, CAST(e_hit1 AS DOUBLE) AS e_hit1, CAST(e_hit3 AS DOUBLE) AS e_hit3, CAST(e_hit5 AS DOUBLE) AS e_hit5 FROM (@chance)""",
     "t1_retrieval_summary": """SELECT dataset, perturbation_type, representation, n_total, coalesce(n_valid, 0) AS n_valid, n_total - coalesce(n_valid, 0) AS n_excluded, gallery_size_mean, gallery_size_max
         FROM (SELECT dataset, perturbation_type, representation, count(*) AS n_total FROM inst CROSS JOIN (SELECT unnest(['Gene', 'Pathway']) AS representation) GROUP BY ALL)

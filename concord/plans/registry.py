@@ -113,12 +113,12 @@ def registered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def split_half(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cohort.split_half(fx.instances(spark, sf_dir)).select("instance_id", *cohort.UNIT1, "rn", "side")
+    return cohort.split_half(fx.instances(spark, sf_dir)).select("instance_id", *cohort.UNIT1, F.col("rn").cast("int").alias("rn"), "side")
 
 
 @query
 def subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cohort.subsample(fx.instances(spark, sf_dir), 3).select("instance_id", *cohort.UNIT1, "rn")
+    return cohort.subsample(fx.instances(spark, sf_dir), 3).select("instance_id", *cohort.UNIT1, F.col("rn").cast("int").alias("rn"))
 
 
 @query
@@ -206,7 +206,9 @@ def g2c_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chance_expectation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = spark.range(1, 41).select(F.col("id").alias("gallery_size"), F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))).alias("n_positive_keys")).where("n_positive_keys <= gallery_size")
+    """For galleries as large as each unit has members, with one and two positives."""
+    members = fx.instances(spark, sf_dir).groupBy(*cohort.UNIT1).agg(F.count("*").alias("gallery_size")).select("gallery_size").distinct()
+    sizes = members.select("gallery_size", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(2).cast("bigint"), F.col("gallery_size")))).alias("n_positive_keys"))
     got = chance.expectation_columns(sizes)
     return got.select("gallery_size", "n_positive_keys", *(F.col(f"e_{m}").alias(f"e_{m}") for m in retrieval.NAMES))
 

@@ -79,7 +79,6 @@ def test_chance_by_enumeration(spark):
         for h in chance.HITS:
             assert r[f"e_hit{h}"] == pytest.approx(np.mean([f <= h for f in firsts]))
             assert chance.expected_hit(g, k, h) == pytest.approx(r[f"e_hit{h}"])
-    assert chance.expectations(spark, [(3, 1), (2, 3)]).count() == 1
 
 
 def test_ratio_correction_is_null_where_chance_is_certain(spark):
