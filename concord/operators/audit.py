@@ -77,9 +77,19 @@ def delta_sound(delta: DataFrame) -> Assertion:
     return none_of(bad.select("row_id", "invalid_reason"), "delta_finite_or_null")
 
 
+def sides_embedded(embeddings: DataFrame) -> Assertion:
+    """Every side has a vector."""
+    rows = embeddings.groupBy("dataset_side").agg(F.count("vec").alias("n_vectors")).collect()  # a row for each side
+    bad = tuple({"side": r["dataset_side"]} for r in rows if not r["n_vectors"])
+    return Assertion("embedding_side", bool(rows) and not bad, f"{len(rows)} sides, {len(bad)} without a vector", bad[:EXAMPLES])
+
+
 def one_dimension(embeddings: DataFrame) -> Assertion:
-    sizes = [r["d"] for r in embeddings.where("vec IS NOT NULL").select(F.size("vec").alias("d")).distinct().limit(2).collect()]
-    return Assertion("embedding_dimension", len(sizes) <= 1, f"dimensions {sizes}")
+    """All vectors of all sides have one dimension; each side with another than the first counts against it."""
+    rows = embeddings.groupBy("dataset_side").agg(F.min(F.when(F.col("vec").isNotNull(), F.size("vec"))).alias("lo"), F.max(F.when(F.col("vec").isNotNull(), F.size("vec"))).alias("hi"))
+    sides = sorted(((r["dataset_side"] or "", r["lo"], r["hi"]) for r in rows.collect() if r["lo"] is not None), key=lambda r: r[0])
+    bad = tuple({"side": s, "side_dim": hi if hi != sides[0][1] else lo} for s, lo, hi in sides if (lo, hi) != (sides[0][1], sides[0][1]))
+    return Assertion("embedding_dimension_consistent_across_sides", not bad, f"dimensions {sorted({d for _, lo, hi in sides for d in (lo, hi)})}", bad[:EXAMPLES])
 
 
 def not_in_own_centroid(loo: DataFrame) -> DataFrame:
@@ -94,6 +104,6 @@ def delta_run(spine: DataFrame, pairs: DataFrame, embeddings: DataFrame) -> tupl
 
     done = [fatal(row_ids_contiguous(spine), 9), fatal(none_of(fmdelta.contract_violations(pairs), "pair_group_contract"), 10)]
     done.append(none_of(fmdelta.missing_keys(spine, pairs).select("row_id", *fmdelta.KEY), "delta_rows_have_pair_keys"))
-    done.append(fatal(one_dimension(embeddings), 11))
+    done += [fatal(sides_embedded(embeddings), 12), fatal(one_dimension(embeddings), 13)]
     delta = fmdelta.deltas(spine, pairs, embeddings)
     return delta, [*done, rows_preserved(spine, delta), delta_sound(delta)]

@@ -61,6 +61,40 @@ def first_of_duplicates(embeddings: DataFrame, position: str = "pos") -> DataFra
     return embeddings.groupBy("dataset_side", "cell_id").agg(F.min_by("vec", position).alias("vec"))
 
 
+#: Columns that may hold a cell's id in an embedder's output, in the order in which they are tried.
+OUTPUT_IDS = ("cell_id", "cell", "barcode", "obs_name", "obs_names", "Unnamed: 0")
+
+
+def aligned(expected: DataFrame, outputs: DataFrame, pos: str = "pos") -> DataFrame:
+    """Every expected cell with its vector from ``outputs``, and ``way``, how its side was aligned.
+
+    All id columns of ``OUTPUT_IDS`` that ``outputs`` has are matched at once.  A side goes by the first that covers all its
+    expected cells (``way`` is its name), else by the first that covers the most (``name:partial``, the rest stay without a
+    vector).  Only where none covers any and both have as many rows is it by position, and else there is no vector
+    (``none``).  Of outputs that share an id the first counts; a vector that is not finite is null.
+
+    expected: dataset_side, cell_id, ``pos``; outputs: dataset_side, ``pos``, vec, id columns.  Positions are dense from 0."""
+    names = [c for c in OUTPUT_IDS if c in outputs.columns]
+    each = F.array(*(F.struct(F.lit(i).alias("rank"), F.col(f"`{c}`").cast("string").alias("id")) for i, c in enumerate(names))) if names else F.array().cast("array<struct<rank:int,id:string>>")
+    ids = outputs.select("dataset_side", F.col(pos).alias("at"), F.inline(each)).where("id IS NOT NULL").groupBy("dataset_side", "rank", "id").agg(F.min("at").alias("at"))
+    wanted = expected.select("dataset_side", "cell_id", F.col(pos).alias("own"))
+    hits = wanted.select("dataset_side", "cell_id").distinct().join(ids.withColumnRenamed("id", "cell_id"), ["dataset_side", "cell_id"])
+    cover = hits.groupBy("dataset_side", "rank").agg(F.count("*").alias("n"))
+    sizes = wanted.groupBy("dataset_side").agg(F.count("*").alias("n_wanted"))
+    given = outputs.groupBy("dataset_side").agg(F.count("*").alias("n_given"))
+    best = cover.groupBy("dataset_side").agg(F.max(F.struct("n", (-F.col("rank")).alias("first"))).alias("best"))
+    ways = sizes.join(given, "dataset_side", "left").join(best, "dataset_side", "left")
+    rank = -F.col("best.first")
+    label = F.get(F.array(*map(F.lit, names)), rank) if names else F.lit(None).cast("string")
+    by_id = F.when(F.col("best.n") == F.col("n_wanted"), label).otherwise(F.concat(label, F.lit(":partial")))
+    way = F.when(F.col("best").isNotNull(), by_id).when(F.col("n_given") == F.col("n_wanted"), "position").otherwise("none")
+    ways = F.broadcast(ways.select("dataset_side", way.alias("way"), rank.alias("rank")))  # a row for each side
+    placed = wanted.join(ways, "dataset_side").join(hits, ["dataset_side", "cell_id", "rank"], "left")
+    placed = placed.withColumn("at", F.when(F.col("way") == "position", F.col("own")).otherwise(F.col("at")))
+    vectors = outputs.select("dataset_side", F.col(pos).alias("at"), F.when(V.finite("vec"), F.col("vec")).alias("vec"))
+    return placed.join(vectors, ["dataset_side", "at"], "left").select("dataset_side", "cell_id", "vec", "way")
+
+
 def reindexed(expected: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Every expected cell; those without a vector have null."""
     return expected.join(embeddings, ["dataset_side", "cell_id"], "left")

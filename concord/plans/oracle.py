@@ -216,6 +216,11 @@ SQL = {
         g AS (SELECT dataset_side, chunk, count(*) AS n, count(*) FILTER (WHERE cell_id IN ('5', '10')) AS bad FROM c GROUP BY ALL)
         SELECT dataset_side, count(*) AS chunks_total, count(*) FILTER (WHERE bad > 0) AS chunks_failed, count(*) FILTER (WHERE bad = 0) AS chunks_succeeded,
         CAST(sum(n) AS BIGINT) AS rows_total, CAST(sum(bad) AS BIGINT) AS rows_failed FROM g GROUP BY ALL""",
+    "embed_consensus": """SELECT dataset_side, cell_id, CAST(CASE WHEN CAST(cell_id AS BIGINT) % 97 <> 0 THEN 8 END AS INTEGER) AS dim,
+        CASE WHEN CAST(cell_id AS BIGINT) % 97 = 0 THEN 'dimension 4, not 8' END AS error FROM cell WHERE vec IS NOT NULL""",
+    "aligned_embeddings": "SELECT dataset_side, cell_id, list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE))) AS total, CASE dataset_side WHEN 'CRISPR' THEN 'barcode' ELSE 'position' END AS way FROM cell",
+    "npy_round_trip": """SELECT row_id, invalid_reason = '' AS valid, CASE WHEN invalid_reason = '' THEN t END AS total FROM delta
+        LEFT JOIN (SELECT dataset_side, treated_cell_id, sum(CAST(CAST(v - mean AS FLOAT) AS DOUBLE)) AS t FROM treated_dim JOIN control_dim USING (dataset_side, treated_cell_id, dim) GROUP BY ALL) USING (dataset_side, treated_cell_id)""",
     "chunk_assign": """SELECT dataset_side, cell_id, (row_number() OVER (PARTITION BY dataset_side ORDER BY cell_id) - 1) // 64 AS chunk FROM (SELECT dataset_side, CAST(cell_id AS BIGINT) AS cell_id FROM cell)""",
 }
 
@@ -229,7 +234,7 @@ DOUBLES = {
     "t2_retrieval_leaderboard": "mean_mrr_corrected mean_hit1_corrected mean_hit3_corrected mean_hit5_corrected", "t2_benchmark_summary": "metric_value", "axis_inputs": "metric_value",
     "scorecard": "task1_axis_value_raw task2_axis_value_raw overall_axis_value_raw", "panel_scoreboard": "mean_value", "panel_paired": "mean_gene mean_pathway mean_difference",
     "panel_degradation": "mean_internal mean_cross mean_change", "panel_enrichment": "pair_mean_enrichment", "panel_fm_local": "metric_value baseline_value", "control_mean": "mean",
-    "fm_delta": "delta_sum delta_norm", "reindexed_embeddings": "total", "first_of_duplicates": "total",
+    "fm_delta": "delta_sum delta_norm", "aligned_embeddings": "total", "npy_round_trip": "total", "reindexed_embeddings": "total", "first_of_duplicates": "total",
     "panel_enrichment_cell_line": "pair_mean_enrichment", "panel_enrichment_gene": "pair_mean_enrichment",
 }
 

@@ -11,6 +11,7 @@ from concord.operators import audit, cohort, counts, embed, fmdelta, group, pane
 from concord.operators.group import rounded
 from concord.plans import oracle
 from concord.sources import fixtures as fx
+from concord.sources import npy, scratch
 from concord.sources.tables import symbol_map, table
 
 FOUND: dict = {}
@@ -500,6 +501,34 @@ def embed_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.run_counts(embed_stub(spark, sf_dir), chunks)
 
 
+@query
+def embed_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 97th cell comes with half the dimensions: each side keeps the dimension of its first success and names the others."""
+    cells = fx.cells(spark, sf_dir).where("vec IS NOT NULL")
+    made = embed.embed_run(cells, lambda: embed.StubEmbedder(narrow=lambda c: int(c) % 97 == 0), order=F.col("cell_id").cast("bigint"))
+    return made.select("dataset_side", "cell_id", F.when(F.col("vec").isNotNull(), F.size("vec")).alias("dim"), "error")
+
+
+@query
+def aligned_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs whose first id column is of no use: one side is found by its barcodes, in reverse order, one by position."""
+    cells = fx.cells(spark, sf_dir).withColumn("pos", F.expr("CAST(cell_id AS BIGINT) DIV 2"))
+    crispr = F.col("dataset_side") == "CRISPR"
+    ids = {"cell_id": F.when(crispr, F.concat(F.lit("x"), "cell_id")), "barcode": F.when(crispr, F.col("cell_id")), "pos": F.when(crispr, 1_000_000_000 - F.col("pos")).otherwise(F.col("pos"))}
+    got = fmdelta.aligned(cells.drop("vec"), cells.withColumns(ids))
+    return got.select("dataset_side", "cell_id", V.total(F.col("vec")).alias("total"), "way")
+
+
+@query
+def npy_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deltas as one float32 matrix in numpy's form, read back by row number."""
+    path = f"{scratch.fresh(spark, 'fm_delta')}.npy"
+    npy.write_matrix(_deltas(spark, sf_dir), path)
+    back = npy.read_matrix(spark, path).withColumn("valid", ~F.exists("vec", F.isnan))
+    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return back.select("row_id", "valid", F.when(F.col("valid"), total).alias("total"))
+
+
 def queries() -> dict:
     return dict(FOUND)
 

@@ -165,7 +165,7 @@ def test_fatal_and_recorded_audits(spark):
         audit.delta_run(spine, pairs, vecs)
     assert e.value.code == 10
     delta, done = audit.delta_run(spine.where("row_id < 5"), pairs.where("treated_cell_id <> 't5'"), vecs)
-    assert {a.name: a.ok for a in done} == {"row_id_contiguous": True, "pair_group_contract": True, "delta_rows_have_pair_keys": False, "embedding_dimension": True, "rows_preserved": True, "delta_finite_or_null": True}
+    assert {a.name: a.ok for a in done} == {"row_id_contiguous": True, "pair_group_contract": True, "delta_rows_have_pair_keys": False, "embedding_side": True, "embedding_dimension_consistent_across_sides": True, "rows_preserved": True, "delta_finite_or_null": True}
     assert json.dumps([a.record() for a in done]) and delta.count() == 5
     with pytest.raises(audit.AuditError) as e:
         audit.delta_run(spine.where("row_id <> 1"), pairs, vecs)
