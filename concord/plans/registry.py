@@ -11,7 +11,7 @@ from concord.operators import audit, cohort, counts, embed, fmdelta, group, pane
 from concord.operators.group import rounded
 from concord.plans import oracle
 from concord.sources import fixtures as fx
-from concord.sources import npy, scratch
+from concord.sources import npy, scratch, stages
 from concord.sources.tables import symbol_map, table
 
 FOUND: dict = {}
@@ -267,15 +267,35 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.scorecard(axis_inputs(spark, sf_dir))
 
 
+def _stages(spark: SparkSession, sf_dir: str) -> str:
+    """Three stages over the tables at hand, run and committed; the folder of their runs."""
+    root = f"{scratch.fresh(spark, 'run')}/runs"
+    spine, pairs = fmdelta.clean_spine(fx.delta_meta(spark, sf_dir)), fmdelta.clean_pairs(fx.pair_list(spark, sf_dir))
+
+    def run(task: str, name: str, table_: DataFrame, keys: list[str], *checks: audit.Assertion) -> None:
+        stage = stages.Stage(spark, root, "r1", task, name, inputs=[f"{sf_dir}/embeddings.parquet"], allowed=[sf_dir])
+        stage.table(table_, f"{name}_table", keys, [])
+        for c in checks:
+            stage.check(c)
+        stage.commit()
+
+    run("task1", "S1", spine, ["row_id"], audit.row_ids_contiguous(spine))
+    run("task2", "S3", fmdelta.groups(pairs).drop("controls"), fmdelta.KEY, audit.none_of(fmdelta.missing_keys(spine, pairs).select("row_id", *fmdelta.KEY), "delta_rows_have_pair_keys"))
+    run("task2", "S4", cohort.coverage(cohort.membership(fx.instances(spark, sf_dir))), list(cohort.UNIT2))
+    return root
+
+
 @query
 def input_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stages that may enter the synthesis: all their assertions pass on the tables at hand."""
-    stages = spark.createDataFrame([("task1", "S1", "r1"), ("task2", "S3", "r1"), ("task2", "S4", "r1")], "task string, stage_name string, run_id string")
-    paths = {"stage_dir": F.concat_ws("/", F.lit("runs"), "run_id", "stage_name"), "manifest_path": F.concat_ws("/", F.lit("runs"), "run_id", "stage_name", F.lit("manifest.json")), "audit_assertions_path": F.concat_ws("/", F.lit("runs"), "run_id", "stage_name", F.lit("audit_assertions.json"))}
-    checks = audit.row_ids(fx.delta_meta(spark, sf_dir)).select(F.lit("task1").alias("task"), F.lit("S1").alias("stage_name"), F.lit("r1").alias("run_id"), F.col("contiguous").alias("pass"))
-    missing = fmdelta.missing_keys(fmdelta.clean_spine(fx.delta_meta(spark, sf_dir)), fmdelta.clean_pairs(fx.pair_list(spark, sf_dir))).agg((F.count("*") == 0).alias("pass"))
-    checks = checks.unionByName(missing.select(F.lit("task2").alias("task"), F.lit("S3").alias("stage_name"), F.lit("r1").alias("run_id"), "pass"))
-    return summary.passed_inputs(stages.withColumns(paths), checks)
+    """Stages that may enter the synthesis, from the files they committed: no gate failed and no file changed since."""
+    return stages.registry(spark, _stages(spark, sf_dir)).where("refused IS NULL").drop("refused")
+
+
+@query
+def stage_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every assertion that the stages put on record, by gate."""
+    got = stages.assertions(spark, _stages(spark, sf_dir))
+    return got.select("run_id", "stage_name", "gate", "name", "pass", F.size("counterexamples").alias("n_counterexamples"))
 
 
 # -- panels -----------------------------------------------------------------------------------------------------------

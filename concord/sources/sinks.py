@@ -10,8 +10,13 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: How treated and control vectors are combined.
-DELTA_POLICY = {"operator_type": "euclidean", "eps": 1e-12, "delta": "treated_minus_mean_controls", "alignment": "row_id, 0..N-1, rows never dropped"}
+def delta_policy(model_name: str, embedding_config: dict, seed: int = 619, reference: str = "k562/derived/delta_meta.csv") -> dict:
+    """How deltas were made.  Fixed values: the names, the operator and the rules of the contract."""
+    return {
+        "model_name": model_name, "operator_type": "euclidean", "eps": 1e-12, "delta_definition": "treated_minus_mean_controls",
+        "row_alignment_contract": {"reference_table": reference, "rule": "fm_delta[row_id] aligned to delta_meta.row_id with no row drops", "invalid_row_fill": "all_nan_and_valid_mask_false"},
+        "seed": seed, "embedding_config": embedding_config,
+    }
 
 
 def write_json(path: str, value: dict | list) -> None:

@@ -243,7 +243,8 @@ def test_readers_and_sinks(spark, tmp_path):
     sinks.write_table(df.select("row_id"), str(tmp_path / "t"), sinks.manifest("t", "t", "group", "unit", ["row_id"], []), "csv")
     assert json.loads((tmp_path / "t.manifest.json").read_text())["primary_key_fields"] == ["row_id"]
     sinks.write_json(str(tmp_path / "f/manifest.json"), {})
-    sinks.write_json(str(tmp_path / "f/policy.json"), sinks.DELTA_POLICY)
+    sinks.write_json(str(tmp_path / "f/policy.json"), sinks.delta_policy("stub", {"dim": 8}))
+    assert json.loads((tmp_path / "f/policy.json").read_text())["row_alignment_contract"]["invalid_row_fill"] == "all_nan_and_valid_mask_false"
     got = sinks.file_manifest(spark, str(tmp_path / "f")).collect()
     assert [r["relative_path"] for r in got] == ["policy.json"] and got[0]["size_bytes"] == (tmp_path / "f/policy.json").stat().st_size
     assert tables.newest(spark, [f"{tmp_path}/f/*.json", f"{tmp_path}/none/*.npy"]).endswith(".json")
