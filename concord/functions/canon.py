@@ -69,6 +69,11 @@ def with_defaults(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumns({n: F.lit("NA") for n in names if n not in df.columns})
 
 
+def filled(x: str | Column) -> Column:
+    """The text, or an empty one where there is none."""
+    return F.coalesce(_c(x).cast("string"), F.lit(""))
+
+
 def tail(message: str | Column, n: int = 2000) -> Column:
     return F.right(_c(message), F.lit(n))
 

@@ -59,6 +59,15 @@ def tokens(normalised: DataFrame, gene: str = "gene_symbol", bins: int = 5) -> D
     return normalised.select("cell_id", gene, F.least(F.greatest(F.floor("x"), F.lit(0)), F.lit(bins)).cast("int").alias("token"))
 
 
+def sequences(tokens_: DataFrame, positions: DataFrame, n_genes: int, gene: str = "gene_symbol", bins: int = 5) -> DataFrame:
+    """cell_id, sequence, seq_len, n_classes: a cell's tokens by gene position with zeros between, and a 0 for the class
+    token at the end; ``n_genes`` + 1 places, bins + 2 classes.  positions: pos, gene; a vocabulary, as long as a sequence."""
+    placed = tokens_.join(positions.select("pos", F.col("gene").alias(gene)), gene)
+    held = placed.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("pos").cast("int"), "token"))).alias("at"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(n_genes)), lambda i: F.coalesce(F.try_element_at("at", i), F.lit(0)))
+    return held.select("cell_id", dense.alias("sequence"), F.lit(n_genes + 1).alias("seq_len"), F.lit(bins + 2).alias("n_classes"))
+
+
 def cell_stats(counts: DataFrame) -> DataFrame:
     return counts.groupBy("cell_id").agg(F.sum("cnt").alias("row_sum"), F.count_if(F.col("cnt") != 0).alias("row_nnz"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concord.operators.external import Partial
 from concord.sources.scratch import staged
 
 
@@ -24,6 +26,14 @@ def is_oom(error: BaseException) -> bool:
     return isinstance(error, MemoryError) or "out of memory" in text or ("cuda" in text and "memory" in text) or "cublas" in text
 
 
+def accepted(call: Callable, offered: dict) -> dict:
+    """Those of the named arguments that ``call`` takes: models differ in what their versions know."""
+    known = inspect.signature(call).parameters
+    if any(p.kind is p.VAR_KEYWORD for p in known.values()):
+        return dict(offered)
+    return {k: v for k, v in offered.items() if k in known and known[k].kind is not inspect.Parameter.POSITIONAL_ONLY}
+
+
 def with_halving(model: Embedder, rows: pd.DataFrame, batch_size: int) -> np.ndarray:
     """Memory errors halve the batch down to one; any other error goes to the caller at once."""
     size = max(1, batch_size)
@@ -39,11 +49,20 @@ def with_halving(model: Embedder, rows: pd.DataFrame, batch_size: int) -> np.nda
 def bisected(model: Embedder, rows: pd.DataFrame, batch_size: int, split: bool = True) -> tuple[list, list]:
     """(vectors, errors) in row order; a segment that fails is halved until single rows fail by themselves.
 
-    Without ``split`` a failing chunk fails whole.  A short output gives its vectors to the first rows and the rest an error;
+    A ``Partial`` failure keeps what was answered before it and goes on from there.  Without ``split`` a failing chunk fails
+    whole.  A short output gives its vectors to the first rows and the rest an error;
     what is too much is left out.  Whether dimensions agree is for ``one_per_side`` to say, which sees all chunks."""
     vectors: list = [None] * len(rows)
     errors: list = [None] * len(rows)
     stack = [(0, len(rows))]
+
+    def keep(at: int, got: np.ndarray) -> None:
+        for i, v in enumerate(got):
+            if np.isfinite(v).all():
+                vectors[at + i] = v.astype(float).tolist()
+            else:
+                errors[at + i] = "not finite"
+
     while stack:
         a, b = stack.pop()
         if a == b:
@@ -53,17 +72,16 @@ def bisected(model: Embedder, rows: pd.DataFrame, batch_size: int, split: bool =
             if got.ndim != 2:
                 raise ValueError(f"shape {got.shape}, not two-dimensional")
         except Exception as error:  # noqa: BLE001
-            if split and b - a > 1:
+            if isinstance(error, Partial) and error.done:
+                keep(a, np.array(error.done, dtype=np.float32))
+                stack.append((a + len(error.done), b))
+            elif split and b - a > 1:
                 middle = (a + b) // 2
                 stack += [(middle, b), (a, middle)]
             else:
                 errors[a:b] = [str(error)[-2000:]] * (b - a)
             continue
-        for i, v in enumerate(got[: b - a]):
-            if np.isfinite(v).all():
-                vectors[a + i] = v.astype(float).tolist()
-            else:
-                errors[a + i] = "not finite"
+        keep(a, got[: b - a])
         for i in range(len(got), b - a):
             errors[a + i] = f"short output: {len(got)} vectors for {b - a} rows"
     return vectors, errors

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,6 +62,37 @@ def local_models(board: DataFrame, dataset: str = "scPerturb", cell_line: str =
     return own.join(base, ["direction", "metric_name"], "left").select("direction", "representation", "metric_name", "metric_value", "baseline_value")
 
 
+#: Pairs up to which all signs are tried.
+EXACT = 12
+
+
+def significance(long: DataFrame, unit: list[str], by: list[str], draws: int = 999, seed: int = 619, first: str = "Gene", second: str = "Pathway") -> DataFrame:
+    """p_value of each panel's mean paired difference under random signs, two-sided; panels as ``paired`` has them.
+
+    Up to ``EXACT`` pairs all signs are enumerated.  Above, ``draws`` sets of signs are hashes of (seed, unit, draw), so a
+    unit's signs are its own wherever it lies; each row brings its signed difference for all draws at once, summed in one
+    buffer per panel and task.  Sums count as equal if they are so to nine digits."""
+    value = lambda r: F.any_value(F.when(F.col("representation") == r, F.col("metric_value")), ignoreNulls=True)
+    names = [*dict.fromkeys([*unit, *by, "metric_name"])]
+    panel = [*by, "metric_name"]
+    each = long.groupBy(*names).agg(value(first).alias("a"), value(second).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").withColumn("d", F.col("a") - F.col("b"))
+    sizes = each.groupBy(*panel).agg(F.count("*").alias("n_pairs"), F.sum("d").alias("total")).where(F.col("n_pairs") >= MIN_PAIRS)
+    met = each.join(sizes, panel)
+    far = lambda x, total: F.round(F.abs(x), 9) >= F.round(F.abs(total), 9)
+    few = met.where(F.col("n_pairs") <= EXACT).groupBy(*panel).agg(F.first("n_pairs").alias("n_pairs"), F.first("total").alias("total"), F.array_sort(F.collect_list("d")).alias("ds"))
+    signed = lambda j: F.aggregate(F.transform("ds", lambda d, i: F.when(F.getbit(j, i) == 1, -d).otherwise(d)), F.lit(0.0), lambda s, x: s + x)
+    all_ = F.expr("shiftleft(1L, CAST(n_pairs AS INT))")
+    hits = F.size(F.filter(F.transform(F.sequence(F.lit(0).cast("bigint"), all_ - 1), signed), lambda x: far(x, F.col("total"))))
+    exact = few.select(*panel, "n_pairs", (hits / all_).alias("p_value"), F.lit("exact").alias("method"))
+    key = F.concat_ws("\u001f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names))
+    flips = F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda j: F.when(F.xxhash64(F.lit(seed), F.col("__key"), j) % 2 == 0, F.col("d")).otherwise(-F.col("d")))
+    many = met.where(F.col("n_pairs") > EXACT).withColumn("__key", key).withColumn("__v", array_to_vector(flips))
+    sums = many.groupBy(*panel).agg(F.first("n_pairs").alias("n_pairs"), F.first("total").alias("total"), vector_to_array(Summarizer.sum(F.col("__v"))).alias("s"))
+    hits = F.size(F.filter("s", lambda x: far(x, F.col("total"))))
+    drawn = sums.select(*panel, "n_pairs", ((1 + hits) / F.lit(1 + draws)).alias("p_value"), F.lit("drawn").alias("method"))
+    return exact.unionByName(drawn)
+
+
 def with_significance(panel: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
     """Panel rows beside test results made elsewhere; rows without one stay."""
     return panel.join(results, keys, "left")

@@ -176,6 +176,14 @@ SQL = {
     "panel_paired": """SELECT dataset, cell_line, metric_name, count(*) AS n_pairs, avg(a) AS mean_gene, avg(b) AS mean_pathway, avg(a - b) AS mean_difference FROM
         (SELECT dataset, cell_line, anchor_gene, metric_name, max(metric_value) FILTER (WHERE representation = 'Gene') AS a, max(metric_value) FILTER (WHERE representation = 'Pathway') AS b FROM t2l GROUP BY ALL)
         WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL HAVING count(*) >= 3""",
+    "panel_paired_significance": """WITH d AS (SELECT dataset, cell_line, anchor_gene, metric_name, max(metric_value) FILTER (WHERE representation = 'Gene') - max(metric_value) FILTER (WHERE representation = 'Pathway') AS d FROM t2l GROUP BY ALL),
+        n AS (SELECT dataset, cell_line, metric_name, count(*) AS n_pairs, avg(d) AS mean_difference, sum(d) AS total, list(d ORDER BY d) AS ds FROM d WHERE d IS NOT NULL GROUP BY ALL HAVING count(*) >= 3)
+        SELECT dataset, cell_line, metric_name, n_pairs, mean_difference, len(list_filter(range(0, 1 << n_pairs), lambda j: round(abs(list_sum(list_transform(ds, lambda x, i: CASE WHEN (j >> (i - 1)) & 1 = 1 THEN -x ELSE x END))), 9) >= round(abs(total), 9))) / (1 << n_pairs) AS p_value,
+        'exact' AS method FROM n""",
+    "token_sequences": """WITH g AS (SELECT gene_symbol, row_number() OVER (ORDER BY gene_symbol) AS place, count(*) OVER () AS n FROM ensg),
+        t AS (SELECT cell_id, gene_symbol, CAST(least(greatest(floor(x), 0), 5) AS BIGINT) AS token FROM normed)
+        SELECT cell_id, CAST(any_value(n) + 1 AS INTEGER) AS seq_len, 7 AS n_classes, 0 AS class_token, CAST(sum(token * place) AS BIGINT) AS checksum FROM t JOIN g USING (gene_symbol) GROUP BY cell_id""",
+    "filled_symbols": "SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN coalesce(p_brand, '') ELSE '' END AS gene_symbol FROM part",
     "panel_degradation": """SELECT perturbation_type, representation, metric_name, count(*) AS n_units, avg(a.metric_value) AS mean_internal, avg(b.metric_value) AS mean_cross,
         avg(b.metric_value - a.metric_value) AS mean_change FROM (SELECT * FROM t1i WHERE dataset_or_direction = 'LINCS' AND metric_value IS NOT NULL) a
         JOIN (SELECT * FROM t1c WHERE metric_value IS NOT NULL) b USING (cell_line, perturbation_type, perturbation_gene, representation, metric_name) GROUP BY ALL""",
@@ -238,7 +246,7 @@ DOUBLES = {
     "t1_retrieval_summary": "gallery_size_mean", "t1_leaderboard": "metric_value", "t2_retrieval_summary": "gallery_size_mean n_positive_keys_mean metric_value",
     "t2_retrieval_leaderboard": "mean_mrr_corrected mean_hit1_corrected mean_hit3_corrected mean_hit5_corrected", "t2_benchmark_summary": "metric_value", "axis_inputs": "metric_value",
     "scorecard": "task1_axis_value_raw task2_axis_value_raw overall_axis_value_raw", "panel_scoreboard": "mean_value", "panel_paired": "mean_gene mean_pathway mean_difference",
-    "panel_degradation": "mean_internal mean_cross mean_change", "panel_enrichment": "pair_mean_enrichment", "panel_fm_local": "metric_value baseline_value", "control_mean": "mean",
+    "panel_degradation": "mean_internal mean_cross mean_change", "panel_enrichment": "pair_mean_enrichment", "panel_paired_significance": "mean_difference p_value", "panel_fm_local": "metric_value baseline_value", "control_mean": "mean",
     "fm_delta": "delta_sum delta_norm", "aligned_embeddings": "total", "npy_round_trip": "total", "reindexed_embeddings": "total", "first_of_duplicates": "total",
     "panel_enrichment_cell_line": "pair_mean_enrichment", "panel_enrichment_gene": "pair_mean_enrichment",
 }

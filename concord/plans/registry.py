@@ -12,7 +12,7 @@ from concord.operators.group import rounded
 from concord.plans import oracle
 from concord.sources import fixtures as fx
 from concord.sources import npy, scratch, stages
-from concord.sources.tables import symbol_map, table
+from concord.sources.tables import positions, symbol_map, table
 
 FOUND: dict = {}
 
@@ -323,6 +323,14 @@ def panel_degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.degradation(group.long(group.task1_internal(rep)), group.long(group.task1_cross(rep)))
 
 
+@query
+def panel_paired_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paired panel beside the p values of its differences."""
+    long, unit, by = t2_group_long(spark, sf_dir), list(cohort.UNIT2), ["dataset", "cell_line"]
+    tests = panels.significance(long, unit, by).drop("n_pairs")
+    return panels.with_significance(panels.paired(long, unit, by), tests, [*by, "metric_name"]).select(*by, "metric_name", "n_pairs", "mean_difference", "p_value", "method")
+
+
 @query
 def panel_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.enrichment(t2_group_long(spark, sf_dir), "anchor_gene", ["representation", "metric_name"])
@@ -482,6 +490,22 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.tokens(libsize_log2(spark, sf_dir))
 
 
+@query
+def token_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences with their class token, as checksums over places."""
+    genes = fx.gene_map(spark, sf_dir).where("ensembl_id LIKE 'ENSG%'").select(F.col("symbol").alias("at"), F.col("symbol").alias("gene"))
+    where = positions(genes)
+    got = counts.sequences(tokens(spark, sf_dir), where, where.count())
+    places = F.aggregate(F.transform("sequence", lambda t, i: (t * (i + 1)).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return got.select("cell_id", "seq_len", "n_classes", F.get("sequence", F.col("seq_len") - 1).alias("class_token"), places.alias("checksum"))
+
+
+@query
+def filled_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part", ["p_partkey", "p_brand"])
+    return part.select("p_partkey", canon.filled(F.when(F.col("p_partkey") % 3 != 0, F.col("p_brand"))).alias("gene_symbol"))
+
+
 @query
 def token_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = counts.cell_stats(_mapped_counts(spark, sf_dir))

@@ -1,5 +1,6 @@
 """What must hold on hot slices, hot units and wide vectors: blocked retrieval, ranks by pieces, closed forms."""
 
+import itertools
 import math
 import random
 import time
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from concord.functions import chance
 from concord.functions import vectors as V
-from concord.operators import blocked, cohort, retrieval
+from concord.operators import blocked, cohort, panels, retrieval
 
 
 @pytest.mark.parametrize("kind", ["cosine", "euclidean"])
@@ -97,3 +98,27 @@ def test_chance_of_large_galleries(spark):
         assert r["e_mrr"] == pytest.approx(chance.expected_mrr(g, k), rel=1e-12)
         for h in chance.HITS:
             assert r[f"e_hit{h}"] == pytest.approx(chance.expected_hit(g, k, h), rel=1e-12, abs=1e-15)
+
+
+@pytest.mark.parametrize("n", [3, 5, 12])
+def test_sign_flips_by_enumeration(spark, n):
+    rng = random.Random(n)
+    diffs = [round(rng.uniform(-1, 2), 2) for _ in range(n)]
+    rows = [(f"u{i}", r, "m", (d if r == "Gene" else 0.0)) for i, d in enumerate(diffs) for r in ("Gene", "Pathway")] + [("alone", "Gene", "m", 9.0)]
+    df = spark.createDataFrame(rows, "unit string, representation string, metric_name string, metric_value double")
+    got = panels.significance(df, ["unit"], []).first()
+    sums = [abs(round(sum(s * d for s, d in zip(signs, diffs, strict=True)), 9)) for signs in itertools.product((1, -1), repeat=n)]
+    assert got["n_pairs"] == n and got["method"] == "exact" and got["p_value"] == sum(s >= abs(round(sum(diffs), 9)) for s in sums) / 2**n
+
+
+def test_drawn_signs_do_not_hang_on_partitions(spark):
+    rng = random.Random(9)
+    rows = [(f"p{i % 2}", f"u{i}", r, "m", (rng.gauss(0.15 * (i % 2), 1) if r == "Gene" else 0.0)) for i in range(400) for r in ("Gene", "Pathway")]
+    df = spark.createDataFrame(rows, "panel string, unit string, representation string, metric_name string, metric_value double")
+    found = [{r["panel"]: (r["n_pairs"], r["method"], r["p_value"]) for r in panels.significance(df.repartition(k), ["unit"], ["panel"]).collect()} for k in (1, 7)]
+    assert found[0] == found[1] and {v[:2] for v in found[0].values()} == {(200, "drawn")}
+    for p in ("p0", "p1"):  # close to what a normal approximation gives
+        d = np.array([v for q, _, r, _, v in rows if q == p and r == "Gene"])
+        z = abs(d.sum()) / math.sqrt((d * d).sum())
+        assert found[0][p][2] == pytest.approx(math.erfc(z / math.sqrt(2)), abs=0.05)
+    assert panels.significance(df, ["unit"], ["panel"], draws=99, seed=1).count() == 2
