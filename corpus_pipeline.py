@@ -2,7 +2,8 @@
 
 Quality rules drop rejected documents, near-dedup keeps one document of each group, decontamination drops documents that
 hold a benchmark item, the secret scan masks secrets in the text (``n_chars`` follows the text), and best-fit packing
-gives every word of what is left its place in a bin.
+gives every word of what is left its place in a bin.  Texts go to Python in batches of 1,000 rows at most, which holds
+for the session from then on.
 """
 
 from __future__ import annotations
@@ -11,14 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm import decontam, neardup, packing, quality, secrets
-from concord.llm.common import written
+from concord.llm.common import short_batches, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return neardup.one_of_each(docs)
 
 
@@ -27,6 +30,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return secrets.redact_secrets(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
