@@ -234,6 +234,15 @@ SQL = {
     "aligned_embeddings": "SELECT dataset_side, cell_id, list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE))) AS total, CASE dataset_side WHEN 'CRISPR' THEN 'barcode' ELSE 'position' END AS way FROM cell",
     "npy_round_trip": """SELECT row_id, invalid_reason = '' AS valid, CASE WHEN invalid_reason = '' THEN t END AS total FROM delta
         LEFT JOIN (SELECT dataset_side, treated_cell_id, sum(CAST(CAST(v - mean AS FLOAT) AS DOUBLE)) AS t FROM treated_dim JOIN control_dim USING (dataset_side, treated_cell_id, dim) GROUP BY ALL) USING (dataset_side, treated_cell_id)""",
+    "csv_round_trip": "SELECT row_id, 'say \"' || treated_cell_id || '\", then' AS treated_cell_id, dataset_side, n_controls_used FROM spine",
+    "gene_list_tsv": "SELECT row_number() OVER (ORDER BY lower(p_brand)) - 1 AS pos, upper(p_brand) AS gene FROM (SELECT DISTINCT p_brand FROM part)",
+    "cell_matrix": "SELECT CAST(vec_id AS VARCHAR) AS cell_id, CASE WHEN vec_id % 2 = 0 THEN 'CRISPR' ELSE 'DRUG' END AS dataset_side, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS total FROM embeddings",
+    "error_messages": """WITH m AS (SELECT doc_id, right(coalesce(text, '') || [' CUDA error: no Memory', ' Out Of Memory', ' cuBLAS failed', ' memory', ' CUDA'][1 + doc_id % 5], 2000) AS t FROM documents),
+        e AS (SELECT *, lower(right(t, 30)) AS e FROM m)
+        SELECT doc_id, CAST(len(t) AS INTEGER) AS n_chars, md5(t) AS digest, contains(e, 'out of memory') OR (contains(e, 'cuda') AND contains(e, 'memory')) OR contains(e, 'cublas') AS memory, 'NA' AS cell_type FROM e""",
+    "leakage": """SELECT representation, CAST(sum(n) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_leaks
+        FROM (SELECT count(*) AS n FROM inst GROUP BY dataset, cell_line, perturbation_type, perturbation_gene HAVING count(*) >= 2) CROSS JOIN (SELECT unnest(['Gene', 'Pathway']) AS representation) GROUP BY ALL""",
+    "stage_tables": """SELECT stage || '_table' AS table_name, keys, 0 AS n_metrics, '1' AS schema_version FROM (VALUES ('S1', 'row_id'), ('S3', 'dataset_side,treated_cell_id'), ('S4', 'dataset,cell_line,anchor_gene')) v(stage, keys)""",
     "chunk_assign": """SELECT dataset_side, cell_id, (row_number() OVER (PARTITION BY dataset_side ORDER BY cell_id) - 1) // 64 AS chunk FROM (SELECT dataset_side, CAST(cell_id AS BIGINT) AS cell_id FROM cell)""",
 }
 
@@ -247,7 +256,7 @@ DOUBLES = {
     "t2_retrieval_leaderboard": "mean_mrr_corrected mean_hit1_corrected mean_hit3_corrected mean_hit5_corrected", "t2_benchmark_summary": "metric_value", "axis_inputs": "metric_value",
     "scorecard": "task1_axis_value_raw task2_axis_value_raw overall_axis_value_raw", "panel_scoreboard": "mean_value", "panel_paired": "mean_gene mean_pathway mean_difference",
     "panel_degradation": "mean_internal mean_cross mean_change", "panel_enrichment": "pair_mean_enrichment", "panel_paired_significance": "mean_difference p_value", "panel_fm_local": "metric_value baseline_value", "control_mean": "mean",
-    "fm_delta": "delta_sum delta_norm", "aligned_embeddings": "total", "npy_round_trip": "total", "reindexed_embeddings": "total", "first_of_duplicates": "total",
+    "fm_delta": "delta_sum delta_norm", "aligned_embeddings": "total", "cell_matrix": "total", "npy_round_trip": "total", "reindexed_embeddings": "total", "first_of_duplicates": "total",
     "panel_enrichment_cell_line": "pair_mean_enrichment", "panel_enrichment_gene": "pair_mean_enrichment",
 }
 

@@ -11,7 +11,7 @@ from concord.operators import audit, cohort, counts, embed, fmdelta, group, pane
 from concord.operators.group import rounded
 from concord.plans import oracle
 from concord.sources import fixtures as fx
-from concord.sources import npy, scratch, stages
+from concord.sources import npy, scratch, sinks, stages, tables
 from concord.sources.tables import positions, symbol_map, table
 
 FOUND: dict = {}
@@ -528,6 +528,71 @@ def chunk_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.chunks(cells, "cell_id", 64)
 
 
+# -- files ----------------------------------------------------------------------------------------------------------------
+
+
+@query
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delta metadata as a CSV whose ids need quotes, read back with a declared schema."""
+    path = scratch.fresh(spark, "meta")
+    quoted = F.concat(F.lit('say "'), "treated_cell_id", F.lit('", then'))
+    sinks.write_csv(fx.delta_meta(spark, sf_dir).withColumn("treated_cell_id", quoted), path)
+    back = tables.csv(spark, path, tables.DELTA_META)
+    return back.select(canon.strict_bigint("row_id").alias("row_id"), "treated_cell_id", "dataset_side", canon.strict_bigint("n_controls_used").alias("n_controls_used"))
+
+
+@query
+def gene_list_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gene names of a TSV in upper case, by their place in the file."""
+    path = scratch.fresh(spark, "genes")
+    names = table(spark, sf_dir, "part", ["p_brand"]).distinct().select(F.lower("p_brand").alias("gene_name"), F.length("p_brand").alias("other"))
+    names.coalesce(1).sortWithinPartitions("gene_name").select("other", "gene_name").write.option("header", True).option("sep", "\t").csv(path)
+    return tables.gene_list(spark, path, upper=True)
+
+
+@query
+def cell_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell vectors kept as a matrix in numpy's form, the newest of two, beside their metadata by row number."""
+    folder = scratch.fresh(spark, "cells")
+    every = fx.instances(spark, sf_dir).select(F.col("instance_id").alias("pos"), "vec")
+    npy.write_matrix(every.withColumn("vec", F.transform("vec", lambda v: -v)), f"{folder}/s_cell_embedding_a.npy", "pos", "vec")
+    npy.write_matrix(every, f"{folder}/s_cell_embedding_b.npy", "pos", "vec")
+    path = tables.newest(spark, [f"{folder}/s*cell_embedding*.npy", f"{folder}/s*.npy"])
+    meta = fx.cells(spark, sf_dir).select(F.col("cell_id").alias(canon.id_column(["cell_id", "x"], "CRISPR")), "dataset_side", F.col("cell_id").cast("bigint").alias("pos"))
+    got = npy.read_cells(spark, path, meta)
+    return got.select("cell_id", "dataset_side", F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total"))
+
+
+@query
+def error_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long messages cut to their ends, and which of them speak of memory."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    kinds = F.array(F.lit(" CUDA error: no Memory"), F.lit(" Out Of Memory"), F.lit(" cuBLAS failed"), F.lit(" memory"), F.lit(" CUDA"))
+    message = F.concat(canon.filled("text"), F.get(kinds, (F.col("doc_id") % 5).cast("int")))
+    kept = canon.with_defaults(docs, ["cell_type"]).withColumn("tail", canon.tail(message))
+    return kept.select("doc_id", F.length("tail").alias("n_chars"), F.md5("tail").alias("digest"), canon.out_of_memory(F.right("tail", F.lit(30))).alias("memory"), "cell_type")
+
+
+@query
+def leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members whose left-one-out centroid still holds them, per representation."""
+    rep = _rep(spark, sf_dir)
+    loo = retrieval.loo_centroids(rep)
+    means = V.moments(rep, [*cohort.UNIT1, "representation"]).select(*cohort.UNIT1, "representation", F.col("mean").alias("unit_mean"))
+    met = loo.join(means, [*cohort.UNIT1, "representation"])
+    bad = audit.not_in_own_centroid(met).select("representation", F.lit(1).alias("bad"))
+    each = met.select("representation", F.lit(0).alias("bad")).unionByName(bad).groupBy("representation")
+    return each.agg(F.count_if(F.col("bad") == 0).alias("n_rows"), F.sum("bad").alias("n_leaks"))
+
+
+@query
+def stage_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifests of the tables that stages wrote."""
+    kind = "table_name string, primary_key_fields array<string>, metric_columns array<string>, schema_version string"
+    got = spark.read.option("multiLine", True).schema(kind).json(f"{_stages(spark, sf_dir)}/*/*/*.manifest.json")
+    return got.select("table_name", F.array_join("primary_key_fields", ",").alias("keys"), F.size("metric_columns").alias("n_metrics"), "schema_version")
+
+
 # -- embedders ------------------------------------------------------------------------------------------------------------
 
 

@@ -26,8 +26,8 @@ def write_json(path: str, value: dict | list) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """One file with a header, quoted only where needed; for tables of summaries."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """One file with a header, quoted only where needed, quotes doubled, nothing for empty texts; for tables of summaries."""
+    df.coalesce(1).write.mode("overwrite").options(header=True, escape='"', emptyValue="").csv(path)
 
 
 def write_table(df: DataFrame, path: str, manifest: dict, fmt: str = "parquet") -> None:
