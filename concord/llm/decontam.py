@@ -159,5 +159,6 @@ def occurrences(met: DataFrame, slack: int) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """``docs`` without the rows that hold an item; columns and values as they were."""
     bad = contaminated(docs, benchmark, text, doc_id, **how).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).distinct()
-    on = (F.xxhash64(text_or_empty(docs[text])) == F.col("__h")) & docs[doc_id].eqNullSafe(F.col("__id"))
-    return docs.join(small(written(bad, "bad")), on, "left_anti")
+    bad = small(written(bad, "bad"))
+    on = (F.xxhash64(text_or_empty(docs[text])) == bad["__h"]) & docs[doc_id].eqNullSafe(bad["__id"])
+    return docs.join(bad, on, "left_anti")

@@ -362,25 +362,29 @@ def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width
     shingles, over whole texts, is at least ``similarity``.  Candidates are the links of ``links`` between fingerprints of
     distinct shingles (within ``radius`` bits), and texts that share one of 32 MinHash bands of five rows, as a similarity
     of 0.8 does not put fingerprints within so few bits.  Equal texts are always linked.  Null ids come last; of rows that repeat id and text one stays.
+    Texts are known by a 64-bit hash; where rows of one hash differ in length or CRC-32 all of them stay, so no text goes
+    for one that it is not.  A row may hold all shingles of its text, however long; columns of the input may have any names.
     """
-    base = df.withColumn("__h", F.xxhash64(text_or_empty(text))).withColumn("__id", F.col(doc_id))
-    rows = written(base.select("__id", "__h", signatures(text, width).alias("sig")), "prints")
-    texts = rows.groupBy("__h").agg(F.min("__id").alias("first"), F.count("*").alias("copies"), F.count_if(F.col("__id").isNull()).alias("nulls"), F.any_value("sig").alias("sig"))
+    body = text_or_empty(text)
+    base = df.select(F.struct("*").alias("row"), F.xxhash64(body).alias("__h"), F.col(doc_id).alias("__id"), body.alias("t"), signatures(text, width).alias("sig"))
+    other = F.crc32(F.encode("t", "utf-8")).bitwiseXOR(F.shiftleft(F.length("t").cast("bigint"), 32))
+    rows = written(base.select("__id", "__h", other.alias("__h2"), "sig"), "prints")
+    texts = rows.groupBy("__h").agg(F.min("__id").alias("first"), F.count("*").alias("copies"), F.count_if(F.col("__id").isNull()).alias("nulls"), F.any_value("sig").alias("sig"), (F.min("__h2") != F.max("__h2")).alias("mixed"))
     texts = written(texts, "texts")
-    groups = text_groups(base.select(F.col("__h").alias("h"), text_or_empty(text).alias("t")), texts.select(F.col("__h").alias("h"), F.get("sig", F.lit(0)).alias("w0"), F.slice("sig", 2, BANDS).alias("bands")), width, radius, similarity)
+    groups = text_groups(base.select(F.col("__h").alias("h"), "t"), texts.select(F.col("__h").alias("h"), F.get("sig", F.lit(0)).alias("w0"), F.slice("sig", 2, BANDS).alias("bands")), width, radius, similarity)
     known = texts.join(groups, texts["__h"] == groups["h"])
     order = F.struct(F.col("first").isNull(), "first", "__h")
     lead = known.groupBy("root").agg(F.min(order).alias("lead"))
-    kept = written(known.join(lead, "root").where(F.col("__h") == F.col("lead.__h")).select("__h", "first", "copies"), "kept")
-    gone = written(texts.join(kept, "__h", "left_anti").select("__h"), "gone")
+    kept = written(known.join(lead, "root").where(F.col("__h") == F.col("lead.__h")).select("__h", "first", "copies", "mixed"), "kept")
+    gone = written(texts.where("NOT mixed").join(kept, "__h", "left_anti").select("__h"), "gone")
     # of a kept text with several rows only those with the smallest id stay
-    many = written(kept.where("copies > 1").select("__h", F.col("first").alias("__first"), F.lit(True).alias("__many")), "many")
-    left = base.join(small(gone), "__h", "left_anti").join(small(many), "__h", "left")
+    many = written(kept.where("copies > 1 AND NOT mixed").select("__h", F.col("first").alias("__first"), F.lit(True).alias("__many")), "many")
+    left = base.select("row", "__h", "__id").join(small(gone), "__h", "left_anti").join(small(many), "__h", "left")
     left = left.where(F.col("__many").isNull() | F.col("__id").eqNullSafe(F.col("__first")))
     again = rows.join(small(many), "__h").where(F.col("__id").eqNullSafe(F.col("__first"))).groupBy("__h").count().where("count > 1")
     again = written(again.select("__h", F.lit(True).alias("__again")), "again")
     if not again.limit(1).count():
-        return left.select(*df.columns)
+        return left.select("row.*")
     flagged = left.join(small(again), "__h", "left")
-    once = flagged.where(F.col("__again")).groupBy("__h").agg(F.any_value(F.struct(*df.columns)).alias("__row")).select("__row.*")
-    return flagged.where(F.col("__again").isNull()).select(*df.columns).unionByName(once)
+    once = flagged.where(F.col("__again")).groupBy("__h").agg(F.any_value("row").alias("row"))
+    return flagged.where(F.col("__again").isNull()).select("row").unionByName(once.select("row")).select("row.*")

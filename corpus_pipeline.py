@@ -4,6 +4,10 @@ Quality rules drop rejected documents, near-dedup keeps one document of each gro
 hold a benchmark item, the secret scan masks secrets in the text (``n_chars`` follows the text), and best-fit packing
 gives every word of what is left its place in a bin.  Texts go to Python in batches of 1,000 rows at most, which holds
 for the session from then on.
+
+Edge cases: a null text counts as empty and goes in the first stage; null ids and sources are values like any other; rows
+that repeat become one; whole texts of any length are read; all stages but the last return the columns they are given,
+whatever their names; an empty table gives empty tables throughout.
 """
 
 from __future__ import annotations
@@ -46,7 +50,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL has no XXH64-based fingerprints and no bin search; tests hold the pipeline against a brute-force version.
+#: SQL has no XXH64-based fingerprints and no bin search; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
