@@ -10,6 +10,10 @@ A name keeps a summary of its value (length, kinds and counts of characters) and
 chain of names costs time in proportion to the text; an operand that an expression holds twice counts once.  Inside an
 unquoted value further names are read too (``env: DB_PWD=...``), each with what stands up to the next ``=``, ``&`` or ``:``.
 
+Brackets after a name open a scope: the keys on the way are the target's path, so the quoted items of ``"api_keys": [...]``
+and the values of ``{"secret": {"value": ...}}`` reach a telling name; so do the items of a list below ``name:`` and a
+value on the next line, if they are one word with a digit in it or stand in quotes.
+
 Edge cases: a null text is the empty text and has no findings (an empty array, never null); the whole text is read
 whatever its length; repeated rows each get their own findings; an input column ``findings`` is replaced; every other
 column, null or not, passes through untouched; an empty table gives an empty table.
@@ -48,6 +52,15 @@ _QUOTED = r"""\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|\$\{
 _OPERAND = re.compile(_QUOTED + r"""([^\s"'`,;(){}\[\]<>+]+(?:\+[^\s"'`,;(){}\[\]<>+]+)*)""", re.A)
 #: Within an unquoted value that was read already.
 _INNER = re.compile(_QUOTED + r"""([^\s"'`,;(){}\[\]<>+=&:]+)""", re.A)
+#: A name before a bracket, and what stands within brackets: strings, brackets, other words, signs of keys, ends of values.
+_OPEN = re.compile(r"""(?<![\w.-])([A-Za-z_][\w.-]*+)["']?[ \t]*+(?::=|=>|[=:](?![=:/]))\s*+[\[{]""", re.A)
+_INSIDE = re.compile(r'''"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|([^\s"'`,;(){}\[\]<>=:]++)|([\[{])|([\]}])|([:=])|([,;])''', re.A)
+#: A name whose value, or list of values, begins on the next line; an item of such a list.
+_BELOW = re.compile(r"""(?<![\w.-])([A-Za-z_][\w.-]*+)["']?[ \t]*+[=:][ \t]*+[|>\\]?-?[ \t]*+\r?\n((?:[ \t]*+-[ \t][^\n]*+(?:\n|\Z))++|[ \t]++[^\s-][^\n]*+)""", re.A)
+_ITEM = re.compile(r"""^[ \t]*(?:-[ \t]+)?(?:"([^"\n]*)"|'([^'\n]*)'|((?=[^\s]*[0-9])[^\s"'#,;:(){}\[\]<>]+)),?[ \t\r]*$""", re.M)
+_PLURAL = re.compile(r"(?i)(key|token|secret|password|passphrase)s(?![a-z])")
+#: How telling a path must be for what it holds to count.
+TELLING = 0.8
 _PLUS = re.compile(r"[ \t]*\+[ \t]*(?=[\"'`$\w])")
 _PLAIN = re.compile(r"[A-Za-z]?[a-z]*[.,;:!?]*|[0-9]+[.,;:!?]*", re.A)
 _KINDS = tuple(map(re.compile, ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]")))
@@ -150,6 +163,46 @@ def lexed(text: str, threshold: float = 0.45) -> list[tuple[int, int, str, float
     return found
 
 
+def scoped(text: str, threshold: float = 0.45) -> list[tuple[int, int, str, float]]:
+    """(start, end, path, score) of strings in brackets or on the lines below a telling name; each part of the text is walked once."""
+    found: list[tuple[int, int, str, float]] = []
+
+    def value(path: str, a: int, b: int) -> None:
+        s = sensitivity(_PLURAL.sub(r"\1", path))
+        if s >= TELLING and (score := s * strength(text[a:b])) >= threshold:
+            found.append((a, b, path, round(score, 6)))
+
+    at = 0
+    while m := _OPEN.search(text, at):
+        at = m.end()
+        if not sensitivity(_PLURAL.sub(r"\1", m[1])):
+            continue
+        path, key, last = [m[1]], "", None
+        for t in _INSIDE.finditer(text, at):
+            kind = t.lastindex
+            if kind == 7:  # what stood before was a key
+                key, last = text[slice(*last[:2])] if last else "", None
+                continue
+            if last and last[2]:
+                value(".".join(filter(None, (*path, key))), *last[:2])
+            last = (*t.span(kind), kind < 4) if kind < 5 else None
+            if kind == 5:
+                path.append(key)
+            elif kind == 6:
+                path.pop()
+            key = key if kind < 5 else ""
+            if not path:
+                at = t.end()
+                break
+        else:
+            break
+    for m in _BELOW.finditer(text):
+        if sensitivity(_PLURAL.sub(r"\1", m[1])) >= TELLING:
+            for item in _ITEM.finditer(text, m.start(2), m.end(2)):
+                value(m[1], *item.span(item.lastindex))
+    return found
+
+
 def findings(text: str, threshold: float = 0.45) -> list[tuple]:
     """All findings of a text by start, then kind: (kind, start, end, name, score).  Base ones always stay, lexed ones
     are those that are not wholly inside a base one."""
@@ -161,7 +214,11 @@ def findings(text: str, threshold: float = 0.45) -> list[tuple]:
         starts.append(a)
         ends.append(max(b, ends[-1]) if ends else b)
     inside = lambda a, b: (i := bisect_right(starts, a)) > 0 and ends[i - 1] >= b
-    more = [("lexed", a, b, n, s) for a, b, n, s in lexed(text, threshold) if not inside(a, b)] if "=" in text or ":" in text else []
+    more = []
+    if "=" in text or ":" in text:
+        named = lexed(text, threshold)
+        held = {x[:2] for x in named}
+        more = [("lexed", a, b, n, s) for a, b, n, s in named + [x for x in scoped(text, threshold) if x[:2] not in held] if not inside(a, b)]
     return sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
