@@ -59,6 +59,8 @@ _INSIDE = re.compile(r'''"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*
 _BELOW = re.compile(r"""(?<![\w.-])([A-Za-z_][\w.-]*+)["']?[ \t]*+[=:][ \t]*+[|>\\]?-?[ \t]*+\r?\n((?:[ \t]*+-[ \t][^\n]*+(?:\n|\Z))++|[ \t]++[^\s-][^\n]*+)""", re.A)
 _ITEM = re.compile(r"""^[ \t]*(?:-[ \t]+)?(?:"([^"\n]*)"|'([^'\n]*)'|((?=[^\s]*[0-9])[^\s"'#,;:(){}\[\]<>]+)),?[ \t\r]*$""", re.M)
 _PLURAL = re.compile(r"(?i)(key|token|secret|password|passphrase)s(?![a-z])")
+#: Words that join others into a sentence.
+JOINING = frozenset("a an and are as at be by can do for from have if in into is it must no not of on or should that the this to use was when with you your".split())
 #: How telling a path must be for what it holds to count.
 TELLING = 0.8
 _PLUS = re.compile(r"[ \t]*\+[ \t]*(?=[\"'`$\w])")
@@ -76,13 +78,14 @@ def sensitivity(name: str) -> float:
 class Value:
     """What an expression is made of: counts of characters by code point modulo 128, kinds of characters, its literals.
 
-    ``literals`` holds spans and other values; ``told`` marks those whose literals were reported already."""
+    ``literals`` holds spans and other values; ``told`` marks those whose literals were reported already; ``weak`` is 0 for
+    what may be a credential, 1 for what may be a passphrase, 2 for what is neither."""
 
     __slots__ = ("counts", "kinds", "literals", "told", "weak")
 
     def __init__(self):
         self.counts: Counter = Counter()
-        self.kinds, self.weak, self.told = 0, True, False
+        self.kinds, self.weak, self.told = 0, 2, False
         self.literals: list = []
 
     def add(self, text: str, span: tuple[int, int]) -> None:
@@ -90,23 +93,26 @@ class Value:
         self.counts.update(ord(c) & 127 for c in literal)
         self.kinds |= sum(bool(p.search(literal)) << i for i, p in enumerate(_KINDS))
         words = literal.split()
-        # a sentence, and what stands for a value, tell nothing
+        # a sentence, and what stands for a value, tell nothing; words with a number but none that joins them may be a passphrase
         prose = len(words) > 1 and 2 * sum(bool(_PLAIN.fullmatch(w)) for w in words) >= len(words)
-        self.weak &= prose or bool(_PLACEHOLDER.match(literal))
+        phrase = prose and len(words) > 3 and any(c in "0123456789" for c in literal) and JOINING.isdisjoint(w.lower().strip(".,;:!?") for w in words)
+        self.weak = min(self.weak, 2 if (prose and not phrase) or _PLACEHOLDER.match(literal) else int(phrase))
         self.literals.append(span)
 
     def take(self, other: Value) -> None:
         self.counts.update(other.counts)
         self.kinds |= other.kinds
-        self.weak &= other.weak
+        self.weak = min(self.weak, other.weak)
         self.literals.append(other)
         if (n := self.counts.total()) > 1 << 20:  # far above what any strength asks for: only the shares matter now
             self.counts = Counter({c: max(1, (k << 16) // n) for c, k in self.counts.items()})
 
-    def strength(self) -> float:
-        """0 to 1: how much the value looks like a credential; grows with its entropy in bits."""
+    def strength(self, full: bool = False) -> float:
+        """0 to 1: how much the value looks like a credential; grows with its entropy in bits.
+
+        Passphrases count only under a name of full weight (``full``)."""
         n = self.counts.total()
-        if n < 6 or self.weak:
+        if n < 6 or self.weak > full:
             return 0.0
         bits = -sum(c * math.log2(c / n) for c in self.counts.values())
         return min(1.0, bits / 40 + 0.15 * (self.kinds.bit_count() - 1))
@@ -124,11 +130,11 @@ class Value:
         return out
 
 
-def strength(value: str) -> float:
+def strength(value: str, full: bool = False) -> float:
     """Strength of a single literal."""
     v = Value()
     v.add(value, (0, len(value)))
-    return v.strength()
+    return v.strength(full)
 
 
 def lexed(text: str, threshold: float = 0.45) -> list[tuple[int, int, str, float]]:
@@ -158,36 +164,39 @@ def lexed(text: str, threshold: float = 0.45) -> list[tuple[int, int, str, float
         if not value.literals:
             continue
         known[name] = value
-        if (s := sensitivity(name)) and (score := s * value.strength()) >= threshold:
+        if (s := sensitivity(name)) and (score := s * value.strength(s == 1)) >= threshold:
             found += [(a, b, name, round(score, 6)) for a, b in value.report() if b > a]
     return found
 
 
 def scoped(text: str, threshold: float = 0.45) -> list[tuple[int, int, str, float]]:
-    """(start, end, path, score) of strings in brackets or on the lines below a telling name; each part of the text is walked once."""
+    """(start, end, name, score) of strings in brackets or on the lines below a telling name; each part of the text is walked once.
+
+    Of a path only its telling words are kept, so depth costs nothing; its first and last keys are the name."""
     found: list[tuple[int, int, str, float]] = []
+    told = lambda name: {w.lower() for w in _NAME_WORDS.findall(_PLURAL.sub(r"\1", name))} & WEIGHTS.keys()
 
-    def value(path: str, a: int, b: int) -> None:
-        s = sensitivity(_PLURAL.sub(r"\1", path))
-        if s >= TELLING and (score := s * strength(text[a:b])) >= threshold:
-            found.append((a, b, path, round(score, 6)))
+    def value(words: set[str], name: str, a: int, b: int) -> None:
+        s = min(1.0, math.fsum(WEIGHTS[w] for w in words))
+        if s >= TELLING and (score := s * strength(text[a:b], s == 1)) >= threshold:
+            found.append((a, b, name, round(score, 6)))
 
     at = 0
     while m := _OPEN.search(text, at):
         at = m.end()
-        if not sensitivity(_PLURAL.sub(r"\1", m[1])):
+        if not (words := told(m[1])):
             continue
-        path, key, last = [m[1]], "", None
+        path, key, last = [words], "", None
         for t in _INSIDE.finditer(text, at):
             kind = t.lastindex
             if kind == 7:  # what stood before was a key
                 key, last = text[slice(*last[:2])] if last else "", None
                 continue
             if last and last[2]:
-                value(".".join(filter(None, (*path, key))), *last[:2])
+                value(path[-1] | told(key), f"{m[1]}.{key}" if key else m[1], *last[:2])
             last = (*t.span(kind), kind < 4) if kind < 5 else None
             if kind == 5:
-                path.append(key)
+                path.append(path[-1] | told(key))
             elif kind == 6:
                 path.pop()
             key = key if kind < 5 else ""
@@ -197,9 +206,9 @@ def scoped(text: str, threshold: float = 0.45) -> list[tuple[int, int, str, floa
         else:
             break
     for m in _BELOW.finditer(text):
-        if sensitivity(_PLURAL.sub(r"\1", m[1])) >= TELLING:
+        if words := told(m[1]):
             for item in _ITEM.finditer(text, m.start(2), m.end(2)):
-                value(m[1], *item.span(item.lastindex))
+                value(words, m[1], *item.span(item.lastindex))
     return found
 
 

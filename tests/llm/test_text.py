@@ -59,12 +59,35 @@ def test_base_spans(text):
         ('db_password: "Zx8 qPw!!LongTail$$Key77"', ["Zx8 qPw!!LongTail$$Key77"]),
         ('pass_help: "Please enter 8 characters, or more!"', []),
         ("env: DB_PWD=Xyz123!longsecret", ["Xyz123!longsecret"]),
+        ('pwd="correct horse battery staple 7!"', ["correct horse battery staple 7!"]),
+        ('pwd="Use at least 8 letters, please"', []),
+        ('client_key = "correct horse battery staple 7!"', []),
+        ('{"api_key": ["Zx81kQm47TtpR", "Qw81kVb93LlsX"], "colour": ["Zx81kQm47TtpR"]}', ["Zx81kQm47TtpR", "Qw81kVb93LlsX"]),
+        ('{"secret": {"value": "Zx81kQm47TtpR"}, "value": "Qw81kVb93LlsX"}', ["Zx81kQm47TtpR"]),
+        ('{"app": {"tokens": [{"id": 7, "text": "Zx81kQm47TtpR"}], "note": "Qw81kVb93LlsX"}}', ["Zx81kQm47TtpR"]),
+        ('colours = ["Zx81kQm47TtpR"]\nsizes: {"one": "Qw81kVb93LlsX"}', []),
+        ("db_pwd:\n  Zx81kQm47TtpR\nport: 12\n", ["Zx81kQm47TtpR"]),
+        ("passwords:\n  - Zx81kQm47TtpR\n  - 'Qw81kVb93LlsX'\nusers:\n  - Aa81kVb93Llsy\n", ["Zx81kQm47TtpR", "Qw81kVb93LlsX"]),
+        ("the token:\n  see chapter 12 of the book\n", []),
+        ("secrets = ]] } [ ', : = ", []),
     ],
 )
 def test_lexed(text, want):
     assert [text[a:b] for kind, a, b, *_ in secrets.findings(text) if kind == "lexed"] == want
 
 
+SIGNS = st.sampled_from(["secret", "pwd", "keys", "x", '"Zx81kQm47TtpR"', "'", '"', "[", "]", "{", "}", ":", "=", ",", "\n", "  - ", "\\", " ", "9aQ7", "é"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(SIGNS, max_size=25).map("".join))
+def test_lexed_spans_of_any_syntax(text):
+    found = secrets.findings(text)
+    spans = [(a, b) for kind, a, b, *_ in found if kind == "lexed"]
+    assert all(0 <= a < b <= len(text) for a, b in spans) and len(set(spans)) == len(spans)
+    assert found == sorted(found, key=lambda x: (x[1], secrets.KINDS.index(x[0]), x[2]))
+
+
 def test_doubling_chains_and_many_spans():
     doubled = "a = 'x9f2Kq81ZmPw'\n" + "a = a + a\n" * 200 + "db_password = a\n"
     assert [(kind, doubled[a:b]) for kind, a, b, *_ in secrets.findings(doubled)] == [("lexed", "x9f2Kq81ZmPw")]
@@ -75,7 +98,7 @@ def test_doubling_chains_and_many_spans():
 def test_time_grows_with_the_text():
     chain = "my_pass0 = 'Qq7zX!'\n" + "".join(f"my_pass{i} = my_pass{i - 1} + 'x'\n" for i in range(1, 20_000))
     crossed = "p0 = 'Qq7zX!'\np1 = 'aB3'\n" + "".join(f"p{i} = p{i - 1} + p{i - 2}\n" for i in range(2, 20_000)) + "pwd = p19999\n"
-    for text, least in ((chain, 19_000), (crossed, 2), ("token=" * 50_000, 0), ("pwd:" * 50_000, 0), ("a=1&pwd=" * 50_000, 0), ("pwd='" * 50_000, 0)):
+    for text, least in ((chain, 19_000), (crossed, 2), ("token=" * 50_000, 0), ("pwd:" * 50_000, 0), ("a=1&pwd=" * 50_000, 0), ("pwd='" * 50_000, 0), ('pwd:["Zx81kQm47T",' * 20_000, 20_000), ("pwd:{" * 50_000, 0), ("pwd:\n" * 50_000, 0), ("pwd:\n - " * 50_000, 0)):
         began = time.perf_counter()
         assert len(secrets.findings(text)) >= least
         assert time.perf_counter() - began < 3
