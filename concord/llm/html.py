@@ -1,16 +1,18 @@
 """Main-text extraction by consensus paths of a host.
 
 Pass one parses each page, scores its containers by text outside links and votes for the generalised path of the best
-one (tags and classes of the last ``STEPS`` block elements down to it; digits and positions dropped).  Spark counts the
-votes per host and keeps the leading paths.  Pass two parses again and takes the first leading path that the page has
+one (tags and classes of the block elements down to it, those above the last ``STEPS`` as one digest; digits and
+positions dropped).  Spark counts the votes per host and keeps the leading paths.  Pass two parses again and takes the first leading path that the page has
 with text; a page that has none of them, or a host without votes, falls back to the page's own best container, or to one
 around it where that holds a quarter more text.
 
 Left out everywhere: scripts, styles, navigation, headers outside the article, footers, sidebars, forms, and elements
-that a whole class, id or role token names as menu, advert, cookie notice or comments (``share-price`` names none).
+that a whole class, id or role token names as menu, advert, cookie notice or comments (``userComments`` does,
+``share-price`` names none).
 Names that an article's own blocks bear too (notice, related, alert, share ...) count outside the article; inside it such
 a block goes only on evidence: half of its text or more stands in links, or the host has the very block on a tenth of
-its pages, three at least.  Character references are decoded, white space in a block becomes one space, blocks are joined
+its pages, three at least.  A token that holds such a name beside other words (``has-sidebar``, ``ads-free``) takes that
+last evidence everywhere, and only for a block with less than half of the page's text.  Character references are decoded, white space in a block becomes one space, blocks are joined
 in page order by one space.
 
 Edge cases: a null or empty page has the empty text; a null url is the host '' of its own; broken markup is read as
@@ -34,17 +36,17 @@ from concord.llm.common import discard, small, text_or_empty, written
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORDS = re.compile(r"[A-Za-z]+")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg select".split())
 LEFT_OUT = frozenset("nav footer aside form button menu dialog".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt s samp small span strike strong sub sup time tt u var wbr img".split())
 CONTAINERS = {"article": 1.5, "main": 1.3, "section": 1.0, "div": 1.0, "td": 1.0, "body": 0.6}
-BAD_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr comment comments disqus social sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead newsletter subscribe pagination pager contentinfo complementary".split())
+BAD_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr comment comments disqus social sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead newsletter subscribe pagination pager contentinfo complementary adsbygoogle adsense adbox adslot adunit commentlist commentbox commentform cookiebar cookiebanner".split())
 #: Inside an article these take evidence.
 UNSURE_NAMES = frozenset("header notice alert popup modal overlay banner widget share sharing related recommended search login signup reply replies respond".split())
 #: Words beside these in a token that leave its meaning as it is.
-NEUTRAL = frozenset("site page main global top bottom left right inner outer box block list item items section area container wrapper wrap bar slot unit text content primary secondary buttons button links link icons posts form the and by form".split())
+NEUTRAL = frozenset("site page main global top bottom left right inner outer box block list item items section area container wrapper wrap bar slot unit text content primary secondary buttons button links link icons posts form the and by user users reader readers visitor visitors guest guests thread threads google policy privacy law eu".split())
 STEPS = 12
 GOOD_NAMES = frozenset("article content post entry story main body text".split())
 LISTS = frozenset("ul ol table dl select".split())
@@ -52,11 +54,11 @@ _CLOSES = {"li": "li", "td": "td", "th": "td", "tr": "tr", "dt": "dd", "dd": "dd
 
 
 def _named(token: str) -> int:
-    """What a class, id or role token names: 2 something beside the article, 1 perhaps so, 0 neither."""
+    """What a class, id or role token names: 3 something beside the article, 2 perhaps so, 1 it or something else, 0 neither."""
     words = {w.lower() for w in _WORDS.findall(token)} - NEUTRAL
-    if not words or not words <= BAD_NAMES | UNSURE_NAMES:
-        return 0
-    return 2 if words & BAD_NAMES else 1
+    if not words <= BAD_NAMES | UNSURE_NAMES:
+        return 1 if words & BAD_NAMES else 0
+    return 3 if words & BAD_NAMES else 2 if words else 0
 
 
 class Page:
@@ -70,8 +72,10 @@ class Page:
 
     def _read(self, html: str) -> None:
         chunks, nodes = self.chunks, self.nodes
-        # tag, path, left out, inside the article, node, unsure: first chunk, nodes, characters, characters in links
-        stack: list[tuple] = [("", (), False, False, None, None)]
+        # tag, digest of the steps above the path, path, left out, inside the article, node, nearest node, unsure: first chunk,
+        # nodes, characters, characters in links, level
+        stack: list[tuple] = [("", 0, (), False, False, None, None, None)]
+        half: list[tuple[int, tuple]] = []  # characters and place of unsure blocks of level 1
         open_at: dict[str, list[int]] = {}
         blocks, lists = [0], [0]  # places in the stack of what a p, or an item of a list, does not reach across
         at, links, chars, in_links = 0, 0, 0, 0
@@ -79,7 +83,7 @@ class Page:
         def close(to: int) -> None:
             nonlocal links, chars, in_links
             while len(stack) > to:
-                tag, _, _, _, node, unsure = stack.pop()
+                tag, _, _, _, _, node, _, unsure = stack.pop()
                 open_at[tag].pop()
                 for places in (blocks, lists):
                     if places[-1] == len(stack):
@@ -88,21 +92,25 @@ class Page:
                 if tag not in INLINE:
                     chunks.append(" ")
                 if unsure:
-                    first, inner, before, linked = unsure
+                    first, inner, before, linked, level = unsure
                     said, in_link = chars - before, in_links - linked
-                    if 2 * in_link >= said > 0:
+                    if level == 2 and 2 * in_link >= said > 0:
                         chunks[first:] = [" "]
                         chars, in_links = before, linked
                         del nodes[inner:]
                         node = None
                     elif said:
-                        self.unsure.append((crc32(_joined(chunks[first:]).encode("utf-8", "surrogatepass")), first, len(chunks)))
+                        found = crc32(_joined(chunks[first:]).encode("utf-8", "surrogatepass")), first, len(chunks)
+                        if level == 2:
+                            self.unsure.append(found)
+                        else:
+                            half.append((said, found))
                 if node:
                     node[3], node[4], node[5] = len(chunks), chars - node[4], in_links - node[5]
 
         def say(raw: str) -> None:
             nonlocal chars, in_links
-            if raw and not stack[-1][2]:
+            if raw and not stack[-1][3]:
                 text = unescape(raw)
                 chunks.append(text)
                 n = len(text.strip())
@@ -138,7 +146,7 @@ class Page:
                     close(p[-1])
                 if tag in _CLOSES and mine and mine[-1] > lists[-1]:
                     close(mine[-1])
-            _, path, out, inside, _, _ = stack[-1]
+            _, above, path, out, inside, _, near, _ = stack[-1]
             classes, good, bad = "", False, 0
             if said := m[3] or m[6]:
                 named = [(k.lower(), a or b or c) for k, a, b, c in _ATTR.findall(said)]
@@ -146,25 +154,27 @@ class Page:
                 classes = ".".join(sorted({re.sub(r"\d+", "", c) for k, v in named if k == "class" for c in v.split()}))
                 if tag not in ("html", "body", "article", "main"):
                     bad = max((_named(t) for _, v in named for t in v.split()), default=0)
-            out = out or tag in LEFT_OUT or (tag == "header" and not inside) or bad == 2 or (bad == 1 and not inside)
-            unsure = (len(chunks), len(nodes), chars, in_links) if bad == 1 and not out else None
+            out = out or tag in LEFT_OUT or (tag == "header" and not inside) or bad == 3 or (bad == 2 and not inside)
+            unsure = (len(chunks), len(nodes), chars, in_links, bad) if bad and not out else None
             inside = inside or tag in ("article", "main")
             node = None
             if tag not in INLINE:
-                path = (*path[1 - STEPS :], f"{tag}{'.' + classes if classes else ''}")
+                path = (*path, f"{tag}{'.' + classes if classes else ''}")
+                if len(path) > STEPS:
+                    above, path = crc32(path[0].encode("utf-8", "surrogatepass"), above), path[1:]
             if tag in CONTAINERS or tag in LEFT_OUT:
                 blocks.append(len(stack))
             if tag in LISTS:
                 lists.append(len(stack))
             if tag in CONTAINERS and not out:
-                parent = next((x[4] for x in reversed(stack[-STEPS:]) if x[4]), None)
-                node = [">".join(path), CONTAINERS[tag] * (1.3 if good else 1.0), len(chunks), 0, chars, in_links, parent]
+                node = [f"{above:08x}>" * (above > 0) + ">".join(path), CONTAINERS[tag] * (1.3 if good else 1.0), len(chunks), 0, chars, in_links, near]
                 nodes.append(node)
             links += tag == "a"
             mine.append(len(stack))
-            stack.append((tag, path, out, inside, node, unsure))
+            stack.append((tag, above, path, out, inside, node, node or near, unsure))
         say(re.sub(r"<[a-zA-Z/!][^<>]*\Z", "", html[at:]))
         close(1)
+        self.unsure += [found for said, found in half if 2 * said < chars]
 
     def best(self) -> list | None:
         """The container with the highest weight times text outside links; of equals the innermost, which comes last."""

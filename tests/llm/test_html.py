@@ -20,6 +20,37 @@ def test_names_are_judged_whole():
     assert html.Page("<div class='notice'>gone</div><article><p>start</p></article>").taken([]) == "start"
 
 
+@pytest.mark.parametrize("name", ["user-comments", "reader-comments", "comment-thread", "commentlist", "commentList", "userComments", "adsbygoogle", "google-ads", "cookie-policy", "privacy-notice"])
+@pytest.mark.parametrize("frame", ["<div id=content><p>start</p>{}<p>end</p></div>", "<div class='post has-sidebar'><p>start</p>{}<p>end</p></div>"])
+def test_compound_names(name, frame):
+    assert html.Page(frame.format(f"<div class='{name}'><p>gone gone</p></div>")).taken([]) == "start end"
+
+
+def test_wrappers_named_after_what_they_lack():
+    for c in ("has-sidebar", "no-comments-yet", "layout-with-menu", "commentary"):
+        assert html.Page(f"<div class='{c}'><p>the text of it</p></div>").taken([]) == "the text of it"
+
+
+def test_evidence_for_mixed_names(spark):
+    """A block whose token holds such a name goes where the host repeats it, but never with half of the page's text."""
+    page = "<div class='{w}'><p>own text {i} of this page in words enough</p><div class='ads-free-offer'>{n}</div></div>"
+    rows = [(i, "http://h/x", page.format(w="has-sidebar", i=i, n="buy it now" if i % 2 else f"my offer {i}")) for i in range(12)]
+    rows += [(100 + i, "http://k/x", "<div class='has-sidebar'><p>copied text of the page</p></div>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"own text {i} of this page in words enough" + ("" if i % 2 else f" my offer {i}") for i in range(12))
+    assert all(got[100 + i] == "copied text of the page" for i in range(6))
+
+
+def test_containers_at_any_depth():
+    """Nesting beyond the steps of a path keeps deep paths apart and parents known."""
+    deep = lambda top, text: f"<div class='{top}'>" + "<div>" * 30 + f"<div class=x><p>{text}</p></div>" + "</div>" * 31
+    page = html.Page(deep("a", "one " * 9) + deep("b", "two " * 9))
+    ends = [n[0] for n in page.nodes if n[0].endswith("div.x")]
+    assert len(ends) == len(set(ends)) == 2 and max(len(n[0]) for n in page.nodes) < 120
+    assert page.taken(ends[1:]) == ("two " * 9).strip()
+    assert html.Page(f"<div class=post>{'word ' * 40}<ul>{'<li><dl><dd>' * 15}<div class=story>{'more ' * 50}</div></ul></div>").taken([]) == ("word " * 40 + "more " * 50).strip()
+
+
 def test_siblings_of_the_best_stay():
     long, short = "word " * 60, "more " * 30
     assert html.Page(f"<body><div class='a'><p>{long}</p></div><div class='b'><p>{short}</p></div></body>").taken([]) == (long + short).strip()
