@@ -355,6 +355,47 @@ def test_scores_of_the_table(spark):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_scores_word_by_word(spark, monkeypatch):
+    """Each score is the sum over its words of class, slot and rest probabilities, all normalised one by one."""
+    held = {}
+
+    def kept(coded, words, *how):
+        held["words"], held["model"] = words.value, trained(coded, words, *how)
+        return held["model"]
+
+    trained = lm.train
+    monkeypatch.setattr(lm, "train", kept)
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r["doc_id"]: r["score"] for r in lm.scores(table, dictionary=700).collect()}
+    docs = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in table.collect()}
+    words, model = held["words"], held["model"]
+    seen = Counter(w for i, ws in docs.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    r, t, slots, c = (x.astype(np.float64) for x in (model.r, model.t, model.slots, model.c))
+    b = model.b.astype(np.float64)
+    members, rest = defaultdict(list), Counter()
+    for w, i in words.index.items():
+        members[int(words.cls[i])].append(int(words.slot[i]))
+    for w, n in seen.items():
+        if w not in words.index:
+            rest[lm.group_of(w)] += n + 1
+    class_of = lambda w: int(words.cls[words.index[w]]) if w in words.index else lm.group_of(w)
+    softmax = lambda s: np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+    for i, ws in docs.items():
+        total, before = 0.0, [0, 0]
+        for w in [*ws, None]:
+            q = c[0] * r[before[1]] + c[1] * r[before[0]]
+            cls = 0 if w is None else class_of(w)
+            total += math.log10(softmax(t @ q + b)[cls])
+            if cls > lm.HOT:
+                of = [*members[cls], int(words.rest[cls])]
+                slot = int(words.slot[words.index[w]]) if w in words.index else of[-1]
+                total += math.log10(softmax(slots[of, :-1] @ q + slots[of, -1])[of.index(slot)])
+                if w not in words.index:
+                    total += math.log10((seen[w] + 1) / (rest[cls] + 1))
+            before = [before[1], cls]
+        assert got[i] == pytest.approx(total, rel=1e-4)
+
+
 def test_score_edges(spark):
     df = spark.createDataFrame([(1, None, 1), (None, "", 2), (2, "a b", 3), (2, "a b", 3)], "doc_id long, text string, row int")
     got = lm.scores(df).collect()
