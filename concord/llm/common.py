@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table is broadcast only after it was measured to have no more rows and no more bytes (as JSON) than these.
-BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8 << 20
 
 _own_dir: dict[str, str] = {}
 
@@ -42,13 +42,18 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete written tables that nothing will read again; what was computed from them must have been written."""
+    """Delete written tables that nothing will read again; what was computed from them must have been written.
+
+    What the driver still holds of the jobs so far (broadcast tables, map outputs, plans) is given up when its garbage is
+    collected, which is asked for here: a chain of many short jobs fills its heap otherwise."""
     for table in tables:
+        spark = table.sparkSession
         files = table.inputFiles()
         if files:
-            spark = table.sparkSession
             folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    if tables:
+        spark.sparkContext._jvm.System.gc()
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:

@@ -1,8 +1,11 @@
 """Near copies whose lines repeat, and pairs just above the threshold: held against brute force."""
 
+import time
+
 import numpy as np
+from pyspark.sql import functions as F
 
-from concord.llm import neardup
+from concord.llm import common, neardup
 
 
 def test_no_pair_above_the_threshold_is_lost(spark):
@@ -52,3 +55,20 @@ def test_pairs_are_met_once(spark):
     rows = [(1, 10, 10), (1, 11, 11), (1, 12, 11), (2, 10, 10), (2, 11, 11), (3, 13, 13)]
     got = neardup.sharing_once(spark.createDataFrame(rows, "key long, h long, root long")).collect()
     assert sorted(tuple(r) for r in got) == [(10, 11), (10, 12)]
+
+
+def test_discard_frees_what_the_driver_holds(spark):
+    jvm = spark.sparkContext._jvm
+    held = jvm.java.util.ArrayList()
+    ref = jvm.java.lang.ref.WeakReference(held)
+    del held
+    time.sleep(3)  # until py4j has let it go
+    common.discard(common.written(spark.range(3), "three"))
+    assert ref.get() is None
+
+
+def test_driver_builds_no_large_broadcast(spark):
+    """A table of 10 MB as JSON is joined by shuffles."""
+    rows = common.written(spark.range(90_000).select("id", F.lpad("id", 90, "x").alias("s")), "rows")
+    assert "broadcast" not in common.small(rows)._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" in common.small(rows.limit(10))._jdf.queryExecution().analyzed().toString().lower()
