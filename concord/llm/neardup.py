@@ -306,8 +306,10 @@ def hopeful(banded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     rows = banded.join(small(sizes), "h")
     met = rows.join(least_of(rows, "key", F.min("size").alias("fewest")), "key")
     least = similarity * (F.greatest(similarity * F.col("size"), "fewest") + F.col("own"))
-    out = written(_of_several(met.where(F.col("size") - F.col("own") + 1e-6 >= least).select("key", "h", "root")), "hopeful")
-    discard(there, sizes)
+    # written before it is read from two sides
+    able = written(met.where(F.col("size") - F.col("own") + 1e-6 >= least).select("key", "h", "root"), "able")
+    out = written(_of_several(able), "hopeful")
+    discard(there, sizes, able)
     return out
 
 

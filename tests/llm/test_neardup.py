@@ -1,5 +1,6 @@
 """Near copies whose lines repeat, and pairs just above the threshold: held against brute force."""
 
+import re
 import time
 
 import numpy as np
@@ -57,6 +58,18 @@ def test_pairs_are_met_once(spark):
     assert sorted(tuple(r) for r in got) == [(10, 11), (10, 12)]
 
 
+def test_bound_is_joined_once(spark, monkeypatch):
+    """The rows that pass the bound are written before they are read from two sides."""
+    plans = []
+    was = neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, name, **o: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or was(df, name, **o))
+    sets = spark.createDataFrame([(i, [1, 2, 3, 4, i]) for i in range(10, 14)], "h long, s array<bigint>")
+    rows = spark.createDataFrame([(7, i, i) for i in range(10, 14)], "key long, h long, root long")
+    left = neardup.hopeful(rows, sets, 0.6)
+    assert left.count() == 4
+    assert max(len(re.findall(r"Join Inner.*>= ", p)) for p in plans) == 1
+
+
 def test_discard_frees_what_the_driver_holds(spark):
     jvm = spark.sparkContext._jvm
     held = jvm.java.util.ArrayList()
