@@ -34,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from concord.llm.common import met_in_groups, small, text_or_empty, written
+from concord.llm.common import discard, met_in_groups, rows_at_once, small, text_or_empty, written
 
 BLOCK, DOCS, POSTINGS = 128, 1 << 14, 1 << 20
 #: Queries that meet a segment together, and segments of a group.
 QUERIES, GROUP = 256, 4
+#: Segments in a row group of their table, which is written and read as a whole: a few MB each.
+ROW_GROUP = 4
 #: After the last document of a segment.
 END = 1 << 30
 SEGMENT = "block bigint, doc_ids array<bigint>, norms array<bigint>, terms array<string>, dfs array<int>, firsts array<int>, lasts array<int>, peaks array<int>, places array<int>, payload binary"
@@ -152,7 +154,7 @@ def index(docs: DataFrame, n_docs: int, n_terms: int, text: str = "text", doc_id
         if segment.ids:
             yield pa.RecordBatch.from_pylist([segment.row(number, n_docs, n_terms)], _ARROW)
 
-    return written(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_or_empty(text).alias("t")).mapInArrow(run, SEGMENT), "segments")
+    return written(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_or_empty(text).alias("t")).mapInArrow(run, SEGMENT), "segments", **{"parquet.block.row.count.limit": str(ROW_GROUP)})
 
 
 # -- queries ---------------------------------------------------------------------------------------------------------
@@ -324,7 +326,10 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, text: str = "text", d
                             heapreplace(so_far, score)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], names=["item_id", "item", "other", "doc_id", "score"])
 
-    found = met_in_groups(queries, segments, GROUP).mapInArrow(run, "item_id bigint, item bigint, other bigint, doc_id bigint, score bigint")
+    # segments go to Python one by one, however many a task holds; the best of each task are few
+    with rows_at_once(docs.sparkSession, 1):
+        found = written(met_in_groups(queries, segments, GROUP).mapInArrow(run, "item_id bigint, item bigint, other bigint, doc_id bigint, score bigint"), "found")
+    discard(segments, queries)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("item", "other").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))))
     return ranked.where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 

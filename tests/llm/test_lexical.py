@@ -4,15 +4,17 @@ import math
 import random
 import re
 from collections import Counter
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from concord.llm import lexical
+from concord.llm import common, lexical
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -100,3 +102,16 @@ def test_against_plain_form(spark):
     known = lambda x: {k: sorted(v, key=str) for k, v in x.items()}
     assert known(got) == known(want)
     assert lexical.search(df.limit(0), bench).count() == 0 and lexical.search(df, bench.limit(0)).count() == 0
+
+
+def test_segments_are_read_and_sent_few_at_a_time(spark):
+    """Six segments from one task lie in row groups of four at most, and go to Python one by one."""
+    docs = spark.range(90_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 7).alias("text")).coalesce(1)
+    segments = lexical.index(docs, 90_000, 90_000)
+    groups = [m.row_group(i).num_rows for f in segments.inputFiles() for m in [pq.ParquetFile(urlparse(f).path).metadata] for i in range(m.num_row_groups)]
+    assert sum(groups) == 6 and max(groups) <= lexical.ROW_GROUP
+    name, size = "spark.sql.execution.arrow.maxRecordsPerBatch", lambda batches: (pa.record_batch([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    before = spark.conf.get(name)
+    with common.rows_at_once(spark, 1):
+        assert {r["n"] for r in segments.select("block").mapInArrow(size, "n bigint").collect()} == {1}
+    assert spark.conf.get(name) == before
