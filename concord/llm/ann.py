@@ -205,10 +205,13 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, vector: str = "
     kind = "<f4" if dict(vectors.dtypes)[vector] == "array<float>" else "<f8"
     rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).cast(f"array<{'float' if kind == '<f4' else 'double'}>").alias("v")).where(F.col("vec_id").isNotNull() & sound("v"))
     asks = F.col("vec_id") % every == 0
+    few = {"parquet.block.row.count.limit": str(GROUP)}  # a row group is written and read as a whole
     n, n_queries = rows.agg(F.count("*"), F.count_if(asks)).first()
-    stored = written(rows.repartition(max(1, -(-n // BLOCK))).mapInArrow(_blocks(BLOCK, kind, True), CODED), "codes")
+    # a task to a block only while these are few: tasks, files and map outputs are kept by the driver
+    parts = min(-(-n // BLOCK), max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // (GROUP * BLOCK))))
+    stored = written(rows.repartition(max(1, parts)).mapInArrow(_blocks(BLOCK, kind, True), CODED), "codes", **few)
     asking = rows.where(asks).groupBy("vec_id").agg(F.min("v").alias("v")).repartition(max(1, -(-n_queries // QUERIES)))
-    queries = written(asking.mapInArrow(_blocks(QUERIES, kind, False), ASKED), "asking")
+    queries = written(asking.mapInArrow(_blocks(QUERIES, kind, False), ASKED), "asking", **few)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict[int, Asked] = OrderedDict()

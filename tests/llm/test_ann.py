@@ -1,5 +1,7 @@
 """Nearest neighbours: codes and bounds, the exact order against brute force, recall, edges."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +81,13 @@ def test_recall(spark):
     want = {(q, i) for q, found in brute([tuple(r) for r in rows]).items() for i, _ in found}
     got = {(r["query_id"], r["vec_id"]) for r in queries.op11_nearest_neighbours(spark, sf).collect()}
     assert len(got & want) >= 0.99 * len(want) and len(got) == len(want)
+
+
+def test_tasks_do_not_grow_with_every_block(spark, monkeypatch):
+    """Ten blocks are coded in as many tasks as there are shuffle partitions, not in ten."""
+    plans = {}
+    was = ann.written
+    monkeypatch.setattr(ann, "written", lambda df, name, **o: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or was(df, name, **o))
+    rows = spark.range(10 * ann.BLOCK).select(F.col("id").alias("vec_id"), F.array((F.col("id") + 1).cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    ann.neighbours(rows, every=20_000, k=2)
+    assert int(re.search(r"Repartition (\d+)", plans["codes"])[1]) == 4
