@@ -130,7 +130,7 @@ def decode(payload: bytes, table: Table, checkpoint: int = 0) -> np.ndarray:
 # -- tokenising ----------------------------------------------------------------------------------------------------
 
 _loaded: dict[str, object] = {}
-_known: dict[str, dict[bytes, bytes]] = {}
+_known: dict[str, Known] = {}
 _over: dict[str, list[bytes]] = {}
 #: Words whose ids a Python worker remembers, about 210 bytes each.
 KNOWN = 1_000_000
@@ -205,18 +205,31 @@ def _learn(fresh: list[bytes], known: dict[bytes, bytes], coder) -> None:
             known.update(zip(words, (ids[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
         else:
             single += words
-    single += {w[len(stem) :] for w, stem in marked}.difference(known)
+    single += [x for x in {w[len(stem) :] for w, stem in marked} if x not in known]
     known.update(zip(single, (np.array(e.ids, "<u4").tobytes() for e in run([w.decode("utf-8", "surrogatepass") for w in single])), strict=True))
     for w, stem in marked:
         known[w] = known[stem] + known[w[len(stem) :]]
 
 
+class Known(dict):
+    """Ids of words; an unknown word gets an empty place in ``fresh``, to be filled once it is learned."""
+
+    def __init__(self):
+        self.fresh: dict[bytes, bytearray] = {}
+
+    def __missing__(self, word: bytes) -> bytearray:
+        place = self.fresh.get(word)
+        if place is None:
+            place = self.fresh[word] = bytearray()
+        return place
+
+
 def ids_of(texts: list[str], path: str, by_word: bool) -> list[np.ndarray]:
     """Ids of each text as 32-bit numbers."""
     coder = tokenizer(path)
     if not by_word:
         return [np.array(e.ids, "<u4") for e in coder.encode_batch_fast(texts, add_special_tokens=False)]
-    known = _known.setdefault(path, {})
+    known = _known.setdefault(path, Known())
     split = []
     for t in texts:
         raw = t.encode("utf-8", "surrogatepass")
@@ -225,11 +238,16 @@ def ids_of(texts: list[str], path: str, by_word: bool) -> list[np.ndarray]:
     if len(known) > KNOWN:  # full: what came first, mostly the frequent words, stays
         for w in _over.pop(path, ()):
             del known[w]
-    before = len(known)
-    _learn(list(set().union(*split).difference(known)), known, coder)
+    before, fresh = len(known), known.fresh
+    fresh.clear()  # of a call that failed
+    found = [list(map(known.__getitem__, words)) for words in split]  # each word is looked up once
+    _learn(list(fresh), known, coder)
+    for w, place in fresh.items():
+        place += known[w]
+    fresh.clear()
     if len(known) > KNOWN:
         _over[path] = list(islice(reversed(known), len(known) - before))
-    return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
+    return [np.frombuffer(b"".join(x), "<u4") for x in found]
 
 
 def _chunks(path: str, end_id: int, by_word: bool, chunk: int):

@@ -424,3 +424,17 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in frame.select("doc_id").collect()}
     assert names == ["quality_rules", "near_dedup", "decontamination", "secret_scan"]
+
+
+def test_words_are_looked_up_once(monkeypatch):
+    """New words of a batch are learned in the order in which they come, each once, and serve all of its texts."""
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    words = [f"looked{i}" for i in range(60)]
+    learned, learn = [], tokenids._learn
+    monkeypatch.setattr(tokenids, "_learn", lambda fresh, *x: learned.extend(fresh) or learn(fresh, *x))
+    monkeypatch.setattr(tokenids, "_known", {})
+    texts = [" ".join(words + words[::-1]), " ".join(words[5:] + ["last"])]
+    got = [x.tolist() for x in tokenids.ids_of(texts, path, True)]
+    assert learned == [w.encode() for w in [*words, "last"]]
+    assert got == [x.tolist() for x in tokenids.ids_of(texts, path, False)] == [x.tolist() for x in tokenids.ids_of(texts, path, True)]
+    assert len(learned) == 61
