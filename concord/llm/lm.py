@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby, pairwise
+from itertools import groupby, pairwise, repeat
 from math import isqrt
 from zlib import crc32
 
@@ -58,7 +58,7 @@ def split(text: str) -> list[bytes]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows(seen: Counter) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64()), pa.array([group_of(w) for w in seen], pa.int32())], names=["w", "n", "g"])
+        return pa.record_batch([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["w", "n"])
 
     seen: Counter = Counter()
     for batch in batches:
@@ -108,11 +108,10 @@ class Words:
     def coded(self, text: str) -> tuple[np.ndarray, list[bytes]]:
         """Indices of the words and of the end, for a word outside the dictionary its group less than zero; those words."""
         words = split(text)
-        get = self.index.get
-        out = np.fromiter((get(w, -1) for w in words), dtype=np.int32, count=len(words))
+        out = np.fromiter(map(self.index.get, words, repeat(-1)), dtype=np.int32, count=len(words))
         other = np.flatnonzero(out < 0)
-        rare = [words[i] for i in other]
-        out[other] = [-group_of(w) for w in rare]
+        rare = [words[i] for i in other.tolist()]
+        out[other] = [-1 - HOT - crc32(w[-3:]) % GROUPS for w in rare]
         return np.append(out, np.int32(len(self.cls) - 1)), rare
 
     def placed(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,7 +252,8 @@ def _laid(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
 
 def count_words(docs: DataFrame) -> DataFrame:
     """w, n, g: count and group of every word of ``docs.t``; partial counts leave each task combined."""
-    return docs.select("t").mapInArrow(_count, "w binary, n bigint, g int").groupBy("w").agg(F.sum("n").alias("n"), F.max("g").alias("g"))
+    counts = docs.select("t").mapInArrow(_count, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    return counts.withColumn("g", (1 + HOT + F.crc32(F.substring("w", -3, 3)) % GROUPS).cast("int"))  # as ``group_of``
 
 
 def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
@@ -384,10 +384,20 @@ class Scorer:
         return out
 
 
+_kept: list = []
+
+
+def scorer_of(model: Model, words: Words) -> Scorer:
+    """The scorer of a model.  A Python worker keeps its last one, so normalisers are summed once a worker, not once a task."""
+    if not _kept or _kept[0] is not model or _kept[1].words is not words:
+        _kept[:] = [model, Scorer(model, words)]
+    return _kept[1]
+
+
 def _scorer(words, model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words.value
-        scorer, end = Scorer(model.value, known), len(known.cls) - 1
+        scorer, end = scorer_of(model.value, known), len(known.cls) - 1
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

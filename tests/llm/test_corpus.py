@@ -438,3 +438,17 @@ def test_words_are_looked_up_once(monkeypatch):
     assert learned == [w.encode() for w in [*words, "last"]]
     assert got == [x.tolist() for x in tokenids.ids_of(texts, path, False)] == [x.tolist() for x in tokenids.ids_of(texts, path, True)]
     assert len(learned) == 61
+
+
+def test_a_worker_keeps_its_scorer():
+    words = lm.Words([(b"a", 3), (b"b", 2)], 2, {})
+    model = lm.Model(words, 1)
+    first = lm.scorer_of(model, words)
+    assert lm.scorer_of(model, words) is first
+    assert lm.scorer_of(lm.Model(words, 1), words) is not first
+
+
+def test_groups_of_counted_words(spark):
+    text = "a bc def ghij é äö xé longer-word"
+    got = {bytes(r["w"]): (r["n"], r["g"]) for r in lm.count_words(spark.createDataFrame([(text,), ("a",)], "t string")).collect()}
+    assert got == {w: (1 + (w == b"a"), lm.group_of(w)) for w in lm.split(text)}
