@@ -33,8 +33,8 @@ from concord.llm.common import components, discard, least_of, small, text_or_emp
 _LANES = np.uint64(0x0101010101010101)
 #: MinHash: bands of so many rows; a pair at Jaccard 0.8 shares no band once in 300,000 times.
 BANDS, BAND_ROWS = 32, 5
-#: How often the bound of ``hopeful`` is drawn before texts that share a band are compared.
-BOUND_ROUNDS = 3
+#: Classes of texts to a block in ``close_pairs`` at most.
+CLASSES = 16
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -314,12 +314,58 @@ def hopeful(banded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def sharing_once(banded: DataFrame) -> DataFrame:
-    """(a, b): pairs of different roots that share a key of ``banded`` (key, h, root), each met under the first such key only."""
-    keys = written(banded.groupBy("h").agg(F.sort_array(F.collect_set("key")).alias("keys")), "keys")  # at most BANDS to a text
-    rows = banded.join(small(keys), "h")
-    x, y = (rows.select("key", F.col("h").alias(n), F.col("root").alias(f"r{n}"), F.col("keys").alias(f"k{n}")) for n in "ab")
-    met = (x["key"] == y["key"]) & (F.col("ra") < F.col("rb")) & (F.get(F.array_intersect("ka", "kb"), F.lit(0)) == x["key"])
-    return x.join(y, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    """(a, b): pairs of different roots that share a key of ``banded`` (key, h, root), each once."""
+    x, y = (banded.select("key", F.col("h").alias(n), F.col("root").alias(f"r{n}")) for n in "ab")
+    met = (x["key"] == y["key"]) & (F.col("ra") < F.col("rb"))
+    return x.join(y, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def blocks_of(banded: DataFrame) -> DataFrame:
+    """(h, block): texts that share a key of ``banded`` (key, h, root), directly or by way of others, have one block."""
+    ends = banded.join(least_of(banded, "key", F.min("h").alias("lo")), "key")
+    return components(ends.select(F.col("h").alias("a"), F.col("lo").alias("b"))).select(F.col("node").alias("h"), F.col("root").alias("block"))
+
+
+def close_pairs(banded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of texts of one block among which are links enough to tie all similar texts of ``banded`` (key, h, root).
+
+    A block's core are the shingles of more than half of its texts, a text's ``d`` those in which it differs from the core.
+    Two texts differ in as many shingles as their ``d`` hold together, less twice the common ones, so they are similar if
+    and only if ``d`` and ``d`` have at least half of ``slack + slack`` in common, where slack is the size of ``d`` less
+    (1 - similarity) / (1 + similarity) of the text's own.  Where that is no more than nothing, both are similar to the
+    text of the least slack, to which they are tied: as many rows as texts.  All other pairs share one of the rarest
+    elements of both (of ``n`` all but the last ``k - 1``, if ``k`` must be shared), under which they are met.  ``k`` hangs
+    on the partner's slack, so texts are put under each class of partners apart."""
+    share, bit = (1 - similarity) / (1 + similarity), 1e-6
+    blocks = written(blocks_of(banded), "blocks")
+    texts = written(banded.select("h", "root").distinct().join(small(blocks), "h").join(sets, "h"), "blocked")
+    sizes = texts.groupBy("block").agg(F.count("*").alias("texts"))
+    often = texts.select("block", F.explode("s").alias("s")).groupBy("block", "s").agg(F.count("*").alias("n")).join(sizes, "block").where("2 * n > texts")
+    cores = written(often.groupBy("block").agg(F.collect_list("s").alias("core")), "cores")
+    core = F.coalesce("core", F.array().cast("array<bigint>"))
+    apart = texts.join(small(cores), "block", "left").withColumn("d", F.concat(F.array_except("s", core), F.array_except(core, "s")))
+    apart = written(apart.select("block", "h", "root", "d", (F.size("d") - share * F.size("s")).alias("slack")), "apart")
+    ends = apart.groupBy("block").agg(F.min(F.struct("slack", "h", "root")).alias("least"), F.max("slack").alias("most"), F.count("*").alias("texts"))
+    ends = written(ends.select("block", "least.slack", F.col("least.h").alias("mid"), F.col("least.root").alias("lead"), "most", F.least(F.lit(CLASSES), F.ceil(F.sqrt("texts"))).alias("classes")).withColumnRenamed("slack", "fewest"), "ends")
+    placed = apart.join(small(ends), "block").withColumn("c", F.coalesce(F.floor(F.expr("try_divide(slack - fewest, most - fewest)") * F.col("classes")), F.lit(0)).cast("int"))
+    placed = written(placed.withColumn("beside", F.col("slack") + F.col("fewest")).drop("fewest", "most", "classes"), "placed")
+    ties = placed.where((F.col("beside") <= bit) & (F.col("root") != F.col("lead"))).select(F.least("h", "mid").alias("a"), F.greatest("h", "mid").alias("b"))
+    # roots that the ties join count as one
+    sure = written(placed.where(F.col("beside") <= -bit).select("block", "root", F.lit(True).alias("sure")).distinct(), "sure")
+    classes = placed.groupBy("block", "c").agg(F.min("slack").alias("low")).groupBy("block").agg(F.collect_list(F.struct("c", "low")).alias("classes"))
+    classes = written(classes, "classes")
+    each = placed.select("block", "h", F.explode("d").alias("s"))
+    common = written(each.groupBy("block", "s").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    rarest = written(each.join(common, ["block", "s"]).groupBy("h").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("rarest")), "rarest")
+    whole = placed.drop("d", "mid").join(small(sure), ["block", "root"], "left").join(small(classes), "block").join(rarest, "h")
+    under = whole.select("block", "h", F.when(F.col("sure"), F.col("lead")).otherwise(F.col("root")).alias("root"), "c", "slack", "rarest", F.explode("classes").alias("other"))
+    shared = F.greatest(F.lit(1), F.ceil((F.col("slack") + F.col("other.low")) / 2 - bit)).cast("int")
+    first = F.slice("rarest", F.lit(1), F.greatest(F.lit(0), F.size("rarest") - shared + 1))
+    keyed = under.select("block", "h", "root", F.least("c", "other.c").alias("i"), F.greatest("c", "other.c").alias("j"), F.explode(first).alias("x"))
+    keys = written(keyed.select(F.xxhash64("block", "i", "j", "x.s").alias("key"), "h", "root"), "keys")
+    out = written(ties.union(sharing_once(written(_of_several(keys), "meeting"))), "close")
+    discard(blocks, texts, cores, apart, ends, placed, sure, classes, common, rarest, keys)
+    return out
 
 
 def text_groups(texts: DataFrame, prints: DataFrame, width: int, radius: int, similarity: float) -> DataFrame:
@@ -327,7 +373,7 @@ def text_groups(texts: DataFrame, prints: DataFrame, width: int, radius: int, si
 
     ``texts`` is (h, t) with repeats, ``prints`` is (h, w0, bands), one row per text.  As in ``links``, each bucket is first
     tied to its smallest and its largest member; the joins that follow emit pairs of different components only, and of
-    texts that share a band only those that ``hopeful`` leaves."""
+    texts that share a band only those that ``hopeful`` leaves and ``close_pairs`` finds."""
     near = lambda found: found.select(F.col("a").alias("fp"), "b").join(by_print.withColumnRenamed("h", "a"), "fp").select("a", F.col("b").alias("fp")).join(by_print.withColumnRenamed("h", "b"), "fp").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # texts with one print are tied to the smallest of them, which stands for the print
     each = prints.select("h", F.col("w0").alias("fp"))
@@ -345,15 +391,13 @@ def text_groups(texts: DataFrame, prints: DataFrame, width: int, radius: int, si
     banded = rooted.select("h", "root", F.explode("bands").alias("key"))
     open_ = written(_of_several(banded), "open")
     sets = sets_of(written(open_.select("h").distinct(), "wanted"), texts, width)
-    for _ in range(BOUND_ROUNDS):
-        last, open_ = open_, hopeful(open_, sets, similarity)
-        discard(last)
-    discard(sets)
-    sharing = sharing_once(open_)
+    last, open_ = open_, hopeful(open_, sets, similarity)
+    sharing = close_pairs(open_, sets, similarity)
+    discard(last, sets)
     second = _similar(near(near_pairs(lead, radius)).union(sharing), texts, width, similarity)
     linked = small(components(first.union(second)))
     out = written(rooted.join(linked, rooted["h"] == linked["node"], "left").select("h", F.coalesce(linked["root"], rooted["h"]).alias("root")), "grouped")
-    discard(by_print, open_, rooted, first, second)
+    discard(by_print, open_, rooted, first, sharing, second)
     return out
 
 

@@ -85,3 +85,68 @@ def test_driver_builds_no_large_broadcast(spark):
     rows = common.written(spark.range(90_000).select("id", F.lpad("id", 90, "x").alias("s")), "rows")
     assert "broadcast" not in common.small(rows)._jdf.queryExecution().analyzed().toString().lower()
     assert "broadcast" in common.small(rows.limit(10))._jdf.queryExecution().analyzed().toString().lower()
+
+
+def roots_of(n, pairs):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return [find(i) for i in range(n)]
+
+
+def edited(n, seed):
+    """Copies of one text of 150 words, each with one to six words of its own."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for g in range(n):
+        words = list(base)
+        for i in rng.choice(150, 1 + g % 6, replace=False):
+            words[i] = f"n{g}x{i}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_a_large_group_of_near_copies_is_not_all_pairs(spark, monkeypatch):
+    """Texts just below the threshold from every copy in a group don't meet all of its copies, and no link is lost."""
+    texts = edited(400, 5)
+    sets = [set(neardup.shingles(t, 5)) for t in texts]
+    root = roots_of(400, [(i, j) for j in range(400) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    compared = []
+    was = neardup._similar
+    monkeypatch.setattr(neardup, "_similar", lambda pairs, *a: compared.append(pairs.distinct().count()) or was(pairs, *a))
+    kept = {r["doc_id"] for r in neardup.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == set(root) and 20 < len(kept) < 380
+    assert sum(compared) < 20 * 400
+
+
+def test_close_pairs_tie_all_similar_texts(spark):
+    """Blocks of sizes mixed, around the threshold, with repeats of the edits: components are those of all pairs."""
+    rng = np.random.default_rng(3)
+    texts = [f"alone {i} " + " ".join(f"a{i}x{j}" for j in range(60)) for i in range(2)] + ["one two three four five six", "one", ""]
+    for g, n in ((0, 150), (1, 2), (2, 12)):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for k in range(n):
+            words = list(base)
+            for i in rng.choice(120, rng.integers(0, 7), replace=False):
+                words[i] = f"n{rng.integers(0, 60)}"
+            texts.append(" ".join(words[: 120 - 8 * (k % 3)]))
+    texts = list(dict.fromkeys(texts))
+    hashed = [set(neardup.hashes(neardup.shingles(t, 5)).view(np.int64).tolist()) for t in texts]
+    n = len(texts)
+    near = [(i, j) for j in range(n) for i in range(j) if len(hashed[i] & hashed[j]) >= 0.8 * len(hashed[i] | hashed[j])]
+    sets = spark.createDataFrame(list(enumerate(list(x) for x in hashed)), "h long, s array<bigint>")
+    start = roots_of(n, near[::7])
+    for root in (list(range(n)), start):
+        rows = spark.createDataFrame([(7, i, r) for i, r in enumerate(root)], "key long, h long, root long")
+        got = [tuple(r) for r in neardup.close_pairs(rows, sets, 0.8).collect()]
+        known = [(i, r) for i, r in enumerate(root) if i != r]
+        assert roots_of(n, [p for p in got if p in set(near)] + known) == roots_of(n, near)
+    assert neardup.close_pairs(rows.limit(0), sets, 0.8).count() == 0
