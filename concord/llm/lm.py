@@ -221,9 +221,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def ordered_by(x: np.ndarray) -> np.ndarray:
+    """The stable order of whole numbers; those that fit 16 bits are sorted by their digits."""
+    return np.argsort(x.astype(np.int16) if len(x) and -(1 << 15) <= x.min() and x.max() < 1 << 15 else x, kind="stable")
+
+
 def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows and the sum of the values of each."""
-    order = np.argsort(rows, kind="stable")
+    order = ordered_by(rows)
     ordered = rows[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     return ordered[first], np.add.reduceat(values[order], first, axis=0)
@@ -339,7 +344,8 @@ class Scorer:
 
     def __init__(self, model: Model, words: Words):
         self.model, self.words = model, words
-        self.one, self.two = (model.r * model.c[0]) @ model.t.T + model.b, (model.r * model.c[1]) @ model.t.T
+        self.near, self.far = model.r * model.c[0], model.r * model.c[1]
+        self.one, self.two = self.near @ model.t.T + model.b, self.far @ model.t.T
         self.log_z = np.full((CLASSES, CLASSES), np.nan, np.float32)
 
     def log_classes(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
@@ -371,13 +377,13 @@ class Scorer:
         for some in np.array_split(fresh, max(1, len(fresh) // 2048)):
             self.log_z[some // CLASSES, some % CLASSES] = self._log_sum(self.one[some // CLASSES] + self.two[some % CLASSES]) if len(some) else 0
         out = (self.one[w1, w] + self.two[w2, w] - self.log_z[w1, w2]).astype(np.float64)
-        q = self.model.queries(self.model.r[cls])
-        order = np.argsort(w, kind="stable")
+        order = ordered_by(w)
         bounds = np.searchsorted(w[order], np.arange(1 + HOT, CLASSES + 1))
         for group, (a, b) in enumerate(pairwise(bounds.tolist()), 1 + HOT):
             for at in range(a, b, 2048):
                 here = order[at : min(b, at + 2048)]
-                out[here] += self.log_slots(group, q[2 + here], slot[2 + here])
+                q = self.near[w1[here]] + self.far[w2[here]]
+                out[here] += self.log_slots(group, q, slot[2 + here])
         out /= np.log(10)
         rare = ids[2:] < 0
         out[rare] -= self.words.log_rest[w[rare]]
@@ -402,8 +408,9 @@ def _scorer(words, model):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [x for (x,) in _rows([part], "ids")]
-                log_count = [float(known.log_count[x[x >= 0]].sum()) for x in texts]
-                n_known = [int(known.known[x[x >= 0]].sum()) for x in texts]
+                inside = [x[x >= 0] for x in texts]
+                log_count = [float(known.log_count[x].sum()) for x in inside]
+                n_known = [int(known.known[x].sum()) for x in inside]
                 sums = np.zeros(len(texts))
                 held, n = [], 0
                 for i, x in enumerate(texts):

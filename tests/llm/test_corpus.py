@@ -452,3 +452,18 @@ def test_groups_of_counted_words(spark):
     text = "a bc def ghij é äö xé longer-word"
     got = {bytes(r["w"]): (r["n"], r["g"]) for r in lm.count_words(spark.createDataFrame([(text,), ("a",)], "t string")).collect()}
     assert got == {w: (1 + (w == b"a"), lm.group_of(w)) for w in lm.split(text)}
+
+
+def test_only_words_of_groups_are_asked_for(monkeypatch):
+    """Scoring makes no queries for words that are classes by themselves; sums go by row, whatever the rows' range."""
+    words = lm.Words([(b"a", 3), (b"b", 2)], 2, {lm.group_of(b"c"): (4, 2)})
+    model = lm.Model(words, 1)
+    ids = np.array([2, 2, 0, -lm.group_of(b"c"), 1, -lm.group_of(b"c"), 2], np.int32)
+    scorer = lm.Scorer(model, words)
+    monkeypatch.setattr(lm.Model, "queries", lambda *a: pytest.fail("queries of a whole sequence"))
+    one = [scorer.tokens(ids[i : i + 3])[0] for i in range(5)]
+    assert np.allclose(scorer.tokens(ids), one)
+    for most in (700, 90_000):
+        rows = np.random.default_rng(1).integers(0, most, 5000)
+        met, sums = lm.summed(rows, np.ones((5000, 1)))
+        assert np.array_equal(met, np.unique(rows)) and np.array_equal(sums[:, 0], np.unique(rows, return_counts=True)[1])
