@@ -59,12 +59,13 @@ def discard(*tables: DataFrame) -> None:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if it is measured to have at most ``rows`` rows of ``size`` bytes in all; else ``df`` itself.
+    """``df`` with a broadcast hint if it is measured to have at most ``rows`` rows of ``size`` bytes in all; else to be merged.
 
+    Without a hint Spark would go by its own estimate, which is far too low where rows were exploded or compress well.
     ``df`` should be a written table or the like, as the measuring runs it."""
     if df.count() > rows:
-        return df
-    return F.broadcast(df) if (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= size else df
+        return df.hint("merge")
+    return F.broadcast(df) if (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= size else df.hint("merge")
 
 
 def short_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from concord.llm import ann, queries
+from concord.llm import ann, common, queries
 
 
 def brute(rows, every=20, k=20):
@@ -91,3 +91,15 @@ def test_tasks_do_not_grow_with_every_block(spark, monkeypatch):
     rows = spark.range(10 * ann.BLOCK).select(F.col("id").alias("vec_id"), F.array((F.col("id") + 1).cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
     ann.neighbours(rows, every=20_000, k=2)
     assert int(re.search(r"Repartition (\d+)", plans["codes"])[1]) == 4
+
+
+def test_copies_of_queries_are_not_broadcast(spark):
+    """Blocks of queries are copied to the groups; Spark's estimate, that of one copy, does not make it broadcast them all."""
+    block = F.lpad(F.lit("x"), 1 << 18, "x").cast("binary")
+    queries = common.written(spark.range(8).select(F.col("id").alias("query_block"), block.alias("query_vectors")), "asking")
+    stored = common.written(spark.range(64).select(F.col("id").alias("block")), "codes")
+    met = common.met_in_groups(queries, stored, 8)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.select("query_block", "block").distinct().count() == met.count() == 8 * 64
+    few = common.met_in_groups(queries.limit(1), stored, 8)
+    assert "Broadcast" in few._jdf.queryExecution().executedPlan().toString()
