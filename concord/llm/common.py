@@ -16,7 +16,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table is broadcast only after it was measured to have no more rows and no more bytes (as JSON) than these.
+#: A table is broadcast by hint only after it was measured to have no more rows and no more bytes (as JSON) than these.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8 << 20
 
 _own_dir: dict[str, str] = {}
@@ -35,11 +35,28 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
+@contextmanager
+def measured_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """What runs inside broadcasts by hint, or what a shuffle was measured to hold; the session's settings are put back after it.
+
+    Spark's estimate of a table that was not shuffled is that of its files, with as many rows after an explode as before."""
+    estimated, shuffled = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = {name: spark.conf.get(name, None) for name in (estimated, shuffled)}
+    spark.conf.set(shuffled, before[shuffled] or spark.conf.get(estimated))
+    spark.conf.set(estimated, "-1")
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back: lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    with measured_broadcasts(spark):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -219,7 +219,7 @@ def classes(prints: DataFrame, radius: int) -> DataFrame:
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, radius: int = 4) -> DataFrame:
     """One row per row of ``df``: doc_id, fp (signed long), component_id (smallest doc_id reachable, itself included)."""
     prints = written(df.select(F.col(doc_id).alias("doc_id"), fingerprints(df, text, width).alias("fp")), "prints")
-    return prints.join(classes(prints, radius).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(classes(prints, radius).select("fp", "component_id").hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 # -- one document of each group --------------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ import re
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from concord.llm import common, neardup
@@ -87,6 +88,58 @@ def test_driver_builds_no_large_broadcast(spark):
     assert "broadcast" in common.small(rows.limit(10))._jdf.queryExecution().analyzed().toString().lower()
 
 
+def broadcast_rows(spark, since):
+    """Rows of each table that was broadcast in the runs from ``since`` on, as counted by Spark."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, found = store.executionsList(), []
+    for run in (runs.apply(i).executionId() for i in range(runs.size())):
+        nodes, counted = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(i) for i in range(nodes.size()) if run >= since):
+            metrics = node.metrics()
+            ids = [metrics.apply(i).accumulatorId() for i in range(metrics.size()) if metrics.apply(i).name() == "number of output rows"]
+            if node.name() == "BroadcastExchange" and counted.contains(ids[0]):
+                found.append(int(counted.apply(ids[0]).replace(",", "")))
+    return found
+
+
+@pytest.fixture
+def broadcast_at_1m(spark):
+    """Spark broadcasts what it takes to be at most 1 MB; the number of runs so far."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1m")
+    yield spark._jsparkSession.sharedState().statusStore().executionsCount()
+    left = spark.conf.get(name)
+    spark.conf.set(name, before)
+    assert left == "1m"
+
+
+def test_index_is_not_broadcast(spark, broadcast_at_1m):
+    """4,000 fingerprints have 196,000 rows of 24 bytes in the index, of which Spark knows their own 4,000 only."""
+    prints = common.written(spark.range(4000).select(F.xxhash64("id").alias("fp")), "prints")
+    assert neardup.links(prints, 4).count() == 4000
+    assert max(broadcast_rows(spark, broadcast_at_1m), default=0) < 40_000
+
+
+def test_classes_are_not_broadcast_by_estimate(spark):
+    """The last join is the caller's to run, so it is a merge whatever Spark's estimate."""
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.hex("id").alias("text"))
+    assert "Broadcast" not in neardup.near_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("own", [{}, {"spark.sql.autoBroadcastJoinThreshold": "256k"}, {"spark.sql.adaptive.autoBroadcastJoinThreshold": "1m"}])
+def test_settings_are_put_back(spark, own):
+    session = spark.newSession()
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name, value in own.items():
+        session.conf.set(name, value)
+    before = [session.conf.get(n, None) for n in names]
+    with pytest.raises(ValueError), common.measured_broadcasts(session):
+        assert [session.conf.get(n) for n in names] == ["-1", before[1] or before[0] or "10485760b"]
+        raise ValueError
+    assert [session.conf.get(n, None) for n in names] == before
+
+
 def roots_of(n, pairs):
     root = list(range(n))
 
