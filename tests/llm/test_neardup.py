@@ -127,6 +127,13 @@ def test_classes_are_not_broadcast_by_estimate(spark):
     assert "Broadcast" not in neardup.near_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_bands_are_not_broadcast(spark, broadcast_at_1m):
+    """4,000 texts have 128,000 rows of bands."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.hex(F.xxhash64("id", F.lit(i))) for i in range(9))).alias("text"))
+    assert neardup.one_of_each(docs).count() == 4000
+    assert max(broadcast_rows(spark, broadcast_at_1m), default=0) < 40_000
+
+
 @pytest.mark.parametrize("own", [{}, {"spark.sql.autoBroadcastJoinThreshold": "256k"}, {"spark.sql.adaptive.autoBroadcastJoinThreshold": "1m"}])
 def test_settings_are_put_back(spark, own):
     session = spark.newSession()
